@@ -3,6 +3,7 @@
 from veilwork.plans import (  # noqa: F401
     conditional_queries,
     profile_queries,
+    scan_queries,
     typing_queries,
 )
 from veilwork.plans.registry import ORACLES, QUERIES

@@ -122,3 +122,90 @@ def lineitem_linked(spark: SparkSession, folder: str) -> DataFrame:
         .alias("ship_mode"),
         F.when(price < 30000, "low").when(price < 60000, "mid").otherwise("high").alias("price_band"),
     )
+
+
+# customers with contact fields of every sensitive kind; some cells are null
+CONTACTS_SQL = """contacts AS (
+  SELECT c_custkey, c_name AS customer_name,
+    CASE WHEN c_custkey % 7 <> 0 THEN 'user' || c_custkey || '@mail' || c_nationkey || '.com' END AS email,
+    CASE WHEN c_custkey % 11 = 0 THEN 'ext 12' ELSE '+1 (555) ' || lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') END AS phone,
+    lpad(CAST(c_custkey * 7 % 900 AS VARCHAR), 3, '0') || '-' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS ssn,
+    c_custkey || ' Main Street Apt ' || c_nationkey || CASE WHEN c_custkey % 13 = 0 THEN '  ' ELSE 'B' END AS home_address,
+    'P' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS passport_no,
+    CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN 'call 555-123-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || ' or write a.b' || c_custkey || '@x.org'
+      WHEN c_custkey % 5 = 2 THEN 'card 4111 1111 1111 1111, ssn 123-45-6789' WHEN c_custkey % 5 = 3 THEN 'paid in ' || c_mktsegment ELSE 'host 10.0.' || c_nationkey || '.' || (c_custkey % 256) END AS notes,
+    c_mktsegment, c_acctbal FROM customer)"""
+
+CONTACT_TEXTS = ["customer_name", "email", "phone", "ssn", "home_address", "passport_no", "notes"]
+
+
+def contacts(spark: SparkSession, folder: str) -> DataFrame:
+    pick = F.expr
+    return table(spark, folder, "customer").select(
+        "c_custkey",
+        F.col("c_name").alias("customer_name"),
+        pick("CASE WHEN c_custkey % 7 <> 0 THEN concat('user', c_custkey, '@mail', c_nationkey, '.com') END").alias("email"),
+        pick(
+            "CASE WHEN c_custkey % 11 = 0 THEN 'ext 12' ELSE concat('+1 (555) ', lpad(c_custkey % 1000, 3, '0'), '-', lpad(c_custkey % 10000, 4, '0')) END"
+        ).alias("phone"),
+        pick("concat(lpad(c_custkey * 7 % 900, 3, '0'), '-', lpad(c_custkey % 100, 2, '0'), '-', lpad(c_custkey % 10000, 4, '0'))").alias("ssn"),
+        pick("concat(c_custkey, ' Main Street Apt ', c_nationkey, CASE WHEN c_custkey % 13 = 0 THEN '  ' ELSE 'B' END)").alias("home_address"),
+        pick("concat('P', lpad(c_custkey, 7, '0'))").alias("passport_no"),
+        pick(
+            "CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN concat('call 555-123-', lpad(c_custkey % 10000, 4, '0'), ' or write a.b', c_custkey, '@x.org')"
+            " WHEN c_custkey % 5 = 2 THEN 'card 4111 1111 1111 1111, ssn 123-45-6789' WHEN c_custkey % 5 = 3 THEN concat('paid in ', c_mktsegment)"
+            " ELSE concat('host 10.0.', c_nationkey, '.', c_custkey % 256) END"
+        ).alias("notes"),
+        "c_mktsegment",
+        "c_acctbal",
+    )
+
+
+# made-up secrets and personal data appended to texts by key; every text of the table is kept whole
+PLANTS = [
+    "",
+    "token sk-" + "A1b2C3d4E5" * 3,
+    "ghp_" + "abcdefghij0123456789" * 2,
+    "aws AKIA" + "ABCDEFGHIJKLMNOP",
+    'api_key = "' + "k3y_" * 6 + '"',
+    'password =\n  "s3cret-value"',
+    "Authorization: Bearer " + "abc.DEF-123_" * 3,
+    "eyJ" + "hbGciOiJI" * 2 + "." + "eyJzdWIiOi" * 2 + "." + "SflKxwRJSM" * 2,
+    "-----BEGIN RSA PRIVATE KEY-----",
+    "postgres://svc:pw@db.example.net:5432/app",
+    "born: 12/05/1980 and ssn 123-45-6789",
+    "Patient ID: AB-12345 diagnosed with seasonal flu",
+    "gsk_" + "Z9y8X7w6V5" * 6,
+    'MISTRAL_API_KEY = "' + "m1S2t3R4a5" * 4 + '"',
+    "mail john.doe@example.org\nor jane.roe@example.org, mail john.doe@example.org",
+    "card 4111 1111 1111 1111 and 5500-0000-0000-0004",
+    "ICD-10 E11.9, prescription: metformin daily",
+    "This is top secret and Internal Only, seen by John Smith and Data Team",
+    "date of birth, medical, passport, address, phone, email, ssn, password, dob, diagnosis, prescription, credit card",
+]
+
+
+def _planted_sql(name: str, table_name: str, key: str, columns: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN chr(10) || '" + p.replace("'", "''") + "' || chr(10)" for i, p in enumerate(PLANTS) if p)
+    return f"{name} AS (SELECT {columns}, text || CASE {key} % {len(PLANTS)} {cases} ELSE '' END AS text FROM {table_name})"
+
+
+def _planted(df: DataFrame, key: str) -> DataFrame:
+    extra = F.lit("")
+    for i, p in enumerate(PLANTS):
+        if p:
+            extra = F.when(F.col(key) % len(PLANTS) == i, "\n" + p + "\n").otherwise(extra)
+    return df.withColumn("text", F.concat("text", extra))
+
+
+DOCS_SQL = _planted_sql("docs", "documents", "doc_id", "doc_id, lang, source, n_chars")
+TURNS_SQL = _planted_sql("turns", "conversations", "(conv_id + turn)", "conv_id, turn, role")
+
+
+def documents_planted(spark: SparkSession, folder: str) -> DataFrame:
+    return _planted(table(spark, folder, "documents"), "doc_id").select("doc_id", "lang", "source", "n_chars", "text")
+
+
+def turns_planted(spark: SparkSession, folder: str) -> DataFrame:
+    df = table(spark, folder, "conversations").withColumn("_k", F.col("conv_id") + F.col("turn"))
+    return _planted(df, "_k").select("conv_id", "turn", "role", "text")
