@@ -1,6 +1,7 @@
 """All registered queries; importing the modules fills the registry."""
 
 from veilwork.plans import (  # noqa: F401
+    compare_queries,
     conditional_queries,
     profile_queries,
     scan_queries,

@@ -20,7 +20,7 @@ ORDERS_SQL = """orig AS (
 RELEASE_SQL = """synth AS (
   SELECT o_orderkey, o_custkey,
     CASE WHEN o_orderkey % 20 = 0 THEN o_totalprice
-         ELSE round(o_totalprice * (0.8 + (o_orderkey % 7) * 0.05), 2) END AS o_totalprice,
+         ELSE o_totalprice * (80 + (o_orderkey % 7) * 5) / 100 END AS o_totalprice,
     CASE WHEN o_orderkey % 20 <> 0 AND o_orderkey % 9 = 0 THEN 'F'
          WHEN o_orderkey % 311 = 1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
     CASE WHEN o_orderkey % 20 <> 0 AND o_orderkey % 5 = 0 THEN '1-URGENT' ELSE o_orderpriority END AS o_orderpriority
@@ -41,7 +41,7 @@ def orders_release(spark: SparkSession, folder: str) -> DataFrame:
         "o_orderkey",
         "o_custkey",
         F.when(kept, F.col("o_totalprice"))
-        .otherwise(F.round(F.col("o_totalprice") * (F.lit(0.8) + (key % 7) * F.lit(0.05)), 2))
+        .otherwise(F.col("o_totalprice") * (F.lit(80) + (key % 7) * 5) / 100)
         .alias("o_totalprice"),
         F.when(~kept & (key % 9 == 0), "F").when(key % 311 == 1, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
         F.when(~kept & (key % 5 == 0), "1-URGENT").otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
@@ -209,3 +209,37 @@ def documents_planted(spark: SparkSession, folder: str) -> DataFrame:
 def turns_planted(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "conversations").withColumn("_k", F.col("conv_id") + F.col("turn"))
     return _planted(df, "_k").select("conv_id", "turn", "role", "text")
+
+
+# one row of run metrics per order month, from the orders and their release
+RUNS_SQL = """runs AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.35::DOUBLE + 0.04::DOUBLE * m)) AS membership_inference_auc, 0.02::DOUBLE * m AS avg_drift,
+  CASE WHEN m % 4 = 0 THEN f ELSE 1 - f END AS acceptance_rate, CASE WHEN m % 6 = 5 THEN f + 0.05 WHEN m % 4 = 0 THEN 1 - f ELSE f END AS rejection_rate
+FROM (SELECT strftime(o_orderdate, '%Y-%m') AS run_id, CAST(month(min(o_orderdate)) AS INTEGER) AS m, count(*) AS n_rows,
+  round(avg(CASE WHEN o_orderkey % 20 = 0 THEN 1.0 ELSE 0.0 END) * (month(min(o_orderdate)) % 5), 6) AS duplicates_rate,
+  round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) AS f,
+  round(avg(CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END), 6) AS pii_density,
+  round(max(o_totalprice) / 500000, 6) AS max_reid FROM orders GROUP BY 1))"""
+
+
+def order_runs(spark: SparkSession, folder: str) -> DataFrame:
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    base = (
+        table(spark, folder, "orders")
+        .groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("run_id"))
+        .agg(
+            F.month(F.min("o_orderdate")).alias("m"),
+            F.count("*").alias("n_rows"),
+            F.round(share(F.col("o_orderkey") % 20 == 0) * (F.month(F.min("o_orderdate")) % 5), 6).alias("duplicates_rate"),
+            F.round(share(F.col("o_orderstatus") == "F"), 6).alias("f"),
+            F.round(share(F.col("o_orderpriority") == "1-URGENT"), 6).alias("pii_density"),
+            F.round(F.max("o_totalprice") / 500000, 6).alias("max_reid"),
+        )
+    )
+    m, f = F.col("m"), F.col("f")
+    return base.select(
+        "*",
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(0.35) + 0.04 * m)).alias("membership_inference_auc"),
+        (0.02 * m).alias("avg_drift"),
+        F.when(m % 4 == 0, f).otherwise(1 - f).alias("acceptance_rate"),
+        F.when(m % 6 == 5, f + 0.05).when(m % 4 == 0, 1 - f).otherwise(f).alias("rejection_rate"),
+    )
