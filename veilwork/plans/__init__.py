@@ -5,7 +5,9 @@ from veilwork.plans import (  # noqa: F401
     conditional_queries,
     profile_queries,
     scan_queries,
+    synth_queries,
     typing_queries,
+    validate_queries,
 )
 from veilwork.plans.registry import ORACLES, QUERIES
 

@@ -199,7 +199,7 @@ def _(spark, folder):
     return digits(C.tstr_r2(o, s, "o_totalprice"), 6, "r2")
 
 
-COPY_SQL = """cp AS (SELECT count(*) FILTER (EXISTS (SELECT 1 FROM orig o WHERE s.o_orderkey = o.o_orderkey AND s.o_custkey = o.o_custkey AND s.o_totalprice = o.o_totalprice
+COPY_SQL = """cp AS (SELECT count(*) FILTER (EXISTS (SELECT 1 FROM orig o WHERE s.o_orderkey = o.o_orderkey AND s.o_custkey = o.o_custkey AND round(s.o_totalprice, 4) = round(o.o_totalprice, 4)
   AND s.o_orderstatus = o.o_orderstatus AND s.o_orderpriority = o.o_orderpriority)) / count(*) AS rate FROM synth s)"""
 
 
@@ -532,7 +532,7 @@ def _(spark, folder):
     return M.threats(scored_runs(spark, folder)).drop("property")
 
 
-INTEL_SQL = f"""{SCORED_SQL}, parts AS (SELECT run_id, 0.3 * dataset_risk_score / 100 AS a, 0.25 * max_reid AS b, 0.2 * pii_density AS c, 0.15 * least(1.0, avg_drift) AS d,
+INTEL_SQL = f"""{SCORED_SQL}, parts AS (SELECT run_id, 0.3 * (dataset_risk_score / 100) AS a, 0.25 * max_reid AS b, 0.2 * pii_density AS c, 0.15 * least(1.0, avg_drift) AS d,
   0.1 * (1 - CASE WHEN privacy_score = 0 THEN 0.5 ELSE privacy_score END) AS e FROM risky),
 intel AS (SELECT *, round(least(100.0, (a + b + c + d + e) * 100), 2) AS score FROM parts)"""
 
