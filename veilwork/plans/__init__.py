@@ -3,8 +3,11 @@
 from veilwork.plans import (  # noqa: F401
     compare_queries,
     conditional_queries,
+    graph_queries,
     profile_queries,
     scan_queries,
+    source_queries,
+    stream_queries,
     synth_queries,
     typing_queries,
     validate_queries,
