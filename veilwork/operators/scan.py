@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -376,48 +376,44 @@ def ignored_path(path: Column) -> Column:
     return out
 
 
+START = "\u0001"
+
+
 def line_hits(text: Column) -> Column:
-    """Array of (pattern, category, severity, message, at, breaks, snippet): one entry per match.
+    """Array of (line, pattern, category, severity, message, snippet), one entry per match, in linear time.
 
-    ``breaks`` holds the line breaks between the previous match of the same pattern and this one, so line numbers
-    need only a running sum.
+    Matches may span lines, so whole texts are matched. A marker set before every match and a split at the line
+    breaks give the line each match starts on; no window and no state is needed.
     """
-    def newlines(s):
-        return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    clean = F.replace(text, F.lit(START), F.lit(" "))
 
-    def entries(name, rx, category, severity, message):
-        found = F.when(text.rlike(rx), F.regexp_extract_all(text, F.lit(rx), F.lit(0))).otherwise(F.array().cast("array<string>"))
-        gaps = F.transform(F.split(text, rx, -1), newlines)
-        inside = F.transform(found, newlines)
+    def starts(line, i):
+        return F.array_repeat((i + 1).cast("int"), (F.length(line) - F.length(F.replace(line, F.lit(START), F.lit("")))).cast("int"))
 
-        def entry(m, i):
-            breaks = F.get(gaps, i) + F.when(i == 0, 0).otherwise(F.get(inside, i - 1))
-            return F.struct(
+    def entries(name, rx, category, severity, message):
+        hit = clean.rlike(rx)
+        found = F.when(hit, F.regexp_extract_all(clean, F.lit(rx), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        marked = F.split(F.regexp_replace(clean, rx, START + "$0"), "\n", -1)
+        lines = F.when(hit, F.flatten(F.transform(marked, starts))).otherwise(F.array().cast("array<int>"))
+        return F.transform(
+            F.arrays_zip(lines.alias("line"), found.alias("m")),
+            lambda x: F.struct(
+                x["line"].alias("line"),
                 F.lit(name).alias("pattern"),
                 F.lit(category).alias("category"),
                 F.lit(severity).alias("severity"),
                 F.lit(message).alias("message"),
-                i.alias("at"),
-                breaks.alias("breaks"),
-                F.substring(m, 1, 80).alias("snippet"),
-            )
-
-        return F.transform(found, entry)
+                F.substring(x["m"], 1, 80).alias("snippet"),
+            ),
+        )
 
     return F.concat(*[entries(*p) for p in P.LINE_PATTERNS])
 
 
 def scan_lines(df: DataFrame, text: str, key: str, path: str | None = None) -> DataFrame:
-    """(key, line, pattern, category, severity, message, snippet): every match with its 1-based line.
-
-    Matches may span lines, so whole texts are matched; only the matches are shuffled for the running line count.
-    """
+    """(key, line, pattern, category, severity, message, snippet): every match with its 1-based line; no shuffle."""
     kept = df if path is None else df.where(~ignored_path(F.col(path)))
-    hits = kept.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.inline(line_hits(F.col(text))))
-    w = Window.partitionBy("key", "pattern").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return hits.select(
-        "key", (F.sum("breaks").over(w) + 1).cast("int").alias("line"), "at", "pattern", "category", "severity", "message", "snippet"
-    )
+    return kept.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.inline(line_hits(F.col(text))))
 
 
 def header_signal(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:

@@ -20,12 +20,12 @@ def document_stream(spark, folder):
 
 
 ALERTS_SQL = f"""WITH {DOCS_SQL}, {line_sql('docs', 'doc_id')}, {RULE_VALUES},
-alerts AS (SELECT key, key + {EPOCH} AS at, line, pattern AS type, CASE category WHEN 'secret' THEN 'secret_exposure' ELSE 'pii_detected' END AS category, sev AS severity, left(m, 80) AS snippet,
+alerts AS (SELECT key, key + {EPOCH} AS at_s, line, pattern AS type, CASE category WHEN 'secret' THEN 'secret_exposure' ELSE 'pii_detected' END AS category, sev AS severity, left(m, 80) AS snippet,
   CASE action WHEN 'block' THEN 'blocked' ELSE 'warned' END AS action FROM placed JOIN names USING (pattern) JOIN rules USING (rule))"""
 
 
 def shown(alerts):
-    return alerts.select("key", F.unix_seconds("ts").alias("at"), "line", "type", "category", "severity", "snippet", "action")
+    return alerts.select("key", F.unix_seconds("ts").alias("at_s"), "line", "type", "category", "severity", "snippet", "action")
 
 
 @query("stream_scan", ALERTS_SQL + " SELECT * FROM alerts")
@@ -39,7 +39,7 @@ def _(spark, folder):
     return Z.run_available(Z.dedupe_alerts(alerts, ["key", "line", "type"]), "dedupe").select("key", "line", "type")
 
 
-@query("recent_alerts", ALERTS_SQL + " SELECT key, at, line, type, category, severity, action FROM alerts ORDER BY at DESC, key, line, type LIMIT 200")
+@query("recent_alerts", ALERTS_SQL + " SELECT key, at_s, line, type, category, severity, action FROM alerts ORDER BY at_s DESC, key, line, type LIMIT 200")
 def _(spark, folder):
     sink = Z.run_available(Z.stream_scan(document_stream(spark, folder), "text", "doc_id", "ts"), "recent")
     return shown(Z.recent_alerts(sink)).drop("snippet")

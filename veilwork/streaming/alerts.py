@@ -48,24 +48,14 @@ def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame], Dat
     return spark.read.schema(schema).parquet(f"{base}/table").drop("batch")
 
 
-def _line_of(breaks: Column, at: Column) -> Column:
-    return F.aggregate(F.slice(breaks, 1, at + 1), F.lit(1), lambda s, b: s + b)
-
-
 def stream_scan(stream: DataFrame, text: str, key: str, ts: str, path: str | None = None) -> DataFrame:
     """Alerts (key, ts, line, type, category, severity, snippet, action) of a text stream.
 
     A projection and a join with the static rule table: no state, any output mode.
     """
     kept = stream if path is None else stream.where(~S.ignored_path(F.col(path)))
-    hits = S.line_hits(F.col(text))
-    found = kept.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(ts).alias("ts"), hits.alias("h"))
-    found = found.select("key", "ts", "h", F.explode("h").alias("x"))
-    own = F.filter("h", lambda y: y["pattern"] == F.col("x.pattern"))
-    lines = found.select(
-        "key", "ts", _line_of(F.transform(own, lambda y: y["breaks"]), F.col("x.at")).cast("int").alias("line"),
-        F.col("x.pattern").alias("pattern"), F.col("x.category").alias("kind"), F.col("x.severity").alias("own_severity"), F.col("x.snippet").alias("snippet"),
-    )
+    found = kept.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.inline(S.line_hits(F.col(text))))
+    lines = found.withColumnsRenamed({"category": "kind", "severity": "own_severity"})
     decided = L.pattern_decision(lines, L.live_rules(stream.sparkSession))
     return decided.select(
         "key", "ts", "line", F.col("pattern").alias("type"),
