@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_LIMIT = 32 << 20
 ONE_GROUP_LIMIT = 2 << 30
+SPREAD_LIMIT = 256 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -19,6 +20,17 @@ def fits(df: DataFrame, limit: int) -> bool:
     return estimated_bytes(df) <= limit
 
 
+def spread_small(df: DataFrame, limit: int = SPREAD_LIMIT) -> DataFrame:
+    """Deal a small table out to all cores.
+
+    A file with a single row group is read by one task, however many cores wait. Tables above the limit have splits
+    of their own and pass unchanged, so nothing is shuffled at scale.
+    """
+    if not fits(df, limit):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Hint a broadcast only when the statistics prove the side small; otherwise leave the choice to AQE."""
     return F.broadcast(df) if fits(df, limit) else df

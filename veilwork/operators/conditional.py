@@ -189,9 +189,12 @@ def best_partners(pairs: DataFrame, min_abs: float = 0.30) -> dict[str, tuple[st
     return best
 
 
-def cond_freq_cat(df: DataFrame, columns: Sequence[str], min_abs: float = 0.30, min_rows: int = 5) -> DataFrame:
+def cond_freq_cat(
+    df: DataFrame, columns: Sequence[str], min_abs: float = 0.30, min_rows: int = 5, partners: dict[str, tuple[str, float]] | None = None
+) -> DataFrame:
     """(column, partner, given, value, n_group, raw, p): category given its best partner category."""
-    partners = best_partners(cramers_v(df, columns), min_abs)
+    if partners is None:
+        partners = best_partners(cramers_v(df, columns), min_abs)
     schema = "column string, partner string, given string, value string, n_group long, raw double, p double"
     if not partners:
         return df.sparkSession.createDataFrame([], schema)
@@ -244,12 +247,22 @@ def cond_freq_num(
     return protect_sparse(out, ["column", "partner", "bin"]), edges
 
 
-def cond_profile(df: DataFrame, cats: Sequence[str], numbers: Sequence[str], min_abs: float = 0.30, min_rows: int = 10) -> DataFrame:
-    """(column, partner, given, n, mean, std, min, max, q..): number given its strongest category by |r|."""
+def best_categories(links: DataFrame, min_abs: float = 0.30) -> dict[str, tuple[str, float]]:
+    """Strongest category per number by absolute association."""
     best: dict[str, tuple[str, float]] = {}
-    for r in cat_num_association(df, cats, numbers, min_abs=min_abs).collect():
+    for r in links.where(F.abs("value") >= min_abs).collect():
         if r["col_b"] not in best or (abs(r["value"]), r["col_a"]) > (best[r["col_b"]][1], best[r["col_b"]][0]):
             best[r["col_b"]] = (r["col_a"], abs(r["value"]))
+    return best
+
+
+def cond_profile(
+    df: DataFrame, cats: Sequence[str], numbers: Sequence[str], min_abs: float = 0.30, min_rows: int = 10,
+    best: dict[str, tuple[str, float]] | None = None,
+) -> DataFrame:
+    """(column, partner, given, n, mean, std, min, max, q..): number given its strongest category by |r|."""
+    if best is None:
+        best = best_categories(cat_num_association(df, cats, numbers), min_abs)
     if not best:
         raise ValueError("no category is associated with any of the numbers")
     structs = [

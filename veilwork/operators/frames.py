@@ -129,32 +129,30 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles per group from value counts (groups.., value double, n long).
 
-    Returns groups plus ``total``, ``distinct`` and the array ``q``. Small inputs use Spark's weighted exact
-    ``percentile``; large ones locate the two order statistics of every level from distributed running totals, so
-    no task ever holds a whole column.
+    Returns groups plus ``total``, ``distinct`` and the array ``q``. The two order statistics of every level are
+    found from running totals over the pre-aggregated values; ``running_totals`` sorts across the cluster beyond a
+    checked size, so no task ever holds a whole column.
     """
     probs = list(probs)
     if not groups:
         return exact_quantiles(counts.withColumn("_all", F.lit(0)), ["_all"], probs, distributed).drop("_all")
     if distributed is None:
         distributed = not fits(counts, ONE_GROUP_LIMIT)
-    if not distributed:
-        levels = F.array(*[F.lit(p) for p in probs])
-        return counts.groupBy(*groups).agg(
-            F.sum("n").alias("total"),
-            F.count(F.lit(1)).alias("distinct"),
-            F.percentile("value", levels, F.col("n")).alias("q"),
-        )
-    placed = running_totals(counts, groups, ["value"], ["n"], distributed=True)
-    totals = placed.groupBy(*groups).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
-    placed = placed.join(maybe_broadcast(totals), list(groups))
+    if distributed:
+        placed = running_totals(counts, groups, ["value"], ["n"], distributed=True)
+        totals = placed.groupBy(*groups).agg(F.sum("n").alias("total"))
+        placed = placed.join(maybe_broadcast(totals), list(groups))
+    else:
+        # the total rides on the same partitioning as the running sum
+        summed = counts.withColumn("total", F.sum("n").over(Window.partitionBy(*groups)))
+        placed = running_totals(summed, groups, ["value"], ["n"], distributed=False)
     picks = []
     for i, p in enumerate(probs):
         at = F.lit(p) * (F.col("total") - 1)
         for side, k in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             hit = (F.col("before_n") <= k) & (k < F.col("before_n") + F.col("n"))
             picks.append(F.max(F.when(hit, F.col("value"))).alias(f"{side}{i}"))
-    found = placed.groupBy(*groups, "total", "distinct").agg(*picks)
+    found = placed.groupBy(*groups).agg(F.first("total").alias("total"), F.count(F.lit(1)).alias("distinct"), *picks)
     levels = []
     for i, p in enumerate(probs):
         at = F.lit(p) * (F.col("total") - 1)
@@ -162,18 +160,34 @@ def exact_quantiles(
     return found.select(*groups, "total", "distinct", F.array(*levels).alias("q"))
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, salts: int = 32) -> DataFrame:
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, distinct). Long cells are grouped by their SHA-256 so that whole texts never travel."""
+    long = melt_text(df, list(columns))
+    short = F.when(F.length("value") > 80, F.sha2("value", 256)).otherwise(F.col("value"))
+    return long.select("column", short.alias("value")).distinct().groupBy("column").agg(F.count("*").alias("distinct"))
+
+
+def hot_keys(left: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys holding more than 1/1000 of a one-in-16 sample of the rows: at most 1000 of them."""
+    part = left.select(*keys).sample(1 / 16, seed=1)
+    counts = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = part.groupBy().agg(F.count(F.lit(1))).scalar()
+    return counts.where(F.col("_n") * 1000 > total).select(*keys, F.lit(True).alias("_hot"))
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, salts: int = 32, hot: DataFrame | None = None
+) -> DataFrame:
     """Equi-join of a possibly skewed ``left`` with a ``right`` that has one row per key.
 
-    Keys holding more than 1/1000 of the left rows (at most 1000 of them) are split over ``salts`` tasks, the
-    matching right rows being repeated once per salt. All other rows take the plain join. Null keys match nothing.
+    Rows of hot keys (given, or found in a sample; missing one costs time, never rows) are split over ``salts``
+    tasks, the matching right rows being repeated once per salt. All other rows take the plain join. Null keys
+    match nothing.
     """
     keys = list(keys)
     if fits(right, 8 << 20):
         return left.join(F.broadcast(right), keys, how)
-    total = left.groupBy().agg(F.count(F.lit(1))).scalar()
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") * 1000 > total).select(*keys, F.lit(True).alias("_hot"))
+    hot = hot_keys(left, keys) if hot is None else hot
     marked = left.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt",
         F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int"),

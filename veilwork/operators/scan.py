@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from veilwork.functions import patterns as P
 from veilwork.functions.numeric import entropy_bits
-from veilwork.operators.frames import column_rows, melt_text, text_cell, value_counts
+from veilwork.operators.frames import column_rows, distinct_counts, melt_text, text_cell, value_counts
 
 FINDING = "key {key}, type string, category string, column string, preview string, confidence double, severity string, description string"
 
@@ -49,8 +49,7 @@ def _pattern_hits(column: Column, value: Column) -> list[Column]:
     return out
 
 
-def _entropy_hit(column: Column, value: Column) -> Column:
-    h = entropy_bits(value)
+def _entropy_hit(column: Column, value: Column, h: Column) -> Column:
     preview = F.concat(F.substring(value, 1, 8), F.lit("***"), F.right(value, F.lit(3)))
     found = _finding(
         "secret",
@@ -61,12 +60,15 @@ def _entropy_hit(column: Column, value: Column) -> Column:
         F.when(h > 5.5, "high").otherwise("medium"),
         F.lit("High entropy string detected. May be a secret or token."),
     )
-    return F.when((F.length(value) >= P.ENTROPY_LENGTH) & (h >= P.ENTROPY_BITS), found)
+    return F.when(h >= P.ENTROPY_BITS, found)
 
 
 def _scan_long(long: DataFrame, regex: bool = True, entropy: bool = True) -> DataFrame:
     column, value = F.col("column"), F.col("value")
-    hits = (_pattern_hits(column, value) if regex else []) + ([_entropy_hit(column, value)] if entropy else [])
+    if entropy:
+        # a column of its own: the finding reads it several times
+        long = long.withColumn("_bits", F.when(F.length("value") >= P.ENTROPY_LENGTH, entropy_bits(value)))
+    hits = (_pattern_hits(column, value) if regex else []) + ([_entropy_hit(column, value, F.col("_bits"))] if entropy else [])
     found = long.where(F.length("value") >= 3).select("key", F.explode(F.array_compact(F.array(*hits))).alias("f"))
     return found.select("key", "f.*")
 
@@ -230,13 +232,6 @@ def detect_pii_columns(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return by_name.unionByName(found)
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, distinct). Long cells are grouped by their SHA-256 so that whole texts never travel."""
-    long = melt_text(df, list(columns))
-    short = F.when(F.length("value") > 80, F.sha2("value", 256)).otherwise(F.col("value"))
-    return long.select("column", short.alias("value")).distinct().groupBy("column").agg(F.count("*").alias("distinct"))
-
-
 def pii_summary(findings: DataFrame, cells: Column) -> DataFrame:
     """One row: findings, flagged columns, density over non-null cells, worst severity."""
     worst = F.coalesce(F.max(severity_rank(F.col("severity"))), F.lit(0))

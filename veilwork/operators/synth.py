@@ -215,9 +215,11 @@ def normal_scores(df: DataFrame, columns: Sequence[str], label: str | None = Non
         rank = (F.col("before_n") + (F.col("n") + 1) / 2.0) / F.col("total")
         shares = placed.select("_label", "column", "value", share(rank).alias("_p"))
         table = shares.select("_label", "column", "value", probit(F.col("_p")).alias("_z"))
+        often = counts.join(F.broadcast(totals), ["_label", "column"]).where(F.col("n") * 1000 > F.col("total"))
         for c in columns:
             part = table.where(F.col("column") == c).select("_label", F.col("value").alias(c), F.col("_z").alias(f"z_{c}"))
-            out = spread_join(out, part, ["_label", c], "left")
+            hot = often.where(F.col("column") == c).select("_label", F.col("value").alias(c), F.lit(True).alias("_hot"))
+            out = spread_join(out, part, ["_label", c], "left", hot=hot)
         return out.select("_label", *[F.col(f"z_{c}").alias(c) for c in columns])
     levels = [i / 200 for i in range(201)]
     q = exact_quantiles(counts, ["_label", "column"], levels)
@@ -506,16 +508,14 @@ def fit(df: DataFrame, key: str | None = None, method: str = "conditional", over
         pairs = cramers_v(df, small)
         best = C.best_partners(pairs)
         order, _loose = dependency_order({c: p for c, (p, _) in best.items()}, {c: v for c, (_, v) in best.items()})
-        table = C.cond_freq_cat(df, small)
+        table = cut_lineage(C.cond_freq_cat(df, small, partners=best)) if order else None
         model.order = order
         model.cat_given = {c: (best[c][0], table.where(F.col("column") == c)) for c in order}
     if small and smooth:
-        links = {}
-        for r in cat_num_association(df, small, smooth, min_abs=STRONG).collect():
-            if r["col_b"] not in links or (abs(r["value"]), r["col_a"]) > links[r["col_b"]][::-1]:
-                links[r["col_b"]] = (r["col_a"], abs(r["value"]))
+        links = C.best_categories(cat_num_association(df, small, smooth), STRONG)
         if links:
-            table = C.cond_profile(df, small, smooth)
+            # small tables of curves; written once, because every generated batch joins them
+            table = cut_lineage(C.cond_profile(df, small, smooth, best=links))
             model.num_given = {c: (p, table.where(F.col("column") == c)) for c, (p, _) in links.items()}
     if len(smooth) >= 2:
         model.tied, model.correlation = inject_correlation(pearson_pairs(df, smooth), smooth)

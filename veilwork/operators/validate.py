@@ -188,6 +188,8 @@ def validate(
         out = accept_rows(quality_flags(out, profile, pairs), max_failures).where("accepted").select(*[cell(c) for c in df.columns])
     if rules:
         out = enforce_rules(out, rules)
+    # the copy check reads the rows more than once; they are written before, not made again
+    out = cut_lineage(out)
     return drop_copies(original, out, [c for c in (compared or original.columns) if c in out.columns])
 
 

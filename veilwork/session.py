@@ -49,9 +49,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so later stages survive executor loss and see one fixed result."""
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    Later steps then survive the loss of executors, see one fixed result, and know its size from the files.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.functions import patterns as P
+from veilwork.functions.sizing import SPREAD_LIMIT, fits
 from veilwork.operators import policy as L
 from veilwork.operators import scan as S
 from veilwork.session import scratch_path
@@ -15,8 +16,10 @@ from veilwork.session import scratch_path
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A file stream over the parquet files of one table; files that arrive later are picked up."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    today = spark.read.parquet(f"{folder}/{name}.parquet")
+    stream = spark.readStream.schema(today.schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    # one small file would be scanned by one task
+    return stream.repartition(spark.sparkContext.defaultParallelism) if fits(today, SPREAD_LIMIT) else stream
 
 
 def run_available(stream: DataFrame, label: str, mode: str = "append", timeout: int = 600) -> DataFrame:
