@@ -21,6 +21,11 @@ def cell(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def pinned(facts: DataFrame) -> DataFrame:
+    """Column-level facts (a few rows per column) evaluated once, for steps that read them more than once."""
+    return facts.sparkSession.createDataFrame(facts.collect(), facts.schema)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric_type(f.dataType)]
 

@@ -29,6 +29,7 @@ from veilwork.operators.frames import (
     melt_numbers,
     number_cell,
     numeric_columns,
+    pinned,
     running_totals,
     spread_join,
     text_cell,
@@ -436,6 +437,7 @@ class TableModel:
     null_tied: list[str] = field(default_factory=list)
     null_correlation: np.ndarray | None = None
     source: DataFrame | None = None
+    profile: DataFrame | None = None
 
 
 def dependency_order(partner: dict[str, str], weight: dict[str, float]) -> tuple[list[str], list[str]]:
@@ -470,17 +472,20 @@ def fit(df: DataFrame, key: str | None = None, method: str = "conditional", over
     numbers = [c for c in numeric_columns(df) if model.roles[c] in ("CONTINUOUS_NUMERIC", "DISCRETE_NUMERIC")]
     texts = [c for c in df.columns if model.roles[c] == "LOW_CARD_CATEGORICAL"]
     if numbers:
-        for r in profile_numeric(df, numbers).collect():
+        model.profile = pinned(profile_numeric(df, numbers))
+        for r in model.profile.collect():
             if r["min"] is not None:
                 model.curves[r["column"]] = curve_of(r)
                 if r["is_integer"]:
                     model.whole.add(r["column"])
-        for r in value_ratios(df, numbers).groupBy("column").agg(F.sort_array(F.collect_list(F.struct("value", "ratio"))).alias("w")).collect():
+        countable = [c for c in model.whole if c in model.curves]
+        for r in [] if not countable else value_ratios(df, countable).groupBy("column").agg(F.sort_array(F.collect_list(F.struct("value", "ratio"))).alias("w")).collect():
             model.ratios[r["column"]] = ([w["value"] for w in r["w"]], [w["ratio"] for w in r["w"]])
     if texts:
         full = full_value_distribution(df, texts).select("column", "value", "ratio")
-        best = top_values(df, texts).select("column", "value", "ratio")
-        table = full.unionByName(best.join(full.select("column").distinct(), "column", "left_anti"))
+        known = {r["column"] for r in full.select("column").distinct().collect()}
+        rest = [c for c in texts if c not in known]
+        table = full.unionByName(top_values(df, rest).select("column", "value", "ratio")) if rest else full
         for r in table.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("value", "ratio"))).alias("w")).collect():
             model.ratios[r["column"]] = ([w["value"] for w in r["w"]], [w["ratio"] for w in r["w"]])
     for c in df.columns:
@@ -667,8 +672,8 @@ def generate(
 
     spark = df.sparkSession
     model = fit(df, key, method, overrides, excluded)
-    limits = constraints(df)
-    profile = profile_numeric(df, list(model.curves)) if model.curves else None
+    limits = pinned(constraints(df))
+    profile = model.profile if model.curves else None
     compared = [c for c in df.columns if c not in model.ids]
     accepted, have, start = None, 0, 0
     for turn in range(max_rounds):

@@ -12,7 +12,7 @@ from veilwork.functions.curves import curve_of, curve_value, literal, running, w
 from veilwork.functions.draws import uniform
 from veilwork.functions.numeric import is_integer_type, is_numeric_type
 from veilwork.operators.compare import drop_copies
-from veilwork.operators.frames import cell, column_rows, melt_text, number_cell, numeric_columns, text_cell, value_counts
+from veilwork.operators.frames import cell, column_rows, melt_text, number_cell, numeric_columns, pinned, text_cell, value_counts
 from veilwork.session import cut_lineage
 
 FENCE = 3.0
@@ -183,13 +183,18 @@ def validate(
 ) -> DataFrame:
     """Repaired, plausible rows that copy no original row: repair, quality checks, cross-column rules, copies."""
     out = df
+    constraint_rows = pinned(constraint_rows)
     if profile is not None:
-        out = repair_ranges(out, constraint_rows, profile, key, seed)
-        out = accept_rows(quality_flags(out, profile, pairs), max_failures).where("accepted").select(*[cell(c) for c in df.columns])
+        profile = pinned(profile)
+        repaired = repair_ranges(out, constraint_rows, profile, key, seed)
+        # The verdict is written with the rows before they are filtered: a filter on formulas would be pushed below
+        # the projections that make the columns and repeat their whole text for every use.
+        flagged = cut_lineage(accept_rows(quality_flags(repaired, profile, pairs), max_failures))
+        out = flagged.where("accepted").select(*[cell(c) for c in df.columns])
+    else:
+        out = cut_lineage(out)
     if rules:
         out = enforce_rules(out, rules)
-    # the copy check reads the rows more than once; they are written before, not made again
-    out = cut_lineage(out)
     return drop_copies(original, out, [c for c in (compared or original.columns) if c in out.columns])
 
 
@@ -198,6 +203,7 @@ def validation_counts(
     pairs: DataFrame | None = None,
 ) -> DataFrame:
     """(evaluated, repaired, rejected_quality, rejected_copies, accepted) of one validation run."""
+    constraint_rows, profile = pinned(constraint_rows), pinned(profile)
     repaired = count_out_of_range(df, constraint_rows).agg(F.sum("repaired")).scalar()
     fixed = repair_ranges(df, constraint_rows, profile, key, seed)
     flagged = cut_lineage(accept_rows(quality_flags(fixed, profile, pairs)))
