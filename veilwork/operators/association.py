@@ -8,7 +8,6 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilwork.functions.numeric import is_integer_type
 from veilwork.operators.frames import cell, number_cell, numeric_columns, other_columns, text_cell
 from veilwork.operators.profile import LOW_CARDINALITY, is_integer_column, number_counts, profile_categorical
 
@@ -210,16 +209,3 @@ def pair_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
         F.lit(x).alias("col_x"), F.lit(y).alias("col_y"), F.when(spread >= 1e-10, r).alias("pearson"), n.alias("n")
     )
 
-
-__all__ = [
-    "association_columns",
-    "cat_num_association",
-    "cramers_v",
-    "group_moments",
-    "is_integer_type",
-    "null_correlation",
-    "pair_correlation",
-    "pair_counts",
-    "pearson_pairs",
-    "strength",
-]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.functions.numeric import PROB_NAMES, PROBS
+from veilwork.functions.sizing import maybe_broadcast
 from veilwork.operators.association import cat_num_association, cramers_v
 from veilwork.operators.frames import (
     cell,
@@ -66,7 +67,7 @@ def class_value_ratios(df: DataFrame, label: str, columns: Sequence[str] | None
     counts = value_counts(melt_numbers(with_label(df, label), names, ["_label"]), ["_label"])
     kept = counts.where(F.col("_label").isNotNull()).join(F.broadcast(discrete), "column", "left_semi")
     totals = kept.groupBy("_label", "column").agg(F.sum("n").alias("total"))
-    return kept.join(F.broadcast(totals), ["_label", "column"]).select(
+    return kept.join(maybe_broadcast(totals), ["_label", "column"]).select(
         F.col("_label").alias("label"),
         "column",
         F.col("value").cast("long").alias("value"),
@@ -82,7 +83,7 @@ def shrink(observed: DataFrame, reference: DataFrame, groups: Sequence[str], pul
     the whole value domain of every group: alpha = n / (n + max(1, k/5) * pull).
     """
     totals = observed.groupBy(*groups, "column").agg(F.sum("n").alias("n_group"))
-    grid = totals.join(F.broadcast(reference.select("column", "value", "ratio", "distinct")), "column")
+    grid = totals.join(maybe_broadcast(reference.select("column", "value", "ratio", "distinct")), "column")
     joined = grid.join(observed, [*groups, "column", "value"], "left")
     weight = F.greatest(F.lit(1.0), F.col("distinct") / 5.0) * F.lit(pull)
     alpha = F.col("n_group") / (F.col("n_group") + weight)
@@ -209,7 +210,7 @@ def cond_freq_cat(
     overall = with_ratios(counts.groupBy("column", "value").agg(F.sum("n").alias("n")))
     paired = counts.where(F.col("given").isNotNull())
     big = paired.groupBy("column", "given").agg(F.sum("n").alias("_n")).where(F.col("_n") >= min_rows)
-    kept = paired.join(F.broadcast(big.drop("_n")), ["column", "given"], "left_semi")
+    kept = paired.join(maybe_broadcast(big.drop("_n")), ["column", "given"], "left_semi")
     out = shrink(kept, overall, ["partner", "given"], PARTNER_PULL)
     return protect_sparse(out, ["column", "partner", "given"])
 

@@ -212,11 +212,11 @@ def normal_scores(df: DataFrame, columns: Sequence[str], label: str | None = Non
     share = lambda r: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), r))
     if ranks == "exact":
         totals = counts.groupBy("_label", "column").agg(F.sum("n").alias("total"))
-        placed = running_totals(counts, ["_label", "column"], ["value"], ["n"]).join(F.broadcast(totals), ["_label", "column"])
+        placed = running_totals(counts, ["_label", "column"], ["value"], ["n"]).join(maybe_broadcast(totals), ["_label", "column"])
         rank = (F.col("before_n") + (F.col("n") + 1) / 2.0) / F.col("total")
         shares = placed.select("_label", "column", "value", share(rank).alias("_p"))
         table = shares.select("_label", "column", "value", probit(F.col("_p")).alias("_z"))
-        often = counts.join(F.broadcast(totals), ["_label", "column"]).where(F.col("n") * 1000 > F.col("total"))
+        often = counts.join(maybe_broadcast(totals), ["_label", "column"]).where(F.col("n") * 1000 > F.col("total"))
         for c in columns:
             part = table.where(F.col("column") == c).select("_label", F.col("value").alias(c), F.col("_z").alias(f"z_{c}"))
             hot = often.where(F.col("column") == c).select("_label", F.col("value").alias(c), F.lit(True).alias("_hot"))
@@ -225,7 +225,7 @@ def normal_scores(df: DataFrame, columns: Sequence[str], label: str | None = Non
     levels = [i / 200 for i in range(201)]
     q = exact_quantiles(counts, ["_label", "column"], levels)
     wide = q.groupBy("_label").pivot("column", list(columns)).agg(F.first("q"))
-    joined = out.join(F.broadcast(wide.select("_label", *[F.col(c).alias(f"q_{c}") for c in columns])), "_label", "left")
+    joined = out.join(maybe_broadcast(wide.select("_label", *[F.col(c).alias(f"q_{c}") for c in columns])), "_label", "left")
 
     def part(c):
         below = F.size(F.filter(F.col(f"q_{c}"), lambda x: x < F.col(c)))
@@ -371,7 +371,7 @@ def _rank_codes(df, column, partner):
     freq = both.where("p is not null").groupBy("p").agg(F.count("*").alias("f"))
     ranks = freq.select("p", (F.row_number().over(Window.orderBy(F.desc("f"), "p")) - 1).cast("double").alias("rank"))
     counts = both.where("category is not null and p is not null").groupBy("category", "p").agg(F.count("*").alias("n"))
-    codes = counts.join(F.broadcast(ranks), "p").groupBy("category").agg((F.sum(F.col("n") * F.col("rank")) / F.sum("n")).alias("code"))
+    codes = counts.join(maybe_broadcast(ranks), "p").groupBy("category").agg((F.sum(F.col("n") * F.col("rank")) / F.sum("n")).alias("code"))
     return codes.select(F.lit(column).alias("column"), F.lit("cramers_weighted").alias("strategy"), F.lit(partner).alias("partner"), "category", "code")
 
 
@@ -390,7 +390,7 @@ def encode(df: DataFrame, codes: DataFrame, column: str, into: str) -> DataFrame
     """Add the code of each row's category; unknown categories get the mean code."""
     own = codes.where(F.col("column") == column).select(F.col("category").alias("_cat"), F.col("code").alias("_code"))
     mean = own.agg(F.avg("_code")).scalar()
-    joined = df.withColumn("_cat", text_cell(df, column)).join(F.broadcast(own), "_cat", "left")
+    joined = df.withColumn("_cat", text_cell(df, column)).join(maybe_broadcast(own), "_cat", "left")
     return joined.withColumn(into, F.coalesce("_code", mean)).drop("_cat", "_code")
 
 
