@@ -48,9 +48,19 @@ def _pair_rows(df: DataFrame, pairs, expression) -> DataFrame:
 def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None, min_abs: float = 0.0) -> DataFrame:
     """Pearson r of every numeric pair over the rows where both are present, one pass, no shuffle of rows."""
     names = list(columns or numeric_columns(df))
-    rows = _pair_rows(
-        df, list(combinations(names, 2)), lambda a, b: safe_corr(number_cell(df, a), number_cell(df, b))
-    )
+    pairs = list(combinations(names, 2))
+    picked = df.select(*[number_cell(df, c).alias(f"x{i}") for i, c in enumerate(names)])
+    rows = None
+    for start in range(0, len(pairs), _PAIR_CHUNK):
+        chunk = pairs[start : start + _PAIR_CHUNK]
+        cells = F.array(*[F.struct(F.col(f"x{names.index(a)}").alias("x"), F.col(f"x{names.index(b)}").alias("y")) for a, b in chunk])
+        # one small aggregate keyed by the pair number; its two sides collapse inside each task
+        grouped = picked.select(F.posexplode(cells).alias("pair", "v")).groupBy("pair").agg(safe_corr(F.col("v.x"), F.col("v.y")).alias("value"))
+        labels = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b")) for a, b in chunk])
+        part = grouped.select(F.get(labels, F.col("pair")).alias("l"), "value").select("l.col_a", "l.col_b", "value")
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, value double, strength string")
     kept = rows.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") >= min_abs))
     return kept.withColumn("strength", strength(F.col("value")))
 
@@ -83,16 +93,12 @@ def pair_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Each row is expanded to its pairs and collapsed again before the shuffle: at most the sum of the pair domains
     leaves a task.
     """
+    texts = df.select(*[_code_text(df, c).alias(c) for c in columns])
     pairs = [
-        F.struct(
-            F.lit(a).alias("col_a"),
-            F.lit(b).alias("col_b"),
-            _code_text(df, a).alias("val_a"),
-            _code_text(df, b).alias("val_b"),
-        )
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), cell(a).alias("val_a"), cell(b).alias("val_b"))
         for a, b in combinations(columns, 2)
     ]
-    long = df.select(F.inline(F.array(*pairs))).where(F.col("val_a").isNotNull() & F.col("val_b").isNotNull())
+    long = texts.select(F.inline(F.array(*pairs))).where(F.col("val_a").isNotNull() & F.col("val_b").isNotNull())
     return long.groupBy("col_a", "col_b", "val_a", "val_b").agg(F.count("*").alias("n"))
 
 
