@@ -17,6 +17,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from veilwork.llm.common import bytes_of, cell, field, hot_join, packed
 from veilwork.session import cut_lineage
@@ -55,7 +56,7 @@ def count_text(text: bytes) -> tuple[int, int, int, int, int, int]:
     )
 
 
-@F.arrow_udf("struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in COUNTS]))
 def text_counts(texts: pa.Array) -> pa.Array:
     """The counts of every text; null texts count as empty."""
     rows = [count_text(t or b"") for t in bytes_of(texts)]

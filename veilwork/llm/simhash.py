@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from veilwork.llm.common import bytes_of, field, hot_join, keyed
 from veilwork.session import cut_lineage
@@ -61,7 +62,7 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(np.packbits(2 * ones > len(values), bitorder="little").view("<u8")[0])
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
     out = np.array([fingerprint(t or b"") for t in bytes_of(texts)], dtype=np.uint64)
     return pa.array(out.view(np.int64))
