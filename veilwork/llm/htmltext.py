@@ -330,11 +330,10 @@ def extract(field: Field, page: str) -> str:
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: page_id, url, text and n_chars."""
-    shared = pages.sparkSession.sparkContext.broadcast(trained())
+    field = trained()
 
     @F.arrow_udf(StringType())
     def text_of(column: pa.Array) -> pa.Array:
-        field = shared.value
         return pa.array([extract(field, (b or b"").decode("utf-8", "replace")) for b in bytes_of(column)], pa.string())
 
     read = pages.select(cell(id_col).alias("page_id"), cell(url_col).alias("url"), text_of(cell(html_col)).alias("text"))

@@ -179,11 +179,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = train(slim.where(~held_out(F.col("doc_id"))), train_docs)
     if model is None:
         return slim.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(StructType([StructField("lang", StringType()), StructField("score", DoubleType())]))
     def predict(texts: pa.Array) -> pa.Array:
-        return shared.value.predict(texts)
+        return model.predict(texts)  # the model travels with the function, which Spark broadcasts
 
     found = slim.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))

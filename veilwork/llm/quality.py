@@ -148,3 +148,36 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source")
     joined = hot_join(marked, rates, "_host", "n", ["doc"])
     counted = joined.withColumn("c", text_counts(field(text_col)))
     return counted.where(_kept(lambda n: F.col("c")[n])).select("doc.*")
+
+
+#: The same by SQL. Rates that decide nothing are left out.
+ORACLE = r"""
+WITH a AS (
+  SELECT doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, [w[i], w[i + 1], w[i + 2]] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM a)),
+r AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+q AS (SELECT doc_id, count(DISTINCT k) AS n FROM r GROUP BY 1),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM a),
+c AS (
+  SELECT doc_id, host, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(q.n, 0) AS n_repeat_words, len(l) AS n_lines
+  FROM a JOIN l USING (doc_id) LEFT JOIN q USING (doc_id)),
+f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         10 * n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR 5 * n_repeat_words > n_words
+         OR word_chars < 3 * n_words OR word_chars > 12 * n_words AS soft_failed FROM c),
+h AS (SELECT host, count(*) AS n, avg(CAST(base_failed OR soft_failed AS INT)) AS p FROM f GROUP BY 1),
+m AS (SELECT avg(p) AS mean, var_pop(p) AS var, avg(1.0 / n) AS noise FROM h),
+b AS (
+  SELECT mean, CASE WHEN var - mean * (1 - mean) * noise > 0
+         THEN least(10000.0, greatest(2.0, mean * (1 - mean) / (var - mean * (1 - mean) * noise) - 1)) ELSE 10000.0 END AS weight FROM m),
+v AS (
+  SELECT host, CASE WHEN (p * n + mean * weight) / (n + weight) > 0.9 THEN 'blocked'
+         WHEN (p * n + mean * weight) / (n + weight) > 0.5 THEN 'watched' ELSE 'fine' END AS host_verdict FROM h, b)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND host_verdict <> 'blocked' AND NOT (host_verdict = 'watched' AND soft_failed) AS kept, host_verdict
+FROM f JOIN v USING (host)
+"""
