@@ -62,14 +62,19 @@ class Block:
         self.items = [r["items"] for r in rows]
         self.terms = {w: i for i, w in enumerate(sorted({w for words in self.windows for w in words}))}
 
-    def anchors(self, counts: np.ndarray) -> list[tuple[int, int, int, int, list[int]]]:
-        """(term, offset, which, window, ids) of the two rarest words of every window that can occur at all."""
+    def anchors(self, counts: np.ndarray) -> list[tuple]:
+        """(term, offset, which, window, ids, other, shift) of the two rarest words of every window that can occur at all.
+
+        ``other`` is the term of the window's other anchor, ``shift`` how many places it is further on.
+        """
         out = []
         for k, words in enumerate(self.windows):
             ids = [self.terms[w] for w in words]
             if all(counts[i] for i in ids):
                 rarest = sorted(range(len(ids)), key=lambda o: (counts[ids[o]], o))[:2]
-                out += [(ids[o], o, which, k, ids) for which, o in enumerate(rarest)]
+                for which, o in enumerate(rarest):
+                    mate = rarest[1 - which] if len(rarest) > 1 else None
+                    out.append((ids[o], o, which, k, ids, *((None, None) if mate is None else (ids[mate], mate - o))))
         return out
 
 
@@ -93,26 +98,34 @@ def corpus_counts(texts: DataFrame, terms) -> np.ndarray:
     return out
 
 
-def postings(texts: DataFrame, terms, wanted, width: int) -> DataFrame:
-    """(row, n_words, posts): one row per document with the postings of the wanted words."""
-    kind = pa.list_(pa.struct([("term", pa.int32()), ("pos", pa.int32()), ("near", pa.list_(pa.int32()))]))
+def postings(texts: DataFrame, terms, wanted, reach: int) -> DataFrame:
+    """(row, n_words, posts): one row per document with the postings of the wanted words.
+
+    ``near`` holds the numbers of the words up to ``reach`` places to either side, -1 where there is none or an
+    unknown one.
+    """
+    span = np.arange(2 * reach + 1)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, anchor = terms.value, wanted.value
         for batch in batches:
-            sizes, posts = [], []
+            sizes, counts, term, pos, near = [], [0], [], [], []
             for text in bytes_of(batch.column(1)):
                 get = known.get
                 words = words_of(text)
                 ids = np.array([get(w, -1) for w in words], np.int32)
-                at = np.flatnonzero(anchor[ids]) if len(ids) else ids
+                at = np.flatnonzero(anchor[ids]) if len(ids) else np.empty(0, np.int64)
                 sizes.append(len(words))
+                counts.append(len(at))
                 if len(at):
-                    wide = np.pad(ids, width - 1, constant_values=-1)
-                    posts.append([{"term": int(ids[p]), "pos": int(p), "near": wide[p : p + 2 * width - 1]} for p in at])
-                else:
-                    posts.append([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(posts, kind)], names=["row", "n_words", "posts"])
+                    term.append(ids[at])
+                    pos.append(at.astype(np.int32))
+                    near.append(np.pad(ids, reach, constant_values=-1)[at[:, None] + span].ravel())
+            flat = [np.concatenate(x) if x else np.empty(0, np.int32) for x in (term, pos, near)]
+            around = pa.ListArray.from_arrays(pa.array(np.arange(len(flat[0]) + 1) * len(span), pa.int32()), pa.array(flat[2]))
+            rows = pa.StructArray.from_arrays([pa.array(flat[0]), pa.array(flat[1]), around], names=["term", "pos", "near"])
+            posts = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), posts], names=["row", "n_words", "posts"])
 
     return texts.mapInArrow(index, "row bigint, n_words bigint, posts array<struct<term:int,pos:int,near:array<int>>>")
 
@@ -124,11 +137,15 @@ def block_matches(texts: DataFrame, block: Block, width: int, slop: int) -> Data
     anchors = block.anchors(corpus_counts(texts.select("text"), terms))
     flags = np.zeros(len(block.terms) + 1, bool)  # the last one is for unknown words, numbered -1
     flags[[a[0] for a in anchors]] = True
-    index = cut_lineage(postings(texts.select("row", "text"), terms, spark.sparkContext.broadcast(flags), width))
-    table = spark.createDataFrame(anchors, "term int, offset int, which int, window int, ids array<int>")
+    reach = width - 1 + slop
+    index = cut_lineage(postings(texts.select("row", "text"), terms, spark.sparkContext.broadcast(flags), reach))
+    table = spark.createDataFrame(anchors, "term int, offset int, which int, window int, ids array<int>, other int, shift int")
     posts = index.where(F.size("posts") > 0).select("row", F.inline("posts"))
-    met = posts.join(F.broadcast(table), "term").withColumn("start", F.col("pos") - F.col("offset"))
-    exact = F.slice("near", F.lit(width) - F.col("offset"), F.size("ids")) == F.col("ids")
+    # a posting without the other anchor close to its place can neither meet its list nor come near; it is left in the task
+    place = F.lit(reach + 1 - slop) + F.col("shift")
+    close = F.col("other").isNull() | F.array_contains(F.slice("near", place, F.lit(2 * slop + 1)), F.col("other"))
+    met = posts.join(F.broadcast(table), "term").where(close).withColumn("start", F.col("pos") - F.col("offset"))
+    exact = F.slice("near", F.lit(reach + 1) - F.col("offset"), F.size("ids")) == F.col("ids")
     lists = met.groupBy("row", "window").agg(
         F.collect_set(F.when((F.col("which") == 0) & exact, F.col("start"))).alias("whole"),
         F.collect_set(F.when(F.col("which") == 0, F.col("start"))).alias("first"),
@@ -136,8 +153,8 @@ def block_matches(texts: DataFrame, block: Block, width: int, slop: int) -> Data
         F.first(F.size("ids")).alias("size"),
     )
     starts = F.when(F.col("size") == 1, F.col("whole")).otherwise(F.array_intersect("whole", "second"))
-    close = F.filter("first", lambda a: F.exists("second", lambda b: F.abs(a - b) <= slop))
-    return lists.withColumn("starts", starts).select("row", "window", "size", "starts", F.array_except(close, "starts").alias("near_starts"))
+    within = F.filter("first", lambda a: F.exists("second", lambda b: F.abs(a - b) <= slop))
+    return lists.withColumn("starts", starts).select("row", "window", "size", "starts", F.array_except(within, "starts").alias("near_starts"))
 
 
 def find_passages(
