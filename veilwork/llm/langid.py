@@ -162,9 +162,16 @@ class Model:
 
 def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     """A model from a bounded sample of (doc_id, text, lang); None without labelled text."""
+    known = docs.where("lang IS NOT NULL")
+    # one row per language; the share of it whose hashes hold about twice the sample, so that few texts are moved
+    many = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not many:
+        return None
+    share = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, min(1.0, 2 * train_docs / n))])[F.col("lang")]
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    some = known.where((mark < share) & (F.coalesce(F.length("text"), F.lit(0)) > 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text != ''")
-    sample = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_docs).select("lang", "text")
+    sample = some.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_docs).select("lang", "text")
     rows = count_grams(sample).toArrow()
     if not rows.num_rows:
         return None
