@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +33,33 @@ def keyed(df: DataFrame) -> DataFrame:
     return cut_lineage(packed(df).withColumn("row", F.monotonically_increasing_id()))
 
 
+def rows_of(df: DataFrame) -> DataFrame:
+    """``df`` as (doc, row): its columns as a struct and what tells its rows apart.
+
+    Rows of a plain Parquet table are told apart by file and place in the file, which stay the same whenever the table
+    is read, so nothing is copied. Any other input is written once, see ``keyed``.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in df.columns:
+        path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        try:
+            return df.select(
+                F.struct(*[cell(c) for c in df.columns]).alias("doc"), F.struct(F.xxhash64(path).alias("file"), F.hash(path).alias("more"), index.alias("at")).alias("row")
+            )
+        except AnalysisException:  # a source without row numbers
+            pass
+    return keyed(df)
+
+
 def field(name: str) -> Column:
     """A column inside ``doc``."""
     return F.col("doc").getField(name)
 
 
-def bytes_of(column: pa.Array) -> list[bytes | None]:
-    """The UTF-8 bytes of each text of an Arrow column."""
-    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+def bytes_of(column: pa.Array, at_once: int = 256) -> Iterator[bytes | None]:
+    """The UTF-8 bytes of each text of an Arrow column, a few made at a time."""
+    raw = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
+    for i in range(0, len(raw), at_once):
+        yield from raw.slice(i, at_once).to_pylist()
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, spread: Sequence[str]) -> DataFrame:
@@ -55,5 +75,6 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, spread: Sequen
     salt = F.when(F.col("_parts") > 1, F.pmod(F.xxhash64(*spread), F.col("_parts"))).otherwise(F.lit(0)).cast("int")
     salted = left.join(hot, key, "left").withColumn("_salt", salt).drop("_parts")
     copies = F.when(F.col("_parts") > 1, F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_parts", n)
+    # written, so that its size is known and few keys are broadcast
+    repeated = cut_lineage(right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_parts", n))
     return salted.join(repeated, [key, "_salt"], "left").drop("_salt")

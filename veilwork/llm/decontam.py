@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from veilwork.llm.common import bytes_of, cell, field, keyed
+from veilwork.llm.common import bytes_of, cell, field, rows_of
 from veilwork.session import cut_lineage
 
 WIDTH = 10
@@ -127,7 +127,7 @@ def postings(texts: DataFrame, terms, wanted, reach: int) -> DataFrame:
             posts = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), posts], names=["row", "n_words", "posts"])
 
-    return texts.mapInArrow(index, "row bigint, n_words bigint, posts array<struct<term:int,pos:int,near:array<int>>>")
+    return texts.mapInArrow(index, f"row {texts.schema['row'].dataType.simpleString()}, n_words bigint, posts array<struct<term:int,pos:int,near:array<int>>>")
 
 
 def block_matches(texts: DataFrame, block: Block, width: int, slop: int) -> DataFrame:
@@ -177,7 +177,7 @@ def find_passages(
         matches = block_matches(texts, block, width, slop)
         parts.append(matches.join(F.broadcast(names), "window"))
     if not parts:
-        return spark.createDataFrame([], "row bigint, items array<string>, spans array<struct<start:int,size:int>>, near int")
+        return spark.createDataFrame([], f"row {texts.schema['row'].dataType.simpleString()}, items array<string>, spans array<struct<start:int,size:int>>, near int")
     every = reduce(DataFrame.union, parts)
     spans = F.transform("starts", lambda s: F.struct(s.alias("start"), F.col("size").alias("size")))
     hit = F.size("starts") > 0
@@ -212,10 +212,10 @@ def word_counts(texts: pa.Array) -> pa.Array:
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, slop: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: its words, hit words, items with occurring windows, and the number of proximity matches."""
-    rows = keyed(docs.select(cell(id_col).alias("doc_id"), cell(text_col).alias("text")))
-    texts = rows.select("row", field("text").alias("text"))
+    rows = rows_of(docs)
+    texts = rows.select("row", field(text_col).alias("text"))
     found = find_passages(texts, items, width=width, slop=slop, block_bytes=block_bytes)
-    counted = cut_lineage(rows.select("row", field("doc_id").alias("doc_id"), word_counts(field("text")).alias("n_words")))
+    counted = cut_lineage(rows.select("row", field(id_col).alias("doc_id"), word_counts(field(text_col)).alias("n_words")))
     none = F.array().cast("array<string>")
     joined = counted.join(found, "row", "left").withColumn("items", F.coalesce("items", none))
     hit = F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long")
@@ -232,7 +232,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """``docs`` without those that hold a window of the benchmark."""
-    rows = keyed(docs)
+    rows = rows_of(docs)
     found = find_passages(rows.select("row", field(text_col).alias("text")), items, width=width)
     return rows.join(found.where(F.size("spans") > 0).select("row"), "row", "left_anti").select("doc.*")
 

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import cell, field, keyed
+from veilwork.llm.common import cell, field, rows_of
 from veilwork.session import cut_lineage
 
 BLOCK_WORDS = 128
@@ -92,13 +92,13 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
 
 def laid_out(facts: DataFrame, seed: int) -> DataFrame:
     """Adds ``start``: the words that precede a document in its source's shuffled order."""
-    mixed = facts.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "row")).withColumn("part", F.pmod("h", F.lit(PARTS)))
+    mixed = facts.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "mark")).withColumn("part", F.pmod("h", F.lit(PARTS)))
     sums = mixed.groupBy("key", "part").agg(F.sum("size").alias("s"))
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("key", "part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("key", "part").orderBy("h", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "part").orderBy("h", "doc_id", "mark", "row").rowsBetween(Window.unboundedPreceding, -1)
     within = mixed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return within.join(offsets, ["key", "part"]).withColumn("start", F.col("before") + F.col("within")).drop("h", "part", "before", "within")
+    return within.join(offsets, ["key", "part"]).withColumn("start", F.col("before") + F.col("within")).drop("h", "mark", "part", "before", "within")
 
 
 def pieces(laid: DataFrame, block: int) -> DataFrame:
@@ -115,11 +115,11 @@ def pieces(laid: DataFrame, block: int) -> DataFrame:
 
 
 def facts_of(rows: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(row, doc_id, key, size) of keyed documents; the key of a null source sorts last."""
+    """(row, doc_id, key, size, mark) of documents; the key of a null source sorts last, the mark is a hash of the text."""
     source = field(source_col).cast("string")
     size = F.coalesce(F.regexp_count(field(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
     key = F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
-    return rows.select("row", field(id_col).alias("doc_id"), key.alias("key"), size.alias("size"))
+    return rows.select("row", field(id_col).alias("doc_id"), key.alias("key"), size.alias("size"), F.xxhash64(field(text_col)).alias("mark"))
 
 
 def mixed(facts: DataFrame, weights: Sequence[int], block: int, max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -153,7 +153,7 @@ def mix_sources(
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), seed: int = 7) -> DataFrame:
     """Whole documents, each as often as the mix takes it, rounded to the nearest number of times."""
-    rows = keyed(docs)
+    rows = rows_of(docs)
     facts = cut_lineage(facts_of(rows, id_col, text_col, source_col))
     laid, mix = mixed(facts, weights, BLOCK_WORDS, MAX_EPOCHS, seed)
     taken = mix.groupBy("row").agg(F.sum("words").alias("taken"))

@@ -24,7 +24,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import cell, field, keyed
+from veilwork.llm.common import cell, field, rows_of
 from veilwork.session import cut_lineage
 
 OVERHEAD = 16
@@ -46,7 +46,8 @@ def placed_rows(facts: DataFrame, large: list) -> DataFrame:
 
     The groups ``large`` come first, so that the rest is cut evenly.
     """
-    order = facts.orderBy(~F.col("grp").isin(large), "grp", "row").withColumn("at", F.monotonically_increasing_id())
+    ties = [c for c in ("doc_id", "row") if c in facts.columns]
+    order = facts.orderBy(~F.col("grp").isin(large), "grp", *ties).withColumn("at", F.monotonically_increasing_id())
     frozen = cut_lineage(order).withColumn("part", F.shiftright("at", _ROW_BITS))
     parts = frozen.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.max_by("grp", "at").alias("tail"))
     earlier = Window.orderBy("part")
@@ -225,10 +226,10 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     return assigned(facts, shards).select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
 
 
-def sharded_documents(docs: DataFrame, shards: int = 40, text_col: str = "text") -> DataFrame:
+def sharded_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with two columns more, ``shard`` and ``slot`` (``_shard`` and so on where a name is taken)."""
-    rows = keyed(docs)
-    facts = cut_lineage(rows.select("row", *_facts(field(text_col))))
+    rows = rows_of(docs)
+    facts = cut_lineage(rows.select("row", field(id_col).alias("doc_id"), *_facts(field(text_col))))
     at = assigned(facts, shards).select("row", "shard", "slot")
     taken = {c.lower() for c in docs.columns}
     names = [("_" if n in taken else "") + n for n in ("shard", "slot")]

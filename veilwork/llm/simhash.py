@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from veilwork.llm.common import bytes_of, field, hot_join, keyed
+from veilwork.llm.common import bytes_of, field, hot_join, rows_of
 from veilwork.session import cut_lineage
 
 BITS = 64
@@ -381,7 +381,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_bits: int = 4) -> DataFrame:
     """``docs`` with one document of every group: the one with the smallest id, then the first row."""
-    rows = keyed(docs)
+    rows = rows_of(docs)
     slim = rows.select("row", field(id_col).alias("doc_id"), field(text_col).alias("text"))
     found = near_groups(slim, ["row"], width, max_bits)
     kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k"))
