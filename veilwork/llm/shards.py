@@ -75,19 +75,22 @@ class Starts:
     def __init__(self, placed: DataFrame, total: int, cells: int = CELLS):
         self.rows = placed.where("first").select("before")
         self.total, self.cells = total, cells
-        self.blocks = [*self._divide([(0, total)]), (total, total, 1)]
+        self.blocks = [*self._divide([(0, total - 1, 1)]), (total, total, 1)]
         self._index()
 
     def _index(self) -> None:
         self.lows = [b[0] for b in self.blocks]
         self.highs = [b[1] for b in self.blocks]
 
-    def _divide(self, ranges: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        width = max(1, sum(b - a for a, b in ranges) // self.cells + 1)
-        inside = F.lit(False)
-        for a, b in ranges:
-            inside = inside | F.col("before").between(a, b)
-        rows = self.rows.where(inside).groupBy(F.floor(F.col("before") / width))
+    def _divide(self, ranges: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """The intervals into which ranges (from, to, intervals so far) fall: at least twice as many, about ``cells`` in all."""
+        whole = sum(b - a for a, b, _ in ranges) or 1
+        keys = []
+        for i, (a, b, n) in enumerate(ranges):
+            width = (b - a) // max(2 * n, self.cells * (b - a) // whole) + 1
+            keys.append(F.when(F.col("before").between(a, b), F.struct(F.lit(i).alias("i"), F.floor((F.col("before") - a) / width).alias("j"))))
+        key = F.coalesce(*keys)
+        rows = self.rows.where(key.isNotNull()).groupBy(key)
         found = rows.agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count(F.lit(1)).alias("n")).collect()
         return sorted((r["lo"], r["hi"], r["n"]) for r in found)
 
@@ -97,13 +100,13 @@ class Starts:
         for k in sorted(wanted):
             lo, hi, _ = self.blocks[k]
             if ranges and k - 1 in wanted:
-                ranges[-1][1] = hi
+                ranges[-1][1:] = [hi, ranges[-1][2] + 1]
             else:
-                ranges.append([lo, hi])
-        for at in range(0, len(ranges), 100):
-            new = self._divide([tuple(r) for r in ranges[at : at + 100]])
-            inside = lambda b, some=ranges[at : at + 100]: any(lo <= b[0] and b[1] <= hi for lo, hi in some)
-            self.blocks = sorted([b for b in self.blocks if not inside(b)] + new)
+                ranges.append([lo, hi, 1])
+        kept = [b for k, b in enumerate(self.blocks) if k not in wanted]
+        for at in range(0, len(ranges), 50):
+            kept += self._divide([tuple(r) for r in ranges[at : at + 50]])
+        self.blocks = sorted(kept)
         self._index()
 
     def open(self, k: int) -> bool:

@@ -47,6 +47,12 @@ def _any(words: str) -> str:
     return "(?:" + "|".join(words.split()) + ")"
 
 
+def _both(lists: dict[str, str]) -> str:
+    """All names of the lists, as they are and in capitals."""
+    every = " ".join(lists.values())
+    return every + " " + every.upper()
+
+
 _TITLE = _any(" ".join(TITLES.values()))
 #: Per kind of mention, in the order in which they are tried.
 MENTIONS = {
@@ -56,7 +62,7 @@ MENTIONS = {
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"\d(?:[ -]?\d){12,18}(?!\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
-    "name": rf"{_TITLE}\.? {_NAME}(?: {_NAME})?|{_any(' '.join(GIVEN.values()))} {_any(' '.join(FAMILY.values()))}(?!\p{{L}})",
+    "name": rf"{_TITLE}\.? {_NAME}(?: {_NAME})?|{_any(_both(GIVEN))} {_any(_both(FAMILY))}(?!\p{{L}})",
 }
 PATTERN = r"(?<![\p{L}\p{N}_])(?:" + "|".join(MENTIONS.values()) + ")"
 
@@ -92,7 +98,7 @@ def pieces_of(m: Column) -> Column:
     name = F.substr(m, F.length(title) + 1)
     given, family = F.when(name.contains(" "), F.substring_index(name, " ", 1)), F.substring_index(name, " ", -1)
     script = F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    listed = F.when(given.rlike("^" + _any(GIVEN["f:latin"] + " " + GIVEN["f:cyrillic"]) + "$"), "f")
+    listed = F.when(F.initcap(given).rlike("^" + _any(GIVEN["f:latin"] + " " + GIVEN["f:cyrillic"]) + "$"), "f")
     gender = F.when(title.rlike("^" + _any(TITLES["f"])), "f").when(title != "", "m").otherwise(F.coalesce(listed, F.lit("m")))
     person = F.array(
         _plain(title),
