@@ -124,10 +124,9 @@ def test_anonymised_text_holds_no_match(spark, folder):
         assert not any(re.search(rx, r["t"]) for r in out)
 
 
-@pytest.mark.parametrize("distributed", [False, True])
-def test_names_get_consistent_codes(spark, distributed):
+def test_names_get_consistent_codes(spark):
     df = spark.createDataFrame([("Zed",), (" Ann ",), (None,), ("Ann",), ("",)], "full_name string")
-    got = [r[0] for r in N.anon_names(df, "full_name", distributed).collect()]
+    got = [r[0] for r in N.anon_names(df, "full_name").collect()]
     assert sorted(map(str, got)) == ["", "None", "PERSON_001", "PERSON_001", "PERSON_002"]
 
 

@@ -288,11 +288,11 @@ def rank_sensitive(df: DataFrame, pii: DataFrame | None = None, drift: DataFrame
     ).orderBy(F.desc("score"), "column")
 
 
-def outlier_exposure(df: DataFrame, columns: Sequence[str] | None = None, distributed: bool | None = None) -> DataFrame:
+def outlier_exposure(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, direction, value, extreme_ratio, fence, severity): the farthest value beyond q1-3 iqr or q3+3 iqr."""
     names = list(columns or numeric_columns(df))
     counts = value_counts(melt_numbers(df, names))
-    q = exact_quantiles(counts, ["column"], [0.25, 0.75], distributed).where("total >= 4")
+    q = exact_quantiles(counts, ["column"], [0.25, 0.75]).where("total >= 4")
     q = q.select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), (F.col("q")[1] - F.col("q")[0]).alias("iqr")).where("iqr > 0")
     j = counts.join(F.broadcast(q), "column")
     lo, hi = F.col("q1") - 3 * F.col("iqr"), F.col("q3") + 3 * F.col("iqr")
@@ -354,11 +354,11 @@ def recommend(reid: DataFrame, density: Column, outliers: DataFrame, pii: DataFr
 
 
 def anomaly_signals(profile: DataFrame, drift: DataFrame, outliers: DataFrame) -> DataFrame:
-    """(column, issue, severity): drift (8 largest), missing cells, high variation, outliers (5 largest).
+    """(column, issue, severity): drift, missing cells, high variation, outliers.
 
     ``profile`` needs column, kind, null_ratio, mean and std.
     """
-    moved = drift.orderBy(F.desc("drift"), "column").limit(8).where("drift > 0.15").select(
+    moved = drift.where("drift > 0.15").select(
         "column", F.lit("Distribution drift").alias("issue"), F.when(F.col("drift") > 0.30, "high").otherwise("medium").alias("severity")
     )
     missing = profile.where("null_ratio > 0.30").select(
@@ -367,7 +367,7 @@ def anomaly_signals(profile: DataFrame, drift: DataFrame, outliers: DataFrame) -
     varied = profile.where("kind = 'numeric' and mean <> 0 and abs(std / mean) > 3.0").select(
         "column", F.lit("High variance / skewed distribution").alias("issue"), F.lit("medium").alias("severity")
     )
-    exposed = outliers.orderBy(F.desc("extreme_ratio"), "column", "direction").limit(5).select(
+    exposed = outliers.select(
         "column", F.lit("Outlier exposure risk").alias("issue"), F.when(F.col("severity").isin("critical", "high"), "high").otherwise("medium").alias("severity")
     )
     return moved.unionByName(missing).unionByName(varied).unionByName(exposed)

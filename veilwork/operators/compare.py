@@ -159,13 +159,13 @@ def drift_summary(drift: DataFrame) -> DataFrame:
 
 
 def ks_statistic(
-    original: DataFrame, synthetic: DataFrame, columns: Sequence[str] | None = None, distributed: bool | None = None
+    original: DataFrame, synthetic: DataFrame, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """(column, ks): largest gap between the two empirical distribution functions."""
     names = list(columns or [c for c in numeric_columns(original) if c in synthetic.columns])
     counts = side_counts(original, synthetic, names, numeric=True)
     totals = counts.groupBy("column").agg(F.sum("n_o").alias("t_o"), F.sum("n_s").alias("t_s"))
-    placed = running_totals(counts, ["column"], ["value"], ["n_o", "n_s"], distributed).join(F.broadcast(totals), "column")
+    placed = running_totals(counts, ["column"], ["value"], ["n_o", "n_s"]).join(F.broadcast(totals), "column")
     gap = F.abs((F.col("before_n_o") + F.col("n_o")) / F.col("t_o") - (F.col("before_n_s") + F.col("n_s")) / F.col("t_s"))
     return placed.where("t_o > 0 and t_s > 0").groupBy("column").agg(F.max(gap).alias("ks"))
 
@@ -181,9 +181,9 @@ def category_max_gap(original: DataFrame, synthetic: DataFrame, columns: Sequenc
     return j.groupBy("column").agg(F.max(gap).alias("gap"))
 
 
-def fidelity(original: DataFrame, synthetic: DataFrame, distributed: bool | None = None) -> DataFrame:
+def fidelity(original: DataFrame, synthetic: DataFrame) -> DataFrame:
     """(column, kind, gap, label) per shared column: KS for numbers, largest share gap for categories."""
-    ks = ks_statistic(original, synthetic, distributed=distributed).select("column", F.lit("numeric").alias("kind"), F.col("ks").alias("gap"))
+    ks = ks_statistic(original, synthetic).select("column", F.lit("numeric").alias("kind"), F.col("ks").alias("gap"))
     gaps = category_max_gap(original, synthetic).select("column", F.lit("categorical").alias("kind"), "gap")
     label = F.when(F.col("gap") < 0.05, "PASS").when(F.col("gap") < 0.15, "WARN").otherwise("FAIL")
     return ks.unionByName(gaps).withColumn("label", label)

@@ -34,7 +34,7 @@ def with_label(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("_label", text_cell(df, label))
 
 
-def _grouped_profile(long: DataFrame, groups: Sequence[str], min_rows: int, distributed: bool | None = None) -> DataFrame:
+def _grouped_profile(long: DataFrame, groups: Sequence[str], min_rows: int) -> DataFrame:
     """Moments and 15 percentiles of (groups.., value); the long rows are collapsed to value counts first."""
     counts = long.groupBy(*groups, "value").agg(F.count("*").alias("n"))
     moments = long.groupBy(*groups).agg(
@@ -44,7 +44,7 @@ def _grouped_profile(long: DataFrame, groups: Sequence[str], min_rows: int, dist
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
-    levels = exact_quantiles(counts, groups, PROBS, distributed).select(*groups, "q")
+    levels = exact_quantiles(counts, groups, PROBS).select(*groups, "q")
     std = F.when(F.coalesce("std", F.lit(0.0)) > 0, F.col("std")).otherwise(F.lit(1e-6))
     return (
         moments.where(F.col("n") >= min_rows)
@@ -53,11 +53,11 @@ def _grouped_profile(long: DataFrame, groups: Sequence[str], min_rows: int, dist
     )
 
 
-def class_stats(df: DataFrame, label: str, columns: Sequence[str] | None = None, distributed: bool | None = None) -> DataFrame:
+def class_stats(df: DataFrame, label: str, columns: Sequence[str] | None = None) -> DataFrame:
     """(label, column, n, mean, std, min, max, q01..q99) for classes with at least two values."""
     names = [c for c in (columns or numeric_columns(df)) if c != label]
     long = melt_numbers(with_label(df, label), names, ["_label"]).where(F.col("_label").isNotNull())
-    return _grouped_profile(long.withColumnRenamed("_label", "label"), ["label", "column"], 2, distributed)
+    return _grouped_profile(long.withColumnRenamed("_label", "label"), ["label", "column"], 2)
 
 
 def class_value_ratios(df: DataFrame, label: str, columns: Sequence[str] | None = None) -> DataFrame:

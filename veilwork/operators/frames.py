@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.functions.numeric import PROBS, is_integer_type, is_numeric_type, plain_text
-from veilwork.functions.sizing import ONE_GROUP_LIMIT, fits, maybe_broadcast
+from veilwork.functions.sizing import fits, maybe_broadcast
 from veilwork.session import cut_lineage
 
 _ROW_BITS = 33
@@ -87,21 +87,13 @@ def running_totals(
     groups: Sequence[str],
     order: Sequence[str],
     weights: Sequence[str],
-    distributed: bool | None = None,
 ) -> DataFrame:
     """Add ``before_<w>``: the sum of weight ``w`` over the rows that precede in ``order`` within ``groups``.
 
-    Small inputs use one window per group. Beyond a checked size a group may not be sorted in one task: the rows
-    are range-sorted across the cluster, each partition is summed, and the partition offsets (one row per
-    partition) are added back. The sorted rows are checkpointed first so that both reads see the same partitions.
+    The rows are range-sorted across the cluster, each partition is summed, and the partition offsets (one row per
+    partition) are added back, so no group has to fit one task. The sorted rows are written first so that both reads
+    see the same partitions.
     """
-    if distributed is None:
-        distributed = not fits(df, ONE_GROUP_LIMIT)
-    if not distributed:
-        w = Window.partitionBy(*groups).orderBy(*order) if groups else Window.orderBy(*order)
-        w = w.rowsBetween(Window.unboundedPreceding, -1)
-        return df.select("*", *[F.coalesce(F.sum(x).over(w), F.lit(0)).alias(f"before_{x}") for x in weights])
-
     frozen = cut_lineage(df.orderBy(*groups, *order).withColumn("_at", F.monotonically_increasing_id()))
     frozen = frozen.withColumn("_part", F.shiftright("_at", _ROW_BITS))
     inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,27 +122,18 @@ def exact_quantiles(
     counts: DataFrame,
     groups: Sequence[str],
     probs: Iterable[float] = PROBS,
-    distributed: bool | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group from value counts (groups.., value double, n long).
 
     Returns groups plus ``total``, ``distinct`` and the array ``q``. The two order statistics of every level are
-    found from running totals over the pre-aggregated values; ``running_totals`` sorts across the cluster beyond a
-    checked size, so no task ever holds a whole column.
+    found from running totals over the pre-aggregated values, so no task ever holds a whole column.
     """
     probs = list(probs)
     if not groups:
-        return exact_quantiles(counts.withColumn("_all", F.lit(0)), ["_all"], probs, distributed).drop("_all")
-    if distributed is None:
-        distributed = not fits(counts, ONE_GROUP_LIMIT)
-    if distributed:
-        placed = running_totals(counts, groups, ["value"], ["n"], distributed=True)
-        totals = placed.groupBy(*groups).agg(F.sum("n").alias("total"))
-        placed = placed.join(maybe_broadcast(totals), list(groups))
-    else:
-        # the total rides on the same partitioning as the running sum
-        summed = counts.withColumn("total", F.sum("n").over(Window.partitionBy(*groups)))
-        placed = running_totals(summed, groups, ["value"], ["n"], distributed=False)
+        return exact_quantiles(counts.withColumn("_all", F.lit(0)), ["_all"], probs).drop("_all")
+    placed = running_totals(counts, groups, ["value"], ["n"])
+    totals = placed.groupBy(*groups).agg(F.sum("n").alias("total"))
+    placed = placed.join(maybe_broadcast(totals), list(groups))
     picks = []
     for i, p in enumerate(probs):
         at = F.lit(p) * (F.col("total") - 1)
@@ -173,33 +156,32 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def hot_keys(left: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys holding more than 1/1000 of a one-in-16 sample of the rows: at most 1000 of them."""
+    """(keys.., _share) of keys with more than 1/1000 of a one-in-16 sample of the rows: at most 1000, evaluated once."""
     part = left.select(*keys).sample(1 / 16, seed=1)
     counts = part.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = part.groupBy().agg(F.count(F.lit(1))).scalar()
-    return counts.where(F.col("_n") * 1000 > total).select(*keys, F.lit(True).alias("_hot"))
+    return pinned(counts.where(F.col("_n") * 1000 > total).select(*keys, (F.col("_n") / total).alias("_share")))
 
 
-def spread_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, salts: int = 32, hot: DataFrame | None = None
-) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, hot: DataFrame | None = None) -> DataFrame:
     """Equi-join of a possibly skewed ``left`` with a ``right`` that has one row per key.
 
-    Rows of hot keys (given, or found in a sample; missing one costs time, never rows) are split over ``salts``
-    tasks, the matching right rows being repeated once per salt. All other rows take the plain join. Null keys
-    match nothing.
+    Rows of hot keys (given with their share, at most 1000 and evaluated, or found in a sample; missing one costs time,
+    never rows) are split by a hash of the row, which a repeated task finds again, into parts of half an even partition;
+    the matching right rows are repeated once per part. All other rows take the plain join. Null keys match nothing.
     """
     keys = list(keys)
     if fits(right, 8 << 20):
         return left.join(F.broadcast(right), keys, how)
     hot = hot_keys(left, keys) if hot is None else hot
-    marked = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return marked.join(repeated, keys + ["_salt"], how).drop("_salt", "_hot")
+    width = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = (F.ceil(F.col("_share") * 2 * width) + 1).cast("int")
+    hashed = [cell(f.name) for f in left.schema.fields if "map<" not in f.dataType.simpleString()]
+    salt = F.when(F.col("_share").isNotNull(), F.pmod(F.xxhash64(*hashed), parts)).otherwise(0).cast("int")
+    marked = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
+    copies = F.when(F.col("_share").isNotNull(), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    repeated = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(copies)).drop("_share")
+    return marked.join(repeated, keys + ["_salt"], how).drop("_salt", "_share")
 
 
 def rising_columns(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

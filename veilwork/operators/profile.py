@@ -58,7 +58,7 @@ def number_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def profile_numeric(
-    df: DataFrame, columns: Sequence[str] | None = None, distributed: bool | None = None
+    df: DataFrame, columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Full numeric profile: nulls, moments, distinct count, 15 exact percentiles, fences, whole-number flag."""
     names = list(columns or numeric_columns(df))
@@ -76,7 +76,7 @@ def profile_numeric(
         ]
 
     moments = column_rows(df, names, fields)
-    levels = exact_quantiles(number_counts(df, names), ["column"], PROBS, distributed)
+    levels = exact_quantiles(number_counts(df, names), ["column"], PROBS)
     cut = {n: F.col("q")[i] for i, n in enumerate(PROB_NAMES)}
     iqr = cut["q75"] - cut["q25"]
     return moments.join(levels, "column", "left").select(
@@ -224,7 +224,7 @@ def histogram(sides: dict[str, DataFrame], columns: Sequence[str], bins: int = 2
     return binned.groupBy("column", "side", at.cast("int").alias("bin")).agg(F.sum("n").alias("n"))
 
 
-def stat_summary(df: DataFrame, columns: Sequence[str] | None = None, distributed: bool | None = None) -> DataFrame:
+def stat_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """min, max, mean, population deviation, upper median and count over all rows."""
     names = list(columns or numeric_columns(df))
 
@@ -233,7 +233,7 @@ def stat_summary(df: DataFrame, columns: Sequence[str] | None = None, distribute
         return [F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.count(x).alias("count")]
 
     moments = column_rows(df, names, fields)
-    placed = running_totals(number_counts(df, names), ["column"], ["value"], ["n"], distributed)
+    placed = running_totals(number_counts(df, names), ["column"], ["value"], ["n"])
     middle = F.floor(F.col("count") / 2)
     found = placed.join(F.broadcast(moments.select("column", "count")), "column").where(
         (F.col("before_n") <= middle) & (middle < F.col("before_n") + F.col("n"))

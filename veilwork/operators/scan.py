@@ -189,7 +189,7 @@ def detect_pii_columns(df: DataFrame, columns: Sequence[str] | None = None) -> D
     def fields(c):
         v = text_cell(df, c)
         long_enough = F.length(v) >= 3
-        hits = [F.count(F.when(long_enough & v.rlike("(?i)" + rx), 1)) for _, rx, _, _ in P.COLUMN_PATTERNS]
+        hits = [F.count(F.when(long_enough & v.rlike("(?i)" + rx), 1)) for _, rx, _ in P.COLUMN_PATTERNS]
         odd = F.when(F.length(v) >= P.ENTROPY_LENGTH, entropy_bits(v) >= P.ENTROPY_BITS)
         return [
             F.count(F.lit(1)).alias("rows"),
@@ -216,7 +216,7 @@ def detect_pii_columns(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
     n = F.greatest(F.col("n"), F.lit(1))
     parts = []
-    for i, (category, _, severity, _) in enumerate(P.COLUMN_PATTERNS):
+    for i, (category, _, severity) in enumerate(P.COLUMN_PATTERNS):
         hits = F.col("hits")[i]
         parts.append(row(hits > 0, category, severity, F.round(F.least(F.lit(1.0), 0.5 + hits / n * 3.0), 2), "regex", hits))
     odd_floor = F.greatest(F.lit(1), F.floor(F.col("n") / 20))

@@ -177,73 +177,55 @@ def sample_text(rows: DataFrame, source: DataFrame, column: str, seed: int, allo
 # ---- joint draws -------------------------------------------------------------------------------------------------
 
 
-def nearest_positive(matrix: np.ndarray) -> np.ndarray:
-    """Symmetric part with eigenvalues floored at 1e-8."""
-    values, vectors = np.linalg.eigh((matrix + matrix.T) / 2.0)
-    return vectors @ np.diag(np.maximum(values, 1e-8)) @ vectors.T
-
-
 def correlated_normals(rows: DataFrame, names: Sequence[str], mean: Sequence[float], cov: np.ndarray, seed: int, stream: str) -> DataFrame:
-    """Add one column per dimension: mean + L z with independent normals z and the k x k Cholesky factor L."""
-    factor = np.linalg.cholesky(nearest_positive(np.asarray(cov, dtype=float)))
+    """Add one column per dimension: mean + A z with independent normals z.
+
+    A holds the eigenvectors of the covariance, each times the root of its eigenvalue; a matrix that is not positive
+    loses its negative directions.
+    """
+    values, vectors = np.linalg.eigh(np.asarray(cov, dtype=float))
+    factor = vectors * np.sqrt(np.clip(values, 1e-8, None))
     z = [f"_n_{stream}_{j}" for j in range(len(factor))]
     staged = with_draws(rows, {n: normal(F.col("row_id"), seed, f"{stream}/{j}") for j, n in enumerate(z)})
     out = {}
     for i, name in enumerate(names):
         total = F.lit(float(mean[i]))
-        for j in range(i + 1):
+        for j in range(len(factor)):
             if abs(factor[i, j]) > 1e-15:
                 total = total + F.lit(float(factor[i, j])) * cell(z[j])
         out[name] = total
     return with_draws(staged, out).drop(*z)
 
 
-def normal_scores(df: DataFrame, columns: Sequence[str], label: str | None = None, ranks: str = "auto") -> DataFrame:
-    """Probit of each value's rank share (ties share their mean rank), per class when a label is given.
-
-    ``exact`` joins every value to its rank; ``curve`` reads the share from 101 stored quantiles without moving
-    rows. ``auto`` takes the exact form while the table is of a checked size.
-    """
-    if ranks == "auto":
-        ranks = "exact" if fits(df, ONE_GROUP_LIMIT) else "curve"
+def normal_scores(df: DataFrame, columns: Sequence[str], label: str | None = None) -> DataFrame:
+    """Probit of each value's rank share (ties share their mean rank), per class when a label is given."""
     tag = F.lit("all") if label is None else text_cell(df, label)
     out = df.select(tag.alias("_label"), *[number_cell(df, c).alias(c) for c in columns])
     counts = value_counts(melt_numbers(out, columns, ["_label"]), ["_label"])
-    share = lambda r: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), r))
-    if ranks == "exact":
-        totals = counts.groupBy("_label", "column").agg(F.sum("n").alias("total"))
-        placed = running_totals(counts, ["_label", "column"], ["value"], ["n"]).join(maybe_broadcast(totals), ["_label", "column"])
-        rank = (F.col("before_n") + (F.col("n") + 1) / 2.0) / F.col("total")
-        shares = placed.select("_label", "column", "value", share(rank).alias("_p"))
-        table = shares.select("_label", "column", "value", probit(F.col("_p")).alias("_z"))
-        often = counts.join(maybe_broadcast(totals), ["_label", "column"]).where(F.col("n") * 1000 > F.col("total"))
-        for c in columns:
-            part = table.where(F.col("column") == c).select("_label", F.col("value").alias(c), F.col("_z").alias(f"z_{c}"))
-            hot = often.where(F.col("column") == c).select("_label", F.col("value").alias(c), F.lit(True).alias("_hot"))
-            out = spread_join(out, part, ["_label", c], "left", hot=hot)
-        return out.select("_label", *[F.col(f"z_{c}").alias(c) for c in columns])
-    levels = [i / 100 for i in range(101)]
-    q = exact_quantiles(counts, ["_label", "column"], levels)
-    wide = q.groupBy("_label").pivot("column", list(columns)).agg(F.first("q"))
-    joined = out.join(maybe_broadcast(wide.select("_label", *[F.col(c).alias(f"q_{c}") for c in columns])), "_label", "left")
-
-    def part(c):
-        below = F.size(F.filter(F.col(f"q_{c}"), lambda x: x < F.col(c)))
-        upto = F.size(F.filter(F.col(f"q_{c}"), lambda x: x <= F.col(c)))
-        return F.when(F.col(c).isNotNull(), share((below + upto) / 2.0 / 101.0))
-
-    staged = with_draws(joined, {f"_p_{c}": part(c) for c in columns})
-    return staged.select("_label", *[probit(cell(f"_p_{c}")).alias(c) for c in columns])
-
-
-def copula_fit(df: DataFrame, columns: Sequence[str], label: str | None = None, ranks: str = "auto") -> DataFrame:
+    totals = counts.groupBy("_label", "column").agg(F.sum("n").alias("total"))
+    placed = running_totals(counts, ["_label", "column"], ["value"], ["n"]).join(maybe_broadcast(totals), ["_label", "column"])
+    rank = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (F.col("before_n") + (F.col("n") + 1) / 2.0) / F.col("total")))
+    shares = placed.select("_label", "column", "value", rank.alias("_p"))
+    table = shares.select("_label", "column", "value", probit(F.col("_p")).alias("_z"))
+    # shares of all rows, not of a class: at most a thousand values per column, one row per column is broadcast
+    grand = counts.groupBy("column").agg(F.sum("n").alias("whole"))
+    often = counts.join(F.broadcast(grand), "column").where(F.col("n") * 1000 > F.col("whole"))
+    often = pinned(often.select("_label", "column", "value", (F.col("n") / F.col("whole")).alias("_share")))
+    for c in columns:
+        part = table.where(F.col("column") == c).select("_label", F.col("value").alias(c), F.col("_z").alias(f"z_{c}"))
+        hot = often.where(F.col("column") == c).select("_label", F.col("value").alias(c), "_share")
+        out = spread_join(out, part, ["_label", c], "left", hot=hot)
+    return out.select("_label", *[F.col(f"z_{c}").alias(c) for c in columns])
+
+
+def copula_fit(df: DataFrame, columns: Sequence[str], label: str | None = None) -> DataFrame:
     """(label, n, col_a, col_b, mean_a, mean_b, cov): shrunk covariances of the normal scores on complete rows.
 
     Classes need at least columns + 2 rows; without a label there is one class ``all``.
     """
     names = list(columns)
     k = len(names)
-    z = normal_scores(df, names, label, ranks).dropna(subset=names)
+    z = normal_scores(df, names, label).dropna(subset=names)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     structs = [
         F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.avg(cell(a)).alias("mean_a"), F.avg(cell(b)).alias("mean_b"), F.covar_samp(cell(a), cell(b)).alias("cov"))

@@ -24,7 +24,8 @@ OPERATORS = ("<", "<=", ">", ">=", "!=")
 
 def _with_uniforms(df: DataFrame, columns: Sequence[str], key: str, seed: int, purpose: str) -> DataFrame:
     """Add ``_u_<column>`` in a projection of its own, because the redraw formulas read it many times."""
-    row = F.abs(F.col(key).cast("long"))
+    whole = is_integer_type(df.schema[key].dataType)
+    row = F.abs(F.col(key).cast("long")) if whole else F.pmod(F.xxhash64(cell(key)), F.lit(1 << 53))
     return df.select("*", *[uniform(row, seed, f"{purpose}/{c}").alias(f"_u_{c}") for c in columns])
 
 

@@ -650,10 +650,10 @@ prof AS (SELECT 'o_totalprice' AS "column", 'numeric' AS kind, avg(CASE WHEN o_t
   UNION ALL SELECT 'o_custkey', 'numeric', avg(CASE WHEN o_custkey IS NULL THEN 1.0 ELSE 0.0 END), avg(o_custkey), stddev_samp(o_custkey) FROM holes
   UNION ALL SELECT 'o_orderstatus', 'categorical', avg(CASE WHEN o_orderstatus IS NULL THEN 1.0 ELSE 0.0 END), NULL, NULL FROM holes
   UNION ALL SELECT 'o_orderpriority', 'categorical', avg(CASE WHEN o_orderpriority IS NULL THEN 1.0 ELSE 0.0 END), NULL, NULL FROM holes),
-anom AS (SELECT "column", 'Distribution drift' AS issue, CASE WHEN drift > 0.3 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT "column", drift * 10 AS drift FROM drift ORDER BY drift DESC, "column" LIMIT 8) WHERE drift > 0.15
+anom AS (SELECT "column", 'Distribution drift' AS issue, CASE WHEN drift > 0.3 THEN 'high' ELSE 'medium' END AS severity FROM (SELECT "column", drift * 10 AS drift FROM drift) WHERE drift > 0.15
   UNION ALL SELECT "column", 'High missing rate', CASE WHEN null_ratio > 0.6 THEN 'high' ELSE 'medium' END FROM prof WHERE null_ratio > 0.3
   UNION ALL SELECT "column", 'High variance / skewed distribution', 'medium' FROM prof WHERE kind = 'numeric' AND mean <> 0 AND abs(std / mean) > 3
-  UNION ALL SELECT "column", 'Outlier exposure risk', CASE WHEN severity IN ('critical', 'high') THEN 'high' ELSE 'medium' END FROM (SELECT * FROM outl ORDER BY extreme_ratio DESC, "column", direction LIMIT 5))"""
+  UNION ALL SELECT "column", 'Outlier exposure risk', CASE WHEN severity IN ('critical', 'high') THEN 'high' ELSE 'medium' END FROM outl)"""
 
 
 def anomaly_inputs(spark, folder):

@@ -68,7 +68,6 @@ def _(spark, folder):
 
 
 GRAPH_COLUMNS = LINKED_NUMBERS + LINKED_CATEGORIES
-NODE_OF = {c: e for e, cs in G.column_entities(GRAPH_COLUMNS).items() for c in cs}
 PEARSON_LINKED = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS v FROM linked" for i, a in enumerate(LINKED_NUMBERS) for b in LINKED_NUMBERS[i + 1 :])
 
 

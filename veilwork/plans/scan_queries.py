@@ -143,10 +143,10 @@ PII_COLUMNS = CONTACT_TEXTS + ["c_mktsegment", "c_acctbal"]
 
 def pii_sql():
     long = union_sql(PII_COLUMNS, "SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM contacts")
-    hits = ", ".join(f"count(*) FILTER (length(v) >= 3 AND regexp_matches(v, {lit('(?i)' + rx)})) AS h{i}" for i, (_, rx, _, _) in enumerate(P.COLUMN_PATTERNS))
+    hits = ", ".join(f"count(*) FILTER (length(v) >= 3 AND regexp_matches(v, {lit('(?i)' + rx)})) AS h{i}" for i, (_, rx, _) in enumerate(P.COLUMN_PATTERNS))
     parts = [
         f"SELECT \"column\", '{c}' AS category, '{s}' AS severity, round(least(1.0, 0.5 + h{i} / n * 3.0), 2) AS confidence, 'regex' AS method, h{i} AS sample_count FROM s WHERE h{i} > 0"
-        for i, (c, _, s, _) in enumerate(P.COLUMN_PATTERNS)
+        for i, (c, _, s) in enumerate(P.COLUMN_PATTERNS)
     ]
     parts.append("SELECT \"column\", 'high_entropy_token', 'high', least(1.0, 0.4 + odd / n), 'entropy', odd FROM s WHERE n > 0 AND odd >= greatest(1, n // 20)")
     parts.append("SELECT \"column\", 'quasi_identifier', 'high', CAST(0.85 AS DOUBLE), 'uniqueness_ratio', -1 FROM s WHERE n > 0 AND d / r > 0.95 AND r > 5")

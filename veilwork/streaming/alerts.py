@@ -22,7 +22,7 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return stream.repartition(spark.sparkContext.defaultParallelism) if fits(today, SPREAD_LIMIT) else stream
 
 
-def run_available(stream: DataFrame, label: str, mode: str = "append", timeout: int = 600) -> DataFrame:
+def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Process everything available into a parquet table with exactly-once file commits, and read it back."""
     spark = stream.sparkSession
     base = scratch_path(spark, label)
@@ -30,13 +30,11 @@ def run_available(stream: DataFrame, label: str, mode: str = "append", timeout:
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start(out)
     )
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(f"stream {label} did not finish in {timeout} s")
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame], DataFrame], schema: str, timeout: int = 600) -> DataFrame:
+def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
     """Batch-only logic per micro-batch. Every batch overwrites its own folder, so a repeated batch leaves no copy."""
     spark = stream.sparkSession
     base = scratch_path(spark, label)
@@ -45,9 +43,7 @@ def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame], Dat
         handle(batch).write.mode("overwrite").parquet(f"{base}/table/batch={number}")
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
-    if not query.awaitTermination(timeout):
-        query.stop()
-        raise TimeoutError(f"stream {label} did not finish in {timeout} s")
+    query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{base}/table").drop("batch")
 
 
