@@ -61,6 +61,20 @@ def test_other_methods(spark, mixed, method):
     assert V.count_out_of_range(made.select(*mixed.columns), P.constraints(mixed)).agg(F.sum("repaired")).first()[0] == 0
 
 
+def test_generation_keeps_categories_tied_and_whole(spark):
+    u = lambda name: uniform(F.col("id"), 3, name)
+    x = 100 + 15 * F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * np.pi * u("b"))
+    df = spark.range(3000).select((x + u("e")).alias("x"), (u("c") * 50).alias("y"), F.when(x > 100, "high").otherwise("low").alias("side"))
+    was = A.cat_num_association(df, ["side"], ["x"]).first()["value"]
+    got = A.cat_num_association(S.generate(df, 3000, 4, method="copula"), ["side"], ["x"]).first()["value"]
+    assert abs(was) > 0.7 and abs(got) == pytest.approx(abs(was), abs=0.1)
+    cities = spark.range(6000).select((F.col("id") * 1.5).alias("x"), F.concat(F.lit("city"), F.col("id") % 300).alias("city"))
+    model = S.fit(cities, method="marginal", overrides={"city": "LOW_CARD_CATEGORICAL"})
+    assert S.draw_rows(spark, model, 6000, 3).select("city").distinct().count() == 300
+    assert S.bootstrap_independent(cities, 6000, 3).select("city").distinct().count() == 300
+    assert S.sample_by_label(cities, "city", [], ["x"], 6000, 3).where("city IS NOT NULL AND x IS NOT NULL").select("city").distinct().count() == 300
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     rows = lambda parts: spark.range(0, 1000, 1, parts).withColumnRenamed("id", "row_id")
     model = S.fit(spark.range(300).select((F.col("id") % 7 * 1.5).alias("x"), F.when(F.col("id") % 4 == 0, "a").otherwise("b").alias("y")), method="marginal")
@@ -258,6 +272,14 @@ def test_sources(spark, tmp_path):
     lines.write_text('{"a": 1}\n{"a": oops\n{"a": 3}\n')
     good, bad = B.read_json_records(spark, str(lines))
     assert sorted(r["a"] for r in good.collect()) == [1, 3]
+    assert [r[0] for r in bad.collect()] == ['{"a": oops']
+    lines = tmp_path / "s.jsonl"
+    lines.write_text("5\nnope\n7\n")
+    good, bad = B.read_json_records(spark, str(lines))
+    assert (sorted(r["value"] for r in good.collect()), bad.count()) == ([5, 7], 1)
+    doc.write_text("[[1, 2],\n [3]]")
+    rows, _ = B.read_json_records(spark, str(doc), [0], lines=False)
+    assert [r["value"] for r in rows.collect()] == [1, 2]
     df = spark.createDataFrame([(1, 'say "hi", you'), (2, "two\nlines"), (3, None), (4, "")], "id int, t string")
     B.write_table(df, str(tmp_path / "o.csv"), "csv")
     back = B.read_table(spark, str(tmp_path / "o.csv"), schema=df.schema, multiline=True)

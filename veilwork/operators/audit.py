@@ -30,10 +30,10 @@ MAX_SAMPLE = 10_000
 def k_anonymity(df: DataFrame, categories: Sequence[str] | None = None, numbers: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
     """(min_k, mean_k, unique_groups, total_groups, unique_share, vulnerable, severity) over quasi-identifier groups.
 
-    Up to five non-numeric columns as they are and three numeric ones in ten right-closed equal-width bins.
+    Non-numeric columns as they are and numeric ones in right-closed equal-width bins; all columns unless named.
     """
-    cats = list(categories if categories is not None else other_columns(df)[:5])
-    nums = list(numbers if numbers is not None else numeric_columns(df)[:3])
+    cats = list(categories if categories is not None else other_columns(df))
+    nums = list(numbers if numbers is not None else numeric_columns(df))
     picked = df.select(
         *[F.coalesce(text_cell(df, c), F.lit("__NA__")).alias(f"c{i}") for i, c in enumerate(cats)],
         *[F.coalesce(number_cell(df, c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(nums)],

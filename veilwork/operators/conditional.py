@@ -114,17 +114,21 @@ def protect_sparse(freqs: DataFrame, groups: Sequence[str], factor: float = 0.5,
 
 
 def class_freq(
-    df: DataFrame, label: str, columns: Sequence[str] | None = None, pull: float = CLASS_PULL, protect: bool = True
+    df: DataFrame, label: str, columns: Sequence[str] | None = None, pull: float = CLASS_PULL, protect: bool = True,
+    max_values: int | None = STORED_VALUES,
 ) -> DataFrame:
     """(label, column, value, n_group, raw, p): per class frequencies shrunk to the overall ones.
 
-    Columns with more than 200 distinct values have no stored distribution and are left out.
+    Columns with more than ``max_values`` distinct values have no stored distribution and are left out; None keeps all.
     """
     names = [c for c in (columns or other_columns(df)) if c != label]
     labelled = with_label(df, label).where(F.col("_label").isNotNull())
     counts = value_counts(melt_text(labelled, names, ["_label"]), ["_label"]).withColumnRenamed("_label", "label")
-    overall = with_ratios(counts.groupBy("column", "value").agg(F.sum("n").alias("n"))).where(F.col("distinct") <= STORED_VALUES)
-    kept = counts.join(F.broadcast(overall.select("column").distinct()), "column", "left_semi")
+    overall = with_ratios(counts.groupBy("column", "value").agg(F.sum("n").alias("n")))
+    kept = counts
+    if max_values is not None:
+        overall = overall.where(F.col("distinct") <= max_values)
+        kept = counts.join(F.broadcast(overall.select("column").distinct()), "column", "left_semi")
     out = shrink(kept, overall, ["label"], pull)
     return protect_sparse(out, ["label", "column"]) if protect else out
 

@@ -15,11 +15,14 @@ WARN, CRITICAL = 0.25, 0.55
 BINS = 20
 
 
-def snapshot(df: DataFrame, run_id: str, numbers: Sequence[str] | None = None, others: Sequence[str] | None = None) -> DataFrame:
+def snapshot(
+    df: DataFrame, run_id: str, numbers: Sequence[str] | None = None, others: Sequence[str] | None = None,
+    max_values: int | None = 100, kept: int | None = 20,
+) -> DataFrame:
     """(run_id, column, kind, n, mean, std, q25, q50, q75, min, max, freqs) for all runs in ``df`` at once.
 
-    ``run_id`` is the run column. Numbers need two values; categories at most 100 values, at most 80 % unique,
-    and keep their 20 most frequent shares. Columns starting with an underscore are skipped.
+    ``run_id`` is the run column. Numbers need two values; categories at most ``max_values`` values, at most 80 % unique,
+    and keep their ``kept`` most frequent shares; None lifts a bound. Columns starting with an underscore are skipped.
     """
     nums = [c for c in (numbers if numbers is not None else numeric_columns(df)) if c != run_id and not c.startswith("_")]
     cats = [c for c in (others if others is not None else other_columns(df)) if c != run_id and not c.startswith("_")]
@@ -41,9 +44,11 @@ def snapshot(df: DataFrame, run_id: str, numbers: Sequence[str] | None = None, o
         )
     if cats:
         counts = value_counts(melt_text(base, cats, ["run_id"]), ["run_id"])
-        totals = counts.groupBy("run_id", "column").agg(F.sum("n").alias("t"), F.count("*").alias("k")).where((F.col("k") <= 100) & (F.col("k") / F.col("t") <= 0.8))
+        totals = counts.groupBy("run_id", "column").agg(F.sum("n").alias("t"), F.count("*").alias("k")).where(F.col("k") / F.col("t") <= 0.8)
+        totals = totals if max_values is None else totals.where(F.col("k") <= max_values)
         w = Window.partitionBy("run_id", "column").orderBy(F.desc("n"), "value")
-        top = counts.withColumn("rank", F.row_number().over(w)).where("rank <= 20").join(totals, ["run_id", "column"])
+        top = counts if kept is None else counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kept)
+        top = top.join(totals, ["run_id", "column"])
         none = F.lit(None).cast("double")
         entry = F.struct("value", (F.col("n") / F.col("t")).alias("ratio"))
         parts.append(

@@ -35,9 +35,9 @@ from veilwork.operators.frames import (
     text_cell,
     value_counts,
 )
-from veilwork.operators.profile import constraints, full_value_distribution, profile_numeric, top_values, value_ratios
+from veilwork.operators.profile import constraints, full_value_distribution, profile_numeric, value_ratios
 from veilwork.operators.scan import hint_category
-from veilwork.operators.typing import classify_columns, column_facts
+from veilwork.operators.typing import classify_columns, column_facts, detect_target
 from veilwork.session import cut_lineage
 
 CORRELATED = 0.20
@@ -418,6 +418,11 @@ class TableModel:
     copula: tuple[list[str], np.ndarray, np.ndarray] | None = None
     null_tied: list[str] = field(default_factory=list)
     null_correlation: np.ndarray | None = None
+    coded: dict[str, tuple[list, list[float]]] = field(default_factory=dict)
+    wide: list[str] = field(default_factory=list)
+    pairs: DataFrame | None = None
+    label: str | None = None
+    class_rows: DataFrame | None = None
     source: DataFrame | None = None
     profile: DataFrame | None = None
 
@@ -465,11 +470,9 @@ def fit(df: DataFrame, key: str | None = None, method: str = "conditional", over
             model.ratios[r["column"]] = ([w["value"] for w in r["w"]], [w["ratio"] for w in r["w"]])
     if texts:
         full = full_value_distribution(df, texts).select("column", "value", "ratio")
-        known = {r["column"] for r in full.select("column").distinct().collect()}
-        rest = [c for c in texts if c not in known]
-        table = full.unionByName(top_values(df, rest).select("column", "value", "ratio")) if rest else full
-        for r in table.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("value", "ratio"))).alias("w")).collect():
+        for r in full.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("value", "ratio"))).alias("w")).collect():
             model.ratios[r["column"]] = ([w["value"] for w in r["w"]], [w["ratio"] for w in r["w"]])
+        model.wide = [c for c in texts if c not in model.ratios]
     for c in df.columns:
         if model.roles[c] == "ID_COLUMN":
             model.ids[c] = (kinds[c]["id_strategy"], int(kinds[c]["id_start"] or 0))
@@ -482,15 +485,18 @@ def fit(df: DataFrame, key: str | None = None, method: str = "conditional", over
         rows = null_correlation(df.select(*[cell(c) for c in holes])).collect()
         if len(rows) == len(holes) * (len(holes) - 1) // 2:
             model.null_tied, model.null_correlation = inject_correlation(df.sparkSession.createDataFrame(rows), holes, 0.0)
+    smooth = [c for c in numbers if c not in model.ratios and c in model.curves]
+    small = [c for c in texts if c in model.ratios and 2 <= len(model.ratios[c][0]) <= 50]
+    if len(smooth) >= 2:
+        model.pairs = pinned(pearson_pairs(df, smooth))
+    ties = pinned(cat_num_association(df, small, smooth)) if small and smooth else None
+    if ties is not None:
+        model.label, model.class_rows = class_target(df, small, smooth, model, ties)
     if method == "marginal":
         return model
-    smooth = [c for c in numbers if c not in model.ratios]
-    if method == "copula" and len(smooth) >= 2:
-        mats = copula_matrices(copula_fit(df, smooth), smooth)
-        if "all" in mats:
-            model.copula = (smooth, *mats["all"])
+    if method == "copula":
+        fit_copula(df, small, smooth, model)
         return model
-    small = [c for c in texts if c in model.ratios and 2 <= len(model.ratios[c][0]) <= 50]
     if len(small) >= 2:
         pairs = cramers_v(df, small)
         best = C.best_partners(pairs)
@@ -498,21 +504,78 @@ def fit(df: DataFrame, key: str | None = None, method: str = "conditional", over
         table = cut_lineage(C.cond_freq_cat(df, small, partners=best)) if order else None
         model.order = order
         model.cat_given = {c: (best[c][0], table.where(F.col("column") == c)) for c in order}
-    if small and smooth:
-        links = C.best_categories(cat_num_association(df, small, smooth), STRONG)
+    if ties is not None:
+        links = C.best_categories(ties, STRONG)
         if links:
             # small tables of curves; written once, because every generated batch joins them
             table = cut_lineage(C.cond_profile(df, small, smooth, best=links))
             model.num_given = {c: (p, table.where(F.col("column") == c)) for c, (p, _) in links.items()}
-    if len(smooth) >= 2:
-        model.tied, model.correlation = inject_correlation(pearson_pairs(df, smooth), smooth)
+    if model.pairs is not None:
+        model.tied, model.correlation = inject_correlation(model.pairs, smooth)
     return model
 
 
+def class_target(df: DataFrame, small: Sequence[str], smooth: Sequence[str], model: TableModel, ties: DataFrame) -> tuple[str | None, DataFrame | None]:
+    """The label column that ``detect_target`` finds, and (label, column, mean, std) of the numbers in its classes."""
+    spark = df.sparkSession
+    shown = [(c, str(v)) for c in small for v in model.ratios[c][0]]
+    categorical = spark.createDataFrame([(c, len(model.ratios[c][0])) for c in small], "column string, unique_count long")
+    pairs = model.pairs if model.pairs is not None else spark.createDataFrame([], "col_a string, col_b string, value double")
+    found = detect_target(categorical, spark.createDataFrame(shown, "column string, value string"), pairs, ties, df.count(), smooth).first()
+    if found is None or found["target_type"] != "classification":
+        return None, None
+    label = found["column"]
+    facts = F.array(*[F.struct(F.lit(c).alias("column"), F.avg(number_cell(df, c)).alias("mean"), F.stddev_samp(number_cell(df, c)).alias("std")) for c in smooth])
+    grouped = df.where(cell(label).isNotNull()).groupBy(text_cell(df, label).alias("label")).agg(facts.alias("f"))
+    return label, pinned(grouped.select("label", F.inline("f")))
+
+
+def latent_correlation(cov: np.ndarray, coded: Sequence[bool]) -> np.ndarray:
+    """The correlation of the normals behind scores of which some are categories' codes.
+
+    A code's score is nearly the mean of its normal over the category, so a covariance with it is the correlation
+    times the score's own variance. The matrix is brought back to a positive one with a unit diagonal.
+    """
+    var = np.clip(np.diag(cov), 1e-6, None)
+    scale = np.where(np.asarray(coded), np.minimum(var, 1.0), np.sqrt(var))
+    corr = np.clip(cov / np.outer(scale, scale), -0.99, 0.99)
+    np.fill_diagonal(corr, 1.0)
+    values, vectors = np.linalg.eigh(corr)
+    fixed = (vectors * np.clip(values, 1e-6, None)) @ vectors.T
+    size = np.sqrt(np.diag(fixed))
+    return fixed / np.outer(size, size)
+
+
+def fit_copula(df: DataFrame, small: Sequence[str], smooth: Sequence[str], model: TableModel) -> None:
+    """Numbers and encoded categories under one copula; a category's values lie in the order of their codes."""
+    names = [*smooth, *small]
+    if len(names) < 2:
+        return
+    coded = {}
+    joint = df.select(*[cell(c) for c in names])
+    if small:
+        for r in encode_categories(df, small, smooth).collect():
+            coded.setdefault(r["column"], {})[r["category"]] = r["code"]
+        # at most 50 values per column; values with one code are told apart by their names
+        for c in small:
+            share = dict(zip(map(str, model.ratios[c][0]), model.ratios[c][1]))
+            ordered = sorted((v for v in coded[c] if v in share), key=lambda v: (coded[c][v], v))
+            model.coded[c] = (ordered, [share[v] for v in ordered])
+        places = {c: F.create_map(*[F.lit(x) for i, v in enumerate(model.coded[c][0]) for x in (v, float(i))]) for c in small}
+        joint = df.select(*[cell(c) for c in smooth], *[places[c][text_cell(df, c)].alias(c) for c in small])
+    mats = copula_matrices(copula_fit(joint, names), names)
+    if "all" in mats:
+        mean, cov = mats["all"]
+        is_code = [c in model.coded for c in names]
+        model.copula = (names, np.zeros(len(names)), latent_correlation(cov, is_code))
+    else:
+        model.coded = {}
+
+
 def draw_rows(spark: SparkSession, model: TableModel, n: int, seed: int, start: int = 0, allow_source_text: bool = False) -> DataFrame:
     """``n`` raw rows (with ``row_id``) from a fitted model, before validation."""
     rows = new_rows(spark, n, start)
-    cats = [c for c in model.columns if model.roles[c] == "LOW_CARD_CATEGORICAL" and c in model.ratios]
+    cats = [c for c in model.columns if model.roles[c] == "LOW_CARD_CATEGORICAL" and c in model.ratios and c not in model.coded]
     rows = sample_weighted(rows, {c: model.ratios[c] for c in cats if c not in model.order}, seed)
     for c in model.order:
         given, table = model.cat_given[c]
@@ -523,6 +586,8 @@ def draw_rows(spark: SparkSession, model: TableModel, n: int, seed: int, start:
         names, mean, cov = model.copula
         us = {c: f"_t_{c}" for c in names}
         rows = copula_uniforms(rows, list(us.values()), mean, cov, seed)
+        picks = {c: weighted_pick(F.array(*[F.lit(v) for v in values]), literal(running(w)), cell(us[c])) for c, (values, w) in model.coded.items()}
+        rows = with_draws(rows, picks)
     elif len(model.tied) >= 2:
         us = {c: f"_t_{c}" for c in model.tied}
         rows = copula_uniforms(rows, list(us.values()), np.zeros(len(us)), model.correlation, seed)
@@ -540,7 +605,7 @@ def draw_rows(spark: SparkSession, model: TableModel, n: int, seed: int, start:
     for c in model.columns:
         if c not in rows.columns:
             pooled = model.roles[c] in ("FREE_TEXT", "HIGH_CARD_CATEGORICAL") and hint_category(c) is None
-            rows = sample_text(rows, model.source, c, seed, allow_source_text and pooled)
+            rows = sample_text(rows, model.source, c, seed, c in model.wide or (allow_source_text and pooled))
     return round_and_fill(inject_nulls(rows, model.nulls, seed, model.null_correlation, model.null_tied), model)
 
 
@@ -565,19 +630,25 @@ def bootstrap_independent(df: DataFrame, n: int, seed: int) -> DataFrame:
     rows = new_rows(df.sparkSession, n)
     curves = {r["column"]: curve_of(r) for r in profile_numeric(df, numbers).collect() if r["min"] is not None} if numbers else {}
     others = [c for c in df.columns if c not in numbers]
-    table = full_value_distribution(df, others).unionByName(
-        top_values(df, others, 200).drop("rank").join(full_value_distribution(df, others).select("column").distinct(), "column", "left_anti")
-    ) if others else None
+    table = pinned(full_value_distribution(df, others)) if others else None
+    few = {r["column"] for r in table.select("column").distinct().collect()} if others else set()
     staged = with_draws(rows, {f"_u_{c}": uniform(F.col("row_id"), seed, c) for c in curves})
     out = staged.select("row_id", *[curve_value(literal(k), cell(f"_u_{c}")).alias(c) for c, k in curves.items()])
-    return out if table is None else sample_weighted(out, {c: weight_table(table, c) for c in others}, seed)
+    if few:
+        out = sample_weighted(out, {c: weight_table(table, c) for c in others if c in few}, seed)
+    for c in others:
+        if c not in few:  # all values, met by number; a column of nulls stays null
+            out = sample_text(out, df, c, seed, True)
+    return out.select("row_id", *curves, *others)
 
 
 def sample_by_label(df: DataFrame, label: str, columns: Sequence[str], numbers: Sequence[str], n: int, seed: int) -> DataFrame:
     """Rows drawn label first, then every category and number given the label."""
     spark = df.sparkSession
-    rows = sample_categorical(new_rows(spark, n), full_value_distribution(df, [label]), label, seed)
-    freqs = C.class_freq(df, label, columns).withColumnRenamed("label", label)
+    known = pinned(full_value_distribution(df, [label]))
+    rows = new_rows(spark, n)
+    rows = sample_text(rows, df, label, seed, True) if known.isEmpty() else sample_categorical(rows, known, label, seed)
+    freqs = C.class_freq(df, label, columns, max_values=None).withColumnRenamed("label", label) if columns else None
     stats = C.class_stats(df, label, numbers).withColumnRenamed("label", label)
     for c in columns:
         rows = sample_conditional_category(rows, c, [label], freqs.where(F.col("column") == c).select(label, "value", "p"), seed)
@@ -596,7 +667,7 @@ def sample_by_target(df: DataFrame, target: str, columns: Sequence[str], numbers
     driver_row = C.variance_driver(df, target, columns).first() if columns else None
     driver = driver_row["column"] if driver_row else None
     rows = sample_categorical(new_rows(spark, n), full_value_distribution(binned, ["_bin"]), "_bin", seed)
-    freqs = C.class_freq(binned, "_bin", columns, C.REGRESSION_PULL).withColumnRenamed("label", "_bin") if columns else None
+    freqs = C.class_freq(binned, "_bin", columns, C.REGRESSION_PULL, max_values=None).withColumnRenamed("label", "_bin") if columns else None
     for c in columns:
         rows = sample_conditional_category(rows, c, ["_bin"], freqs.where(F.col("column") == c).select("_bin", "value", "p"), seed)
     whole = curve_of(profile_numeric(df, [target]).first())
@@ -657,11 +728,17 @@ def generate(
     limits = pinned(constraints(df))
     profile = model.profile if model.curves else None
     compared = [c for c in df.columns if c not in model.ids]
+    names = [c for c in df.columns if c in model.ratios and model.roles[c] == "LOW_CARD_CATEGORICAL"]
+    shares = [(c, str(v), float(p)) for c in names for v, p in zip(*model.ratios[c])]
+    distribution = spark.createDataFrame(shares, "column string, value string, ratio double")
     accepted, have, start = None, 0, 0
     for turn in range(max_rounds):
         want = max(1, int((n - have) * (1.5 if turn == 0 else 2.0)) + 8)
         raw = draw_rows(spark, model, want, seed, start, allow_source_text)
-        checked = V.validate(raw, df, limits, profile, "row_id", seed, compared=compared, rules=rules)
+        checked = V.validate(
+            raw, df, limits, profile, "row_id", seed, compared=compared, rules=rules, pairs=model.pairs, distribution=distribution,
+            label=model.label, class_rows=model.class_rows,
+        )
         part = cut_lineage(checked)
         accepted = part if accepted is None else accepted.unionByName(part)
         have, start = accepted.count(), start + want

@@ -82,6 +82,13 @@ def repair_categories(df: DataFrame, distribution: DataFrame, constraint_rows: D
     return _with_uniforms(df, names, key, seed, "repair").select(*out)
 
 
+def count_invented(df: DataFrame, constraint_rows: DataFrame) -> DataFrame:
+    """(column, repaired): cells that ``repair_categories`` would redraw."""
+    allowed = {r["column"]: list(r["allowed"]) for r in constraint_rows.where("kind = 'allowed'").collect()}
+    names = [c for c in df.columns if c in allowed]
+    return column_rows(df, names, lambda c: [F.count(F.when(cell(c).isNotNull() & ~text_cell(df, c).isin(allowed[c]), 1)).alias("repaired")])
+
+
 def complete_schema(df: DataFrame, columns: Sequence[str], profile: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Missing numeric columns drawn from their curve, other missing ones null; order restored, extras dropped."""
     curves = {r["column"]: curve_of(r) for r in profile.collect() if r["min"] is not None}
@@ -181,16 +188,23 @@ def accept_rows(flagged: DataFrame, max_failures: int = 1) -> DataFrame:
 def validate(
     df: DataFrame, original: DataFrame, constraint_rows: DataFrame, profile: DataFrame | None, key: str, seed: int = 42,
     compared: Sequence[str] | None = None, rules: Sequence[dict] = (), max_failures: int = 1, pairs: DataFrame | None = None,
+    distribution: DataFrame | None = None, label: str | None = None, class_rows: DataFrame | None = None,
 ) -> DataFrame:
-    """Repaired, plausible rows that copy no original row: repair, quality checks, cross-column rules, copies."""
+    """Repaired, plausible rows that copy no original row: repair, quality checks, cross-column rules, copies.
+
+    Categories are repaired when their ``distribution`` is given; the joint and the class check need ``pairs`` and
+    ``label`` with ``class_rows`` (label, column, mean, std).
+    """
     out = df
     constraint_rows = pinned(constraint_rows)
+    if distribution is not None:
+        out = repair_categories(out, distribution, constraint_rows, key, seed)
     if profile is not None:
         profile = pinned(profile)
         repaired = repair_ranges(out, constraint_rows, profile, key, seed)
         # The verdict is written with the rows before they are filtered: a filter on formulas would be pushed below
         # the projections that make the columns and repeat their whole text for every use.
-        flagged = cut_lineage(accept_rows(quality_flags(repaired, profile, pairs), max_failures))
+        flagged = cut_lineage(accept_rows(quality_flags(repaired, profile, pairs, label, class_rows), max_failures))
         out = flagged.where("accepted").select(*[cell(c) for c in df.columns])
     else:
         out = cut_lineage(out)
@@ -201,13 +215,22 @@ def validate(
 
 def validation_counts(
     df: DataFrame, original: DataFrame, constraint_rows: DataFrame, profile: DataFrame, key: str, seed: int = 42, compared: Sequence[str] | None = None,
-    pairs: DataFrame | None = None,
+    pairs: DataFrame | None = None, distribution: DataFrame | None = None, label: str | None = None, class_rows: DataFrame | None = None,
+    max_failures: int = 1,
 ) -> DataFrame:
-    """(evaluated, repaired, rejected_quality, rejected_copies, accepted) of one validation run."""
+    """(evaluated, repaired, rejected_quality, rejected_copies, accepted) of one validation run.
+
+    ``repaired`` counts numbers outside their range, and invented categories when their ``distribution`` is given.
+    """
     constraint_rows, profile = pinned(constraint_rows), pinned(profile)
-    repaired = count_out_of_range(df, constraint_rows).agg(F.sum("repaired")).scalar()
-    fixed = repair_ranges(df, constraint_rows, profile, key, seed)
-    flagged = cut_lineage(accept_rows(quality_flags(fixed, profile, pairs)))
+    counts = count_out_of_range(df, constraint_rows)
+    fixed = df
+    if distribution is not None:
+        counts = counts.unionByName(count_invented(df, constraint_rows))
+        fixed = repair_categories(df, distribution, constraint_rows, key, seed)
+    repaired = counts.agg(F.sum("repaired")).scalar()
+    fixed = repair_ranges(fixed, constraint_rows, profile, key, seed)
+    flagged = cut_lineage(accept_rows(quality_flags(fixed, profile, pairs, label, class_rows), max_failures))
     good = flagged.where("accepted")
     final = drop_copies(original, good.select(*[cell(c) for c in df.columns]), compared)
     kept = final.agg(F.count("*")).scalar()

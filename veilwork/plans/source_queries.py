@@ -51,6 +51,30 @@ def _(spark, folder):
     return rows
 
 
+def mixed_lines(spark, folder):
+    """Events as JSON lines: objects, numbers on their own, and lines cut off."""
+    e = table(spark, folder, "events")
+    path = scratch_path(spark, "mixed") + ".jsonl"
+    whole = F.to_json(F.struct("event_id", "user_id"))
+    line = F.when(F.col("event_id") % 7 == 1, F.col("event_id").cast("string")).when(F.col("event_id") % 11 == 2, F.concat(F.lit('{"event_id": '), "event_id")).otherwise(whole)
+    e.select(line.alias("value")).write.text(path)
+    return B.read_json_records(spark, path)
+
+
+@query(
+    "read_json_scalars",
+    """SELECT CASE WHEN event_id % 7 = 1 THEN NULL ELSE event_id END AS event_id, CASE WHEN event_id % 7 = 1 THEN NULL ELSE user_id END AS user_id,
+  CASE WHEN event_id % 7 = 1 THEN event_id END AS value FROM events WHERE event_id % 7 = 1 OR event_id % 11 <> 2""",
+)
+def _(spark, folder):
+    return mixed_lines(spark, folder)[0]
+
+
+@query("read_json_bad_lines", """SELECT '{"event_id": ' || event_id AS _bad_line FROM events WHERE event_id % 7 <> 1 AND event_id % 11 = 2""")
+def _(spark, folder):
+    return mixed_lines(spark, folder)[1]
+
+
 @query(
     "flatten_props",
     "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS \"props.k\", user_id AS \"who.user_id\", event_type AS \"who.kind\", '[' || event_id || ',' || user_id || ']' AS pair FROM events",

@@ -182,6 +182,33 @@ def _(spark, folder):
     return V.validation_counts(s, o, P.constraints(o), P.profile_numeric(o, ["o_totalprice"]), "o_orderkey", compared=compared)
 
 
+FOLDED_SQL = f"""{LINKED_SQL}, lim AS (SELECT min(l_net) AS lo, max(l_net) AS hi FROM linked),
+bent AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, CASE WHEN l_orderkey % 97 = 3 THEN greatest(lo, least(hi, lo + hi - l_net)) ELSE l_net END AS l_net,
+  CASE WHEN l_orderkey % 50 = 1 THEN 'none' ELSE ship_mode END AS ship_mode FROM linked, lim)"""
+
+
+@query(
+    "validate_gate",
+    f"""WITH {FOLDED_SQL}, {MAHAL_SQL}, {IQR_ALL}, o AS (SELECT DISTINCT l_linenumber, round(l_net, 4) AS p FROM linked),
+f AS (SELECT j.*, joint_outlier OR {IQR_ANY} AS failed, p IS NOT NULL AS copied FROM iq, j LEFT JOIN o ON j.l_linenumber = o.l_linenumber AND round(j.l_net, 4) = p)
+SELECT count(*) AS evaluated, count(*) FILTER (ship_mode = 'none') AS repaired, count(*) FILTER (failed) AS rejected_quality,
+  count(*) FILTER (NOT failed AND copied) AS rejected_copies, count(*) FILTER (NOT failed AND NOT copied) AS accepted FROM f""",
+)
+def _(spark, folder):
+    base = lineitem_linked(spark, folder)
+    ends = base.agg(F.min("l_net").alias("lo"), F.max("l_net").alias("hi"))
+    folded = F.greatest("lo", F.least("hi", F.col("lo") + F.col("hi") - F.col("l_net")))
+    df = base.join(F.broadcast(ends)).select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        F.when(F.col("l_orderkey") % 97 == 3, folded).otherwise(F.col("l_net")).alias("l_net"),
+        F.when(F.col("l_orderkey") % 50 == 1, "none").otherwise(F.col("ship_mode")).alias("ship_mode"),
+    )
+    return V.validation_counts(
+        df, base, P.constraints(base), P.profile_numeric(base, ["l_quantity", "l_extendedprice", "l_net"]), "l_orderkey", compared=["l_linenumber", "l_net"],
+        pairs=A.pearson_pairs(base, ["l_extendedprice", "l_net"]), distribution=P.full_value_distribution(base, ["ship_mode"]), max_failures=0,
+    )
+
+
 @query(
     "enforce_comparison",
     """SELECT l_orderkey, l_linenumber, CASE WHEN NOT (l_suppkey < l_partkey) THEN l_partkey - 1 ELSE l_suppkey END AS l_suppkey, l_partkey,

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from veilwork.functions.numeric import plain_text
 from veilwork.operators.frames import cell, text_cell
+from veilwork.session import scratch_path
 
 KINDS = {"csv": "csv", "tsv": "tsv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet"}
 DELIMITERS = (",", "\t", ";", "|")
@@ -74,16 +75,27 @@ def sniff_delimiter(spark: SparkSession, path: str, candidates: Sequence[str] =
 def read_json_records(spark: SparkSession, path: str, records_path: Sequence[str | int] = (), lines: bool = True) -> tuple[DataFrame, DataFrame]:
     """(records, bad lines). The path of keys and indexes leads to the records; lists give one row per element.
 
-    Without a path the first list-valued key of a document is taken, else the document is one record. Scalars are
-    wrapped as ``value``.
+    Without a path the first list-valued key of a document is taken, else the document is one record. Scalars and
+    lists on their own are wrapped as ``value``. The documents are written once, one to a line, so that both results
+    and the inferred schema rest on the same lines.
     """
     bad = "_bad_line"
-    raw = spark.read.json(path, multiLine=not lines, mode="PERMISSIVE", columnNameOfCorruptRecord=bad)
-    broken = raw.select(bad).where(F.col(bad).isNotNull()) if bad in raw.columns and len(raw.columns) > 1 else raw.limit(0).select(F.lit(None).cast("string").alias(bad))
-    good = raw.where(F.col(bad).isNull()).drop(bad) if bad in raw.columns else raw
+    text = F.trim(F.regexp_replace("value", r"[\r\n]+", " "))
+    alone = ~F.startswith(text, F.lit("{")) & F.try_parse_json(text).isNotNull()
+    docs = spark.read.text(path, wholetext=not lines).where(text != "")
+    flat = scratch_path(spark, "json")
+    docs.select(F.when(alone, F.concat(F.lit('{"value":'), text, F.lit("}"))).otherwise(text).alias("value")).write.text(flat)
+    found = spark.read.json(flat, mode="PERMISSIVE", columnNameOfCorruptRecord=bad).schema
+    fields = [f for f in found.fields if f.name != bad]
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    parsed = spark.read.text(flat).select("value", F.from_json("value", T.StructType([*fields, T.StructField(bad, T.StringType())]), options).alias("doc"))
+    broken = parsed.where(F.col("doc").getField(bad).isNotNull()).select(F.col("value").alias(bad))
+    good = parsed.where(F.col("doc").getField(bad).isNull()).select(*[F.col("doc").getField(f.name).alias(f.name) for f in fields])
     node: Column | None = None
     dtype: T.DataType = good.schema
     steps = list(records_path)
+    if steps and steps[0] not in good.columns and good.columns == ["value"]:
+        steps = ["value", *steps]
     if not steps and not lines:
         first = next((f.name for f in good.schema.fields if isinstance(f.dataType, T.ArrayType)), None)
         steps = [first] if first else []
