@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT = 32 << 20
-ONE_GROUP_LIMIT = 2 << 30
 SPREAD_LIMIT = 256 << 20
 
 
