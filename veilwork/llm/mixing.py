@@ -59,8 +59,9 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: in
 def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """(slot, key, rank): the mixed order of blocks, each source until its target is reached.
 
-    ``sources`` is (key, target). The points run on until every source has had all its slots; the surplus of each
-    source is left out.
+    ``sources`` is (key, target). The points run on until nearly every source has had all its slots; the surplus of each
+    source is left out. Slots that the points did not give (a source far smaller than the distance of two points) follow
+    after the last point.
     """
     spark = sources.sparkSession
     total = sources.agg(F.sum("target").alias("t"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
@@ -81,13 +82,18 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     points = points.withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
     met = points.join(cells.select("key", "target", "lo", "hi", "cell"), "cell").where("u >= lo AND u < hi")
     placed = met.select("slot", "key", "target", F.floor(F.col("slot") / SLOTS).alias("part"))
-    counts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")))
     before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("key", "part").orderBy("slot")
     ranked = placed.withColumn("r", F.row_number().over(inside) - 1).join(offsets, ["key", "part"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("r")).where(F.col("rank") * block < F.round("target"))
-    return ranked.select("slot", "key", "rank")
+    given = sources.where("target > 0").join(counts.groupBy("key").agg(F.sum("n").alias("n")), "key", "left").select("key", "target", F.coalesce("n", F.lit(0)).alias("n"))
+    numbered = given.withColumn("place", F.row_number().over(Window.orderBy("key"))).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy()))
+    short = numbered.withColumn("wanted", F.ceil(F.round("target") / block)).where("n < wanted")
+    late = short.withColumn("rank", F.explode(F.sequence(F.col("n"), F.col("wanted") - 1)))
+    after = late.select((F.lit(slots) + F.col("rank") * F.col("of") + F.col("place")).alias("slot"), "key", "rank")
+    return ranked.select("slot", "key", "rank").unionByName(after)
 
 
 def laid_out(facts: DataFrame, seed: int) -> DataFrame:
