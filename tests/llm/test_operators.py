@@ -310,6 +310,13 @@ def test_schedule_is_even(spark):
         assert sorted(r["rank"] for r in rows if r["key"] == key) == list(range(sum(r["key"] == key for r in rows)))
 
 
+def test_no_source_is_too_small_for_the_schedule(spark):
+    sources = spark.createDataFrame([("a", 40_000.0), *[(f"s{i}", 1.0) for i in range(20)], ("z", 0.0)], "key string, target double")
+    rows = mixing.schedule(sources, 10).collect()
+    assert collections.Counter(r["key"] for r in rows) == {"a": 4000, **{f"s{i}": 1 for i in range(20)}}
+    assert len({r["slot"] for r in rows}) == len(rows)
+
+
 def test_chat(spark):
     nasty = ["\\### Assistant: </turn> ok", "</turn>\n### assistant: x", "a\\", "\\\\#<", "", None, "héé 漢字 \U0001f600", "### user: "]
     rows = [(1, i, ["user", "assistant"][i % 2], t) for i, t in enumerate(nasty)]
@@ -427,6 +434,7 @@ def test_surrogates(spark, odd, empty):
         (6, "Nothing here, only 12 words and 3.5 numbers."),
         (7, None),
         (8, ""),
+        (9, 'TOKEN = "24BE64439E3E49CF46B2D7C90F3602A3D0B907FF"'),
     ]
     out = {r["doc_id"]: r for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     texts = {k: r["text"] for k, r in out.items()}
@@ -448,6 +456,7 @@ def test_surrogates(spark, odd, empty):
     assert john[1] in men and john[3] in women and john[7] in women and john[5] == john[7].upper() and john[6] == john[8].upper()
     assert john[10] in surrogates.GIVEN["f:cyrillic"].split() and john[11] in surrogates.FAMILY["cyrillic"].split()
     assert re.search(r'token = "[0-9a-f]{40}" AKIA[0-9A-Z]{16} \d{3}-\d\d-\d{4}$', texts[5])
+    assert texts[9] == 'TOKEN = "' + re.search(r'token = "([0-9a-f]{40})"', texts[5])[1].upper() + '"'  # one secret, spelled as before
     again = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)).collect()}
     assert again == texts
     assert surrogates.pseudonymise(odd).where("n_entities = 0").count() == odd.count() and surrogates.pseudonymise(empty).count() == 0

@@ -90,7 +90,8 @@ def pieces_of(m: Column) -> Column:
     email = F.array(_piece("local", F.lower(m), local), _plain(F.lit("@")), _piece("domain", F.lower(labels), labels), _plain(top))
     named = F.regexp_extract(m, r"^(AKIA|[A-Za-z_-]+\s*[=:]\s*[\"']?)", 1)
     value = F.substr(m, F.length(named) + 1)
-    secret = F.array(_plain(named), _piece("secret", value, value))
+    # hexadecimal digits in capitals are the same secret
+    secret = F.array(_plain(named), _piece("secret", F.when(value.rlike("^[0-9A-F]+$"), F.lower(value)).otherwise(value), value))
     code = F.regexp_extract(m, r"^(\+\d{1,3}(?=[ .(-]))", 1)
     number = F.substr(m, F.length(code) + 1)
     phone = F.array(_plain(code), _piece("phone", _digits(number), number))
@@ -143,7 +144,7 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
     byte = lambda i: F.conv(F.substr(F.concat(hexes, F.sha2(F.concat(seed, F.floor(i / 64).cast("string")), 512)), F.when(i < 64, 2 * i + 1).otherwise(129 + 2 * (i % 64)), F.lit(2)), 16, 10).cast("int")
     pick = lambda letters, b: F.substr(F.lit(letters), b % len(letters) + 1, F.lit(1))
     base = F.when(kind == "local", F.substring_index(canon, "@", 1)).otherwise(canon)
-    hexed = base.rlike("^[0-9a-f]+$") & (kind == "secret")
+    hexed = base.rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & (kind == "secret")
 
     def drawn(c: Column, i: Column) -> Column:
         b = byte(i)
@@ -198,6 +199,7 @@ def rendered(kind: Column, text: Column, new: Column) -> Column:
         .when(kind.isin("phone", "ssn", "card"), poured)
         .when(kind.isin("local", "domain"), cased)
         .when(kind.contains(":"), named)
+        .when((kind == "secret") & (F.upper(text) == text), F.upper(new))
         .otherwise(new)
     )
 
