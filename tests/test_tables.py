@@ -1,6 +1,7 @@
 """Comparison, audit, gates, validation, generation, sources, history and streams on small fixtures."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -334,3 +335,21 @@ def test_stream_drops_repeats_and_late_rows(spark, tmp_path):
     late.coalesce(1).write.parquet(str(src / "b"))
     windows = Z.run_available(Z.alert_rate(stream(), [], width="1 hour"), "t2").collect()
     assert sum(r["n"] for r in windows) <= 3 and all(r["n"] >= 1 for r in windows)
+
+
+def test_close_records_against_all_pairs(spark):
+    r = random.Random(5)
+    names = ["a", "b", "c", "d"]
+    kind = ", ".join(f"{n} double" for n in names)
+    known = [tuple(r.choice([None, 0.0, r.gauss(0, 1), r.randint(0, 3) * 100.0]) for _ in names) for _ in range(300)] + [(1.0, 2.0, 3.0, 4.0)] * 200
+    made = [tuple(None if v is None else v + r.gauss(0, 0.3) for v in r.choice(known)) for _ in range(200)] + [(9e6, 0.0, None, 1.0), (1.0, 2.0, 3.0, 4.0)] * 50
+    original, synthetic = spark.createDataFrame(known, kind), spark.createDataFrame(made, kind)
+    a, b = (np.array([[v or 0.0 for v in row] for row in rows]) for rows in (made, known))
+    scale = b.std(axis=0)
+    near = np.sqrt((((a[:, None] - b[None]) / scale) ** 2).sum(axis=2)).min(axis=1)
+    for threshold in (0.002, 0.02, 0.5):
+        got = R.close_record_rate(original, synthetic, names, threshold).first()
+        assert (got["probes"], got["close"]) == (len(made), int((near < threshold).sum()))
+    assert 50 < (near < 0.002).sum() < (near < 0.02).sum() < len(made)
+    assert R.close_record_rate(original.limit(0), synthetic, names).first()["close"] == 0
+    assert R.close_record_rate(original, synthetic.limit(0), names).first()["rate"] == 0

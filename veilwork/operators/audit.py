@@ -22,6 +22,7 @@ from veilwork.operators.frames import (
     text_cell,
     value_counts,
 )
+from veilwork.session import cut_lineage
 
 SAMPLE = 200
 MAX_SAMPLE = 10_000
@@ -148,6 +149,58 @@ def nearest_record_rate(
     )
 
 
+def close_record_rate(original: DataFrame, synthetic: DataFrame, columns: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """(probes, close, rate, vulnerable, severity): all synthetic rows closer than ``threshold`` to any original row.
+
+    The form of ``nearest_record_rate`` for whole tables, exact and without pairs. Equal rows are collapsed first. Rows
+    that share a cell so small that any two of its points are close are settled by the cell alone, which takes care of
+    dense regions; only the others look for a close original, in the neighbouring cells of their widest columns, by a
+    semi join that stops at the first one.
+    """
+    k = len(columns)
+    xs = [f"x{i}" for i in range(k)]
+    scale = population_scale(original, columns)
+    ends = _points_only(original, columns).agg(*[F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")).alias(x) for x in xs]).first()
+    lows = [ends[x]["lo"] or 0.0 for x in xs]
+    spread = [((ends[x]["hi"] or 0.0) - low) / s for x, low, s in zip(xs, lows, scale)]
+    wide = sorted(range(k), key=lambda i: (-spread[i], i))[:3]
+
+    def scaled(df: DataFrame) -> DataFrame:
+        return _points_only(df, columns).select(*[((F.col(x) - F.lit(low)) / F.lit(s)).alias(x) for x, low, s in zip(xs, lows, scale)])
+
+    small, large = threshold / k**0.5 * (1 - 1e-9), threshold * (1 + 1e-9)
+    inner = [F.floor(F.col(x) / F.lit(small)).alias(f"c{i}") for i, x in enumerate(xs)]
+    cells = [f"c{i}" for i in range(k)]
+    outer = {f"g{i}": F.floor(F.col(f"x{i}") / F.lit(large)) for i in wide}
+    made = cut_lineage(scaled(synthetic).groupBy(*xs).agg(F.count(F.lit(1)).alias("n")))
+    known = cut_lineage(scaled(original).distinct())
+    marked = made.select("*", *inner)
+    filled = known.select(*inner).distinct()
+    rest = marked.join(filled, cells, "left_anti").drop(*cells)
+    for g, cell in outer.items():
+        rest = rest.withColumn(g, F.explode(F.array(*[cell + F.lit(step) for step in (-1, 0, 1)])))
+    others = known.select(*[F.col(x).alias(f"y{i}") for i, x in enumerate(xs)], *[cell.alias(f"o_{g}") for g, cell in outer.items()])
+    apart = F.lit(0.0)
+    for i in range(k):
+        apart = apart + (F.col(f"x{i}") - F.col(f"y{i}")) * (F.col(f"x{i}") - F.col(f"y{i}"))
+    meet = F.sqrt(apart) < F.lit(threshold)
+    for g in outer:
+        meet = meet & (F.col(g) == F.col(f"o_{g}"))
+    hits = rest.join(others, meet, "left_semi").select(*xs, "n").distinct()
+    close = marked.join(filled, cells, "left_semi").select("n").unionByName(hits.select("n"))
+    tally = made.select("n", F.lit(0).cast("long").alias("c")).union(close.select(F.lit(0).cast("long"), "n"))
+    none = F.lit(0).cast("long")
+    out = tally.agg(F.coalesce(F.sum("n"), none).alias("probes"), F.coalesce(F.sum("c"), none).alias("close"))
+    rate = F.col("close") / F.greatest(F.col("probes"), F.lit(1))
+    return out.withColumn("rate", rate).withColumn("vulnerable", rate > 0.1).withColumn(
+        "severity", F.when(rate > 0.3, "critical").when(rate > 0.1, "high").otherwise("low")
+    )
+
+
+def _points_only(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(*[F.coalesce(number_cell(df, c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)])
+
+
 def _member_distances(original, synthetic, columns, original_key, synthetic_key, n, seed, include_self):
     scale = population_scale(original, columns)
     inside = sample_rows(original, original_key, n, seed)

@@ -324,6 +324,18 @@ def _(spark, folder):
     return R.nearest_record_rate(o, s, NEAR_COLUMNS, "o_orderkey", "o_orderkey", threshold=0.01)
 
 
+@query(
+    "close_records",
+    f"""{PAIR_SQL}, {SCALES}, c AS (SELECT count(DISTINCT a.o_orderkey) AS close FROM synth a, orig b, sc
+  WHERE b.o_custkey BETWEEN a.o_custkey - 0.01 * sc AND a.o_custkey + 0.01 * sc AND {DISTANCE} < 0.01),
+s AS (SELECT (SELECT count(*) FROM synth) AS probes, close FROM c)
+SELECT probes, close, close / probes AS rate, close / probes > 0.1 AS vulnerable, CASE WHEN close / probes > 0.3 THEN 'critical' WHEN close / probes > 0.1 THEN 'high' ELSE 'low' END AS severity FROM s""",
+)
+def _(spark, folder):
+    o, s = pair(spark, folder)
+    return R.close_record_rate(o, s, NEAR_COLUMNS, threshold=0.01)
+
+
 MEMBERS = f"""{PAIR_SQL}, {SCALES}, {SAMPLES}, mem AS (SELECT a.o_orderkey, min({DISTANCE}) AS d FROM os a, os b, sc WHERE a.o_orderkey <> b.o_orderkey GROUP BY 1),
 oth AS (SELECT a.o_orderkey, min({DISTANCE}) AS d FROM ss a, os b, sc GROUP BY 1), lim AS (SELECT median(d) AS t FROM mem)"""
 
@@ -403,7 +415,7 @@ def _(spark, folder):
     parts = [
         ("Membership Inference", R.membership_accuracy(o, s, NEAR_COLUMNS, key, key)),
         ("Model Inversion", R.linear_inversion_r2(o, s, [key, "o_custkey"], "o_totalprice")),
-        ("Data Reconstruction", R.nearest_record_rate(o, s, NEAR_COLUMNS, key, key)),
+        ("Data Reconstruction", R.close_record_rate(o, s, NEAR_COLUMNS)),
         ("Attribute Inference", R.attribute_inference(o, s, "o_orderstatus", NEAR_COLUMNS, key, key)),
         ("k-Anonymity Check", R.k_anonymity(s, TEXTS, ["o_totalprice"])),
     ]
