@@ -192,6 +192,8 @@ def test_linear_fit_matches_numpy(spark):
     want = np.linalg.lstsq(np.column_stack([x, np.ones(300)]), y, rcond=None)[0]
     assert np.allclose([*w, b], want, atol=1e-8)
     assert C.tstr_r2(df, df, "y").first()["r2"] > 0.99
+    picked = C.tstr_r2(df, df).first()  # no name suggests a target: the last number
+    assert picked["target"] == "y" and picked["r2"] > 0.99
 
 
 def test_gate_fixtures(spark):

@@ -24,6 +24,7 @@ from veilwork.operators.frames import (
     text_cell,
     value_counts,
 )
+from veilwork.operators.typing import pick_numeric_target
 
 ORIGIN = "_origin"
 GENERATED = "generated"
@@ -254,8 +255,12 @@ def r_squared(df: DataFrame, features: Sequence[str], target: str, weights: Sequ
     return df.agg((1.0 - F.sum(F.pow(y - guess, 2)) / F.greatest(total, F.lit(1e-10))).alias("r2"))
 
 
-def tstr_r2(original: DataFrame, synthetic: DataFrame, target: str, features: Sequence[str] | None = None) -> DataFrame:
-    """(target, r2): ridge (alpha 1, standardised) trained on synthetic, scored on original; null below two features."""
+def tstr_r2(original: DataFrame, synthetic: DataFrame, target: str | None = None, features: Sequence[str] | None = None) -> DataFrame:
+    """(target, r2): ridge (alpha 1, standardised) trained on synthetic, scored on original; null below two features.
+
+    Without a target, the numeric column whose name suggests one is taken.
+    """
+    target = target or pick_numeric_target(original)
     names = list(features or [c for c in numeric_columns(original) if c != target and c in synthetic.columns])
     if len(names) < 2:
         return original.sparkSession.createDataFrame([(target, None)], "target string, r2 double")
