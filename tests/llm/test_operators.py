@@ -473,6 +473,23 @@ def test_surrogates_stay_distinct(spark):
     assert all(len(v) == 1 for v in made.values()) and not set(made) & {t for _, t in rows}
 
 
+def test_surrogates_never_run_out(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    masked = ["Password: ________", "password: ********", "____@gmail.com", "-@foo.com", "____@x.com"]
+    two = [f"{a}{b}@{d}" for d in ("firm.example.com", "other.example.org") for a in letters for b in letters][:1000]
+    one = [f"{a}@x{i}.com" for i in range(4) for a in letters + "0123456789"]
+    inside = [f"192.168.{i}.{j}" for i in range(3) for j in range(1, 255)]
+    phones = [f"+49 {i // 100:02d} {i % 100:02d}" for i in range(9000)]
+    names = [f"Mr. N{a}{b}{c}" for a in letters[:12] for b in letters for c in letters]
+    every = masked + two + one + inside + phones + names
+    rows = [(i, t) for i, t in enumerate(every)]
+    out = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == len(every) and len({v.lower() for v in out.values()}) == len(every)
+    assert not {v.lower() for v in out.values()} & {t.lower() for t in every}
+    assert all(re.fullmatch(r"[Pp]assword: [A-Za-z0-9]+", out[i]) for i in (0, 1)) and all(re.fullmatch(r"[a-z]+@[a-z]+\.com", out[i]) for i in (2, 3, 4))
+    assert all(out[i].startswith("+49 ") for i, t in rows if t.startswith("+49"))
+
+
 def test_licenses(spark, odd, empty):
     rows = [
         (1, "Some words here.\nLicensed under the Apache License, Version 2.0.\nMore words."),

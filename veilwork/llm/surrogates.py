@@ -8,8 +8,10 @@ spelling: digits are poured into the mention's format, case follows the mention.
 numbers keep their issuer digit and pass the Luhn test exactly if the original does.
 
 Collisions: two entities of a kind with the same surrogate, or a surrogate that is itself an entity found in the
-documents, are drawn again with the next attempt number until none is left. Names are drawn from lists, and from pairs
-and triples of list entries on later attempts, so there are always enough.
+documents, are drawn again with the next attempt number until none is left. Case does not tell surrogates apart. Local
+parts are compared as whole addresses, and never stay as they are. Spaces widen with the attempt number, so there are
+always enough: names get more list entries, other forms more characters, private addresses the other private ranges, then
+all addresses, then those of version 6. Forms without a letter or digit are drawn as letters.
 
 All steps are DataFrame operations. Only documents with an entity meet the entity table; the others pass through.
 Null texts stay null. Repeated rows are treated alike. Surrogates depend on the key and on the entities found, never on
@@ -136,6 +138,11 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
 
 
+def _own(kind: Column, canon: Column) -> Column:
+    """The part of a canonical form that is replaced: local parts carry their domain to tell addresses apart."""
+    return F.when(kind == "local", F.substring_index(canon, "@", 1)).otherwise(canon)
+
+
 def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
     """The surrogate of a canonical form, in canonical form, at the given attempt."""
     seed = F.concat_ws("|", F.lit(key), kind, canon, F.lit(str(attempt)))
@@ -143,8 +150,12 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
     # two digest digits per drawn character; longer forms draw from the digest anew
     byte = lambda i: F.conv(F.substr(F.concat(hexes, F.sha2(F.concat(seed, F.floor(i / 64).cast("string")), 512)), F.when(i < 64, 2 * i + 1).otherwise(129 + 2 * (i % 64)), F.lit(2)), 16, 10).cast("int")
     pick = lambda letters, b: F.substr(F.lit(letters), b % len(letters) + 1, F.lit(1))
-    base = F.when(kind == "local", F.substring_index(canon, "@", 1)).otherwise(canon)
-    hexed = base.rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & (kind == "secret")
+    own = _own(kind, canon)
+    hexed = own.rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & (kind == "secret")
+    base = F.when(own.rlike("[0-9A-Za-z]"), own).otherwise(F.regexp_replace(own, "(?s).", "a"))
+    # more characters of the last kind after a few attempts; later where there are billions of forms
+    more = F.when(kind.isin("ssn", "card"), max(0, 2 * (attempt - 11))).otherwise(max(0, 2 * (attempt - 2)))
+    base = F.concat(base, F.repeat(F.regexp_extract(base, "([0-9A-Za-z])[^0-9A-Za-z]*$", 1), more))
 
     def drawn(c: Column, i: Column) -> Column:
         b = byte(i)
@@ -160,21 +171,23 @@ def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
 
     spelled = F.array_join(F.transform(_chars(base), drawn), "")
     body = F.substr(spelled, F.lit(1), F.length(base) - 1)
-    check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) + luhn_sum(base), F.lit(10))  # as far from a valid end as the original
+    check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) + luhn_sum(own), F.lit(10))  # as far from a valid end as the original
     card = F.concat(body, check.cast("string"))
-    part = lambda i: F.get(F.split(base, r"\."), F.lit(i))
+    part = lambda i: F.get(F.split(own, r"\."), F.lit(i))
     b = [byte(F.lit(i)) for i in range(4)]
-    inner = part(0) == "10"
-    local = (part(0) == "192") & (part(1) == "168")
+    local = (part(0) == "192") & (part(1) == "168") & F.lit(attempt < 3)
+    inner = ((part(0) == "10") | (part(0) == "192") & (part(1) == "168")) & F.lit(attempt < 6) & ~local
     ip = F.concat_ws(
         ".",
-        F.when(inner | local, part(0)).otherwise((b[0] % 223 + 1).cast("string")),
-        F.when(local, part(1)).otherwise(b[1].cast("string")),
+        F.when(local, "192").when(inner, "10").otherwise((b[0] % 223 + 1).cast("string")),
+        F.when(local, "168").otherwise(b[1].cast("string")),
         b[2].cast("string"),
         (b[3] % 254 + 1).cast("string"),
     )
+    if attempt >= 12:
+        ip = F.concat(F.lit("fd00:"), F.regexp_replace(F.substr(hexes, F.lit(1), F.lit(24)), "(.{4})(?=.)", "$1:"), F.lit("::"))
     names = F.lit(None).cast("string")
-    many = 1 + min(2, attempt // 3)
+    many = 1 + attempt // 3
     for group, words in {**{"given:" + k: v for k, v in GIVEN.items()}, **{"family:" + k: v for k, v in FAMILY.items()}}.items():
         some = [w.lower() for w in words.split()]
         chosen = F.concat_ws("-", *[F.element_at(F.array(*[F.lit(w) for w in some]), byte(F.lit(i)) % len(some) + 1) for i in range(many)])
@@ -190,7 +203,8 @@ def rendered(kind: Column, text: Column, new: Column) -> Column:
         lambda a, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(a["out"], F.substr(new, a["i"], F.lit(1))).alias("out"), (a["i"] + 1).alias("i"))).otherwise(
             F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i"))
         ),
-    )["out"]
+    )
+    poured = F.concat(poured["out"], F.substr(new, poured["i"]))  # a widened form has more digits than the mention
     cased = F.array_join(F.zip_with(_chars(text), _chars(new), lambda c, n: F.when(c.rlike("[A-Z]"), F.upper(n)).otherwise(n)), "")
     named = F.when((F.upper(text) == text) & (F.length(text) > 1), F.upper(new)).otherwise(F.initcap(F.regexp_replace(new, "-", " ")))
     named = F.when(new.contains("-"), F.regexp_replace(named, " ", "-")).otherwise(named)
@@ -207,16 +221,16 @@ def rendered(kind: Column, text: Column, new: Column) -> Column:
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(entity, kind, canon) to (entity, new): distinct surrogates, none of which is an entity itself."""
     waiting, parts, attempt = entities.select("entity", "kind", "canon"), [], 0
-    name = lambda kind, form: F.concat(kind, F.lit("|"), form)
+    name = lambda kind, form: F.concat(kind, F.lit("|"), F.lower(form))
+    kind, canon, new = F.col("kind"), F.col("canon"), F.col("new")
+    # domains get distinct surrogates that are no real domains, so local parts are compared within their own domain
+    real = entities.where(kind != "local").select(name(kind, canon).alias("made")).distinct()
     while True:
         tried = waiting.withColumn("new", surrogate(F.col("kind"), F.col("canon"), key, attempt))
-        # local parts stand for whole addresses, so their own form is compared
-        form = F.when(F.col("kind") == "local", F.substring_index("canon", "@", 1)).otherwise(F.col("canon"))
-        real = entities.select(name(F.col("kind"), form).alias("made")).distinct().withColumn("real", F.lit(True))
-        tried = tried.withColumn("made", name(F.col("kind"), F.col("new")))
-        used = reduce(DataFrame.union, [p.select("made") for p in parts] + [real.select("made")]).distinct().withColumn("used", F.lit(True))
+        tried = tried.withColumn("made", name(kind, F.when(kind == "local", F.concat(new, F.lit("@"), F.substring_index(canon, "@", -1))).otherwise(new)))
+        used = reduce(DataFrame.union, [p.select("made") for p in parts] + [real]).distinct().withColumn("used", F.lit(True))
         first = F.row_number().over(Window.partitionBy("made").orderBy("canon")) == 1
-        judged = cut_lineage(tried.withColumn("first", first).join(used, "made", "left").withColumn("fine", F.col("first") & F.col("used").isNull()))
+        judged = cut_lineage(tried.withColumn("first", first).join(used, "made", "left").withColumn("fine", F.col("first") & F.col("used").isNull() & (F.lower(new) != F.lower(_own(kind, canon)))))
         parts.append(judged.where("fine").select("entity", "kind", "canon", "new", "made"))
         waiting = judged.where(~F.col("fine")).select("entity", "kind", "canon")
         if waiting.isEmpty():
