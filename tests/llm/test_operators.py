@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import pytest
@@ -508,6 +509,29 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(odd).where("n_licensed > 0").count() == 0 and licenses.scan_licenses(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    heads = {"mit": licenses.HEADERS["mit"], "bsd": licenses.HEADERS["bsd"], "isc": licenses.HEADERS["isc"]}
+    marks = {"plain": ("", "", ""), "block": ("/*\n", " * ", "\n */"), "hash": ("", "# ", ""), "dash": ("", "-- ", ""), "m4": ("", "dnl ", "")}
+    rows, want = [], {}
+    for family, several in heads.items():
+        for head in several:
+            for width in (58, 66, 72, 78):
+                for before, mark, after in marks.values():
+                    body = "\n".join(mark + x for x in textwrap.wrap("Copyright (c) 2020 The Authors. " * (width == 66) + head, width))
+                    want[len(rows)] = family
+                    rows.append((len(rows), f"Some words here.\n\n{before}{body}{after}\n\nMore words."))
+    owner = "Copyright (c) 2020, The Authors\nAll rights reserved.\n\n"
+    rows.append((900, owner + "\n".join(textwrap.wrap(licenses.HEADERS["bsd"][0], 72))))
+    # the notice's pairs, scattered over a long paragraph, are no notice
+    words = licenses.NOTICES["isc"][0].split()
+    rows.append((901, "\n".join(f"{a} {b}\n{text(i, 30)}" for i, (a, b) in enumerate(zip(words, words[1:])))))
+    rows += [(1000 + i, "\n".join(textwrap.wrap(text(i, 80), 72))) for i in range(60)]
+    out = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: out[i]["families"] for i in want if "proprietary" not in out[i]["families"]} == want
+    assert all(out[i]["n_licensed"] == 1 and out[i]["n_paragraphs"] == 3 for i in want)
+    assert out[900]["families"] == "bsd,proprietary" and out[901]["families"] == "" and not any(out[k]["families"] for k in out if k >= 1000)
+
+
 def test_license_accuracy():
     model = licenses.Classifier(licenses.labelled_lines(11, [text(i, 12) for i in range(300)]))
     assert model.accuracy > 0.97 and model.threshold >= 0.5

@@ -1,12 +1,15 @@
 """Licence scans by a trained paragraph classifier.
 
-A paragraph is a line with a word. Its words and word pairs are sparse features of a multinomial logistic regression
-over licence families and the class ``unknown``. The probabilities are calibrated by a temperature fitted on labelled
-paragraphs kept out of training, and a family counts only above a threshold at which no kept-out unknown paragraph
-passes. A prediction is then confirmed by comparing the paragraph with the family's templates: a template must occur
-in it up to a small share of its word pairs.
+A paragraph is a run of lines with a word; lines of white space or comment marks part paragraphs. Scanned are each line,
+and each smallest run of wrapped lines that holds a template across line ends. The words and word pairs of such a unit are
+sparse features of a multinomial logistic regression over licence families and the class ``unknown``. The probabilities
+are calibrated by a temperature fitted on labelled units kept out of training, and a family counts only above a threshold
+at which no kept-out unknown unit passes. A prediction is then confirmed by comparing the unit with the family's
+templates: a template must occur in it up to a small share of its word pairs, over wrapped lines in one passage. A
+paragraph has the families of all its units: "All rights reserved" above a BSD notice gives both. It is unconfirmed if it
+has predictions, but none that is confirmed.
 
-Labelled rows: paragraphs made by rule from licence names and notices (the families), made by rule from other sentences
+Labelled rows: units made by rule from licence names, notices and wrapped headers (the families), from other sentences
 about rights and licences, and at most ``SAMPLE`` lines of the documents without any word on rights (unknown). The bound is
 a parameter; prediction runs over all paragraphs of all documents.
 
@@ -16,7 +19,9 @@ empty table gives an empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import random
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +63,16 @@ NOTICES = {
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "proprietary": ["No part of this publication may be reproduced without the prior written permission of the publisher"],
 }
+#: Openings of file headers, as they are wrapped.
+HEADERS = {
+    "apache-2.0": ["you may not use this file except in compliance with the License. You may obtain a copy of the License at", "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "gpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+}
 CARRIERS = [
     "Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under {}.",
     "This project is distributed under the terms of the {}.", "Published under {}.", "License: {}", "SPDX-License-Identifier: {}", "Available under the {}", "Copyright (c) 2020 The Authors. {}.",
@@ -70,6 +85,7 @@ OTHERS = [
     "Published by {} under a new name.", "The license of {} was revoked.", "Use in {} is permitted by law.", "GNU herds near {}.", "Released under the sky of {}.",
 ]
 _CUES = r"(?i)licen[cs]|copyright|permission|warrant|rights|redistribut|creative commons|\bGNU\b|\bMIT\b|\bBSD\b"
+_MARKS = {b"dnl", b"rem"}
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 or b in b".+-" else 32 for b in range(256))
 
 
@@ -78,6 +94,21 @@ def words_of(line: bytes) -> list[bytes]:
     return [w.strip(b".-+") for w in line.translate(_TO_WORDS).split()]
 
 
+def paragraphs_of(text: bytes) -> list[list[list[bytes]]]:
+    """The words of each line of each paragraph. Most comment marks are no words; those that are get dropped here."""
+    out, block = [], []
+    for line in text.split(b"\n"):
+        words = [w for w in words_of(line) if w]
+        if words and words[0] in _MARKS:
+            words = words[1:]
+        if words:
+            block.append(words)
+        elif block:
+            out.append(block)
+            block = []
+    return [*out, block] if block else out
+
+
 def labelled_lines(seed: int, plain: list[str]) -> list[tuple[str, str]]:
     """(line, family): families and unknown lines made by rule, and the given plain lines."""
     r = random.Random(seed)
@@ -90,6 +121,11 @@ def labelled_lines(seed: int, plain: list[str]) -> list[tuple[str, str]]:
                 out.append((line, family))
                 out.append((line + " " + " ".join(r.choices(filler, k=r.randint(1, 12))), family))
                 out.append((" ".join(r.choices(filler, k=r.randint(1, 12))) + " " + line.lower(), family))
+    for family, headers in HEADERS.items():
+        for header in headers:
+            for width in (64, 70, 75, 80):
+                lines = textwrap.wrap(header, width)
+                out += [(" ".join(lines[:n]), family) for n in range(2, len(lines) + 1)]
     for _ in range(15):
         for other in OTHERS:
             out.append((other.format(" ".join(r.choices(filler, k=r.randint(1, 4)))), UNKNOWN))
@@ -115,6 +151,12 @@ class Classifier:
         self.templates = {
             family: [set(zip(w, w[1:])) or {(w[0],)} for w in (words_of(t.encode()) for t in [*NAMES[family], *NOTICES.get(family, [])])] for family in NAMES
         }
+        self.named = [(family, len(t)) for family, several in self.templates.items() for t in several]
+        self.holders: dict = {}  # word pairs to the numbers of the templates that hold them
+        for k, t in enumerate(t for several in self.templates.values() for t in several):
+            for pair in t:
+                if len(pair) == 2:
+                    self.holders.setdefault(pair, []).append(k)
         self.weights = np.zeros((len(names) + 1, len(self.families)))
         self.temperature, self.threshold = 1.0, 0.5
         x, y = self._table(train, len(names))
@@ -164,8 +206,11 @@ class Classifier:
         return list(found)
 
     def scan(self, line: bytes) -> tuple[str, float, bool]:
-        """(family, probability, confirmed) of one paragraph."""
-        words = words_of(line)
+        """(family, probability, confirmed) of one line."""
+        return self.judge(words_of(line))
+
+    def judge(self, words: list[bytes]) -> tuple[str, float, bool]:
+        """(family, probability, confirmed) of the words of one unit."""
         ids = self.ids(words)
         if not ids:
             return UNKNOWN, 0.0, False
@@ -178,6 +223,42 @@ class Classifier:
         like = max(len(t & pairs) / len(t) for t in self.templates[family])
         return family, float(p[k]), like >= CONFIRM
 
+    def runs(self, block: list[list[bytes]]) -> list[tuple[str, int, int]]:
+        """(family, first line, last line) of the smallest runs of several lines that hold a template in one passage."""
+        get, hits = self.holders.get, {}
+        at, before = 0, None
+        for i, words in enumerate(block):
+            for j, w in enumerate(words):
+                for k in get((before, w), ()):
+                    hits.setdefault(k, []).append((at, i, i if j else i - 1, (before, w)))
+                before, at = w, at + 1
+        found = set()
+        for k, places in hits.items():
+            family, size = self.named[k]
+            need, inside, left = math.ceil(CONFIRM * size), {}, 0
+            if len(places) < need:
+                continue
+            for at, last, _, pair in places:
+                inside[pair] = inside.get(pair, 0) + 1
+                while inside[places[left][3]] > 1 or at - places[left][0] >= 2 * size:
+                    inside[places[left][3]] -= 1
+                    if not inside[places[left][3]]:
+                        del inside[places[left][3]]
+                    left += 1
+                if len(inside) >= need and places[left][2] < last:
+                    found.add((family, places[left][2], last))
+        return sorted(found)
+
+    def paragraph(self, block: list[list[bytes]]) -> list[tuple[str, float, bool]]:
+        """The predictions of a paragraph's lines, and the confirmed ones of its runs of wrapped lines."""
+        hits = [h for h in map(self.judge, block) if h[0] != UNKNOWN]
+        if len(block) > 1:
+            for family, first, last in self.runs(block):
+                h = self.judge([w for words in block[first : last + 1] for w in words])
+                if h[0] == family and h[2]:
+                    hits.append(h)
+        return hits
+
 
 def plain_lines(docs: DataFrame, text_col: str, sample: int) -> list[str]:
     """A bounded sample of lines without a word on rights: those with the smallest hashes.
@@ -191,7 +272,10 @@ def plain_lines(docs: DataFrame, text_col: str, sample: int) -> list[str]:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """One row per document: paragraphs, those with a confirmed licence, the families (sorted, comma-joined), the best probability."""
+    """One row per document: paragraphs, those with a confirmed licence, the families (sorted, comma-joined), the best probability.
+
+    ``n_unconfirmed`` counts the paragraphs with predictions, none of them confirmed.
+    """
     model = Classifier(labelled_lines(11, plain_lines(docs, text_col, sample)))
 
     kind = StructType(
@@ -200,13 +284,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     @F.arrow_udf(kind)
     def scan(texts: pa.Array) -> pa.Array:
-        look = model.scan
         rows = []
         for text in bytes_of(texts):
-            lines = [x for x in (text or b"").split(b"\n") if x and not x.isspace()]
-            hits = [h for h in map(look, lines) if h[0] != UNKNOWN]
-            sure = [h for h in hits if h[2]]
-            rows.append((len(lines), len(sure), len(hits) - len(sure), sorted({h[0] for h in sure}), round(max((h[1] for h in sure), default=0.0), 6)))
+            blocks = [model.paragraph(block) for block in paragraphs_of(text or b"")]
+            sure = [h for hits in blocks for h in hits if h[2]]
+            n_sure = sum(any(h[2] for h in hits) for hits in blocks)
+            rows.append((len(blocks), n_sure, sum(map(bool, blocks)) - n_sure, sorted({h[0] for h in sure}), round(max((h[1] for h in sure), default=0.0), 6)))
         columns = list(zip(*rows)) if rows else [[]] * 5
         types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.float64()]
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=kind.names)
