@@ -355,3 +355,14 @@ def test_close_records_against_all_pairs(spark):
     assert 50 < (near < 0.002).sum() < (near < 0.02).sum() < len(made)
     assert R.close_record_rate(original.limit(0), synthetic, names).first()["close"] == 0
     assert R.close_record_rate(original, synthetic.limit(0), names).first()["rate"] == 0
+
+
+def test_every_sensitive_column_gets_its_actions(spark):
+    ranking = spark.createDataFrame([(f"c{i}", 1.0 - i / 100, 0.8, 0.9) for i in range(9)], "column string, score double, pii_score double, reid double")
+    rows = R.governance_actions(ranking).collect()
+    assert len(rows) == 18 and {r["column"] for r in rows} == {f"c{i}" for i in range(9)}
+    assert {r["column"] for r in R.governance_actions(ranking, top=2).collect()} == {"c0", "c1"}
+    profile = spark.createDataFrame([], "column string, distinct long, mean double, missing_ratio double")
+    pairs = spark.createDataFrame([(f"a{i:02d}", "b", 0.6 + i / 100) for i in range(15)], "col_a string, col_b string, value double")
+    card = lambda **more: G.dataset_card(spark.range(3), profile, pairs, **more).where("section = 'correlations'").collect()
+    assert len(card()) == 15 and [r["item"] for r in card(correlations=1)] == ["a14 ~ b"]

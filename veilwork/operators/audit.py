@@ -451,9 +451,12 @@ def cleaning_actions(profile: DataFrame, anomalies: DataFrame, pii_columns: Data
     return holes.unionByName(skew).unionByName(exposed).unionByName(personal)
 
 
-def governance_actions(ranking: DataFrame, risk: DataFrame | None = None, top: int = 6) -> DataFrame:
-    """(column, action, urgency) for the most sensitive columns, and for the table at a risk of 70 or more."""
-    best = ranking.orderBy(F.desc("score"), "column").limit(top)
+def governance_actions(ranking: DataFrame, risk: DataFrame | None = None, top: int | None = None) -> DataFrame:
+    """(column, action, urgency) for sensitive columns, and for the table at a risk of 70 or more.
+
+    ``top`` looks at that many columns of the highest score only.
+    """
+    best = ranking if top is None else ranking.orderBy(F.desc("score"), "column").limit(top)
     masked = best.where("pii_score > 0.7").select("column", F.lit("Mask or tokenise").alias("action"), F.lit("high").alias("urgency"))
     grouped = best.where("reid > 0.7").select("column", F.lit("Apply k-anonymity or suppress").alias("action"), F.lit("critical").alias("urgency"))
     out = masked.unionByName(grouped)
