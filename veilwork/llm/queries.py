@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import chat, decontam, htmltext, langid, licenses, mixing, quality, shards, simhash, surrogates
+from veilwork.llm import chat, decontam, htmltext, langid, licenses, mixing, phrases, quality, shards, simhash, subwords, surrogates, turns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,20 @@ def op10_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op11_subwords(spark: SparkSession, folder: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return subwords.digests(subwords.encode(_table(spark, folder, "documents"), path("piece_bpe_32k.model")))
+
+
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine_phrases(_table(spark, folder, "documents"))
+
+
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.repair_digests(turns.damaged(_table(spark, folder, "conversations")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -71,6 +85,9 @@ QUERIES: dict[str, Query] = {
         op8_language,
         op9_main_text,
         op10_simhash_groups,
+        op11_subwords,
+        op12_phrases,
+        op13_turn_repair,
     )
 }
-ORACLES: dict[str, str] = {"op1_host_quality": quality.ORACLE, "op2_decontamination": decontam.ORACLE, "op7_chat_prefixes": chat.ORACLE}
+ORACLES: dict[str, str] = {"op1_host_quality": quality.ORACLE, "op2_decontamination": decontam.ORACLE, "op7_chat_prefixes": chat.ORACLE, "op12_phrases": phrases.ORACLE}
