@@ -138,8 +138,8 @@ def test_phrases_against_brute_force(spark, spoken):
     want = mined(spoken)
     assert len(want) > 50
     assert sorted(map(tuple, phrases.mine_phrases(df).collect())) == want
-    # stripes passed on after a few cells, and every row three times
-    assert sorted(map(tuple, phrases.mine_phrases(df, cells=50).collect())) == want
+    # stripes passed on after a few words, and every row three times
+    assert sorted(map(tuple, phrases.mine_phrases(df, at_once=50).collect())) == want
     assert sorted(map(tuple, phrases.mine_phrases(df.union(df).union(df), top=5).collect())) == mined(spoken * 3, 5)
     assert phrases.mine_phrases(df.limit(0)).count() == 0
 

@@ -1,14 +1,17 @@
 """Phrase collocations from stripes.
 
-A text is cut into pieces and words. The stripe of a word is an associative counter of what follows it: the empty
-continuation (its own total), the next word, and the next two words. One structure so holds everything the scores need:
-its cells are the counts of all phrases of one to three words, the cell of a next word is the total of the two-word
-prefix, and the greatest cell below it is that prefix' greatest extension. The stripe of the empty word counts words.
+A text is cut into pieces and words. The stripe of a prefix of no, one or two words is an associative counter of the
+word that follows it. The merged stripes are one table (lang, prefix, next, f) that holds everything the scores need: its
+cells are the counts of all phrases, the cell of a prefix is that prefix' total, its extensions are the cells below it,
+and the greatest of them decides whether the prefix is subsumed.
 
-Tasks fill stripes, ``CELLS`` cells at a time, and pass them on as (prefix, segment, continuations, counts). Stripes are
-cut into ``SEGMENTS`` segments by the first following word, so the stripe of a frequent word is merged in many tasks and
-no stripe is ever held whole; a prefix and its extensions stay in one segment. Segments are merged cell by cell, in Spark,
-which spills. Only cells of ``min_count`` or more go on: every part of a candidate is as frequent as the candidate.
+Stripes are made level by level, since every part of a frequent phrase is frequent: a level counts only continuations
+whose two parts may be frequent, told by a bitmap of ``2 ** BITS`` hashed phrases of the level before. The bitmap has
+one size whatever the corpus; where it fills up it leaves out less, and the counts stay exact. Tasks number the words
+of ``WORDS`` words at a time, sort the numbered phrases, and pass the runs of equal prefixes on as stripes. Prefixes
+that hold more than a thousandth of all words (known exactly from the level before, so a thousand at most) are
+cut into segments by the next word, so no stripe is ever merged whole in one task. Cells are summed by Spark, which
+spills, and only those of ``min_count`` or more go on.
 
 Null texts are empty, a null language is ``und``. Repeated rows count each time; texts of any length are counted
 whole; other columns are not looked at; an empty table gives an empty result. Ties in score go to the more frequent
@@ -17,79 +20,145 @@ phrase, then to the lesser one in bytes. All arithmetic is in decimals of 38 dig
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.llm.common import bytes_of, cell
 from veilwork.session import cut_lineage
 
-#: Cells a task counts before it passes its stripes on.
-CELLS = 400_000
-SEGMENTS = 16
-#: Stripes in one batch of rows.
-BATCH = 20_000
+#: Words a task holds before it passes its stripes on.
+WORDS = 1 << 20
+#: Size of the bitmap of frequent phrases, as a power of two: 4 MB.
+BITS = 25
+#: A prefix of 1 / SHARE of all words is one more segment; the stripe of the empty prefix has SPREAD of them.
+SHARE, SPREAD = 1000, 64
 
 _BREAKS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
+_MIX = 1_000_003
 
 
-def count_words(raw: bytes, words: Counter, pairs: Counter, triples: Counter) -> int:
-    """Adds the words and phrases of one text; returns its number of words."""
-    n = 0
-    for piece in raw.lower().translate(_BREAKS).split(b"\n"):
-        found = piece.split()
-        n += len(found)
-        words.update(found)
-        pairs.update(zip(found, found[1:]))
-        triples.update(zip(found, found[1:], found[2:]))
-    return n
-
-
-def stripes(docs: DataFrame, cells: int = CELLS, segments: int = SEGMENTS) -> DataFrame:
-    """(lang, text) to (lang, prefix, segment, nexts, counts): the partial stripes of each task."""
-    schema = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("segment", pa.int32()), ("nexts", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-
-    def emit(held: dict) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for lang, (n, words, pairs, triples) in held.items():
-            rows.append((lang, b"", 0, [b""], [n[0]]))
-            found: dict = {}
-            for word, count in words.items():
-                found[word, 0] = ([b""], [count])
-            words.clear()
-            for counter in (pairs, triples):
-                for (word, *rest), count in counter.items():
-                    nexts, counts = found.setdefault((word, crc32(rest[0]) % segments), ([], []))
-                    nexts.append(b" ".join(rest))
-                    counts.append(count)
-                counter.clear()
-            rows += [(lang, word, segment, *stripe) for (word, segment), stripe in found.items()]
-            del found
-            while rows:
-                some, rows = rows[-BATCH:], rows[:-BATCH]
-                columns = list(zip(*some))
-                nexts = pa.array(columns[3], pa.list_(pa.binary())).cast(schema.field("nexts").type)
-                prefix = pa.array(columns[1], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.string()), prefix, pa.array(columns[2], pa.int32()), nexts, pa.array(columns[4], schema.field("counts").type)], schema=schema
-                )
-        held.clear()
+class _Numbers(dict):
+    """Words to numbers from 1 on, in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) + 1
+        return number
+
+
+def _codes(lang: str, words: np.ndarray, numbers: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap place of the phrase of ``size`` words that starts at each number; ``words`` are checksums by number."""
+    at = np.full(max(0, len(numbers) - size + 1), crc32(lang.encode()), np.int64)
+    for k in range(size):
+        at = (at % (1 << BITS) * _MIX + words[numbers[k : k + len(at)]]) % (1 << BITS)
+    return at
+
+
+def _frequent(level: DataFrame) -> np.ndarray:
+    """The bitmap of a level's phrases, packed eight to a byte."""
+    word = F.split(F.ltrim(F.concat_ws(" ", "prefix", "next")), " ", -1)
+    at = F.aggregate(word, F.crc32(F.col("lang").cast("binary")), lambda h, w: (h % (1 << BITS) * _MIX + F.crc32(w.cast("binary"))) % (1 << BITS))
+    places = level.where("next != ''").select((at + 1).alias("at"))
+    rows = places.groupBy(F.bitmap_bucket_number("at").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    packed = np.zeros(1 << BITS >> 3, np.uint8)
+    for row in rows:
+        bits = np.frombuffer(row["bits"], np.uint8)
+        packed[(row["b"] - 1) * 4096 :][: len(bits)] = bits
+    return packed
+
+
+def _cells(lang: str, numbers: np.ndarray, words: dict, size: int, frequent: np.ndarray | None, hot: dict) -> pa.RecordBatch | None:
+    """The stripes of one language's numbered words (0 parts pieces): lang, prefix, segment, nexts, counts."""
+    sums = np.array([0, *map(crc32, words)], np.int64)
+    starts = max(0, len(numbers) - size + 1)
+    valid = np.ones(starts, bool)
+    for k in range(size):
+        valid &= numbers[k : k + starts] > 0
+    if frequent is not None:
+        at = _codes(lang, sums, numbers, size - 1)
+        known = (frequent[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        valid &= known[:starts] & known[1 : starts + 1]
+    first = np.flatnonzero(valid)
+    if not len(first):
+        return None
+    width = len(words) + 1
+    following = numbers[first + size - 1]
+    if size == 1:
+        prefix, heads = np.zeros(len(first), np.int64), None
+    elif size == 2:
+        prefix, heads = numbers[first], None
+    else:
+        heads, prefix = np.unique(numbers[first] * width + numbers[first + 1], return_inverse=True)
+    found, counts = np.unique(prefix * width + following, return_counts=True)
+    prefix, following = found // width, found % width
+    names = pa.array(list(words), pa.binary())
+    if size == 1:
+        spread = np.full(1, SPREAD)
+    else:
+        keys = list(words) if size == 2 else [b" ".join(p) for p in zip(names.take(heads // width - 1).to_pylist(), names.take(heads % width - 1).to_pylist())]
+        spread = np.array([hot.get((lang, key), 1) for key in keys], np.int64)
+        if size == 2:
+            spread = np.concatenate(([1], spread))
+    segment = sums[following] % spread[prefix]
+    order = np.lexsort((segment, prefix)) if spread.max() > 1 else np.arange(len(prefix))
+    prefix, segment, following, counts = prefix[order], segment[order], following[order], counts[order]
+    runs = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]) | (segment[1:] != segment[:-1]))))
+    offsets = pa.array(np.append(runs, len(prefix)).astype(np.int32))
+    if size == 1:
+        text = pa.array([""] * len(runs), pa.string())
+    elif size == 2:
+        text = names.take(pa.array(prefix[runs] - 1)).cast(pa.string())
+    else:
+        text = pa.array(keys, pa.binary()).take(pa.array(prefix[runs])).cast(pa.string())
+    nexts = pa.ListArray.from_arrays(offsets, names.take(pa.array(following - 1)).cast(pa.string()))
+    totals = pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))
+    langs = pa.array([lang]).take(pa.array(np.zeros(len(runs), np.int32)))
+    return pa.RecordBatch.from_arrays([langs, text, pa.array(segment[runs].astype(np.int32)), nexts, totals], names=_NAMES)
+
+
+_NAMES = ["lang", "prefix", "segment", "nexts", "counts"]
+
+
+def stripes(docs: DataFrame, size: int, frequent: np.ndarray | None = None, hot: dict | None = None, at_once: int = WORDS) -> DataFrame:
+    """(lang, text) to (lang, prefix, segment, nexts, counts): partial stripes of prefixes of ``size - 1`` words.
+
+    The stripes of no words have a cell for the empty word, which counts all words.
+    """
+    hot = hot or {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+        held: dict[str, tuple[_Numbers, list[int]]] = {}
+        room = at_once
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for lang, (words, numbers) in held.items():
+                made = _cells(lang, np.array(numbers, np.int64), words, size, frequent, hot)
+                if made is not None:
+                    yield made
+                    if size == 1:
+                        n = pc.sum(made.column(4).values).as_py()
+                        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([0], pa.int32()), pa.array([[""]]), pa.array([[n]])], names=_NAMES)
+            held.clear()
+
         for batch in batches:
             for lang, raw in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
                 if not raw:
                     continue
-                n, words, pairs, triples = held.setdefault(lang, ([0], Counter(), Counter(), Counter()))
-                n[0] += count_words(raw, words, pairs, triples)
-                if sum(len(w) + len(p) + len(t) for _, w, p, t in held.values()) >= cells:
-                    yield from emit(held)
-        yield from emit(held)
+                words, numbers = held.setdefault(lang, (_Numbers(), []))
+                before = len(numbers)
+                pieces = raw.lower().translate(_BREAKS).split(b"\n")
+                numbers.extend(chain.from_iterable((*map(words.__getitem__, piece.split()), 0) for piece in pieces))
+                room -= len(numbers) - before
+                if room <= 0:
+                    yield from emit()
+                    room = at_once
+        yield from emit()
 
     return docs.select("lang", "text").mapInArrow(count, "lang string, prefix string, segment int, nexts array<string>, counts array<bigint>")
 
@@ -99,7 +168,26 @@ def merge(partial: DataFrame, min_count: int) -> DataFrame:
     dealt = partial.repartition("lang", "prefix", "segment")
     cells = dealt.select("lang", "prefix", "segment", F.explode(F.arrays_zip("nexts", "counts")).alias("c"))
     summed = cells.groupBy("lang", "prefix", "segment", F.col("c.nexts").alias("next")).agg(F.sum("c.counts").alias("f"))
-    return summed.where((F.col("f") >= min_count) | (F.col("prefix") == "")).select("lang", "prefix", "next", "f")
+    return summed.where((F.col("f") >= min_count) | (F.col("next") == "")).select("lang", "prefix", "next", "f")
+
+
+def _hot(level: DataFrame, words: int) -> dict[tuple[str, bytes], int]:
+    """Segments of the phrases that hold more than 1 / ``SHARE`` of all words, so ``SHARE`` phrases at most."""
+    big = level.where((F.col("next") != "") & (F.col("f") * SHARE > words)).select("lang", F.ltrim(F.concat_ws(" ", "prefix", "next")).alias("p"), "f")
+    return {(r["lang"], r["p"].encode()): -(-r["f"] * SHARE // words) for r in big.collect()}
+
+
+def count_phrases(docs: DataFrame, min_count: int, at_once: int = WORDS) -> DataFrame:
+    """(lang, text) to the merged stripes (lang, prefix, next, f) of all phrases of one to three words."""
+    levels: list[DataFrame] = []
+    frequent, hot, words = None, None, 0
+    for size in (1, 2, 3):
+        levels.append(cut_lineage(merge(stripes(docs, size, frequent, hot, at_once), min_count)))
+        if size == 1:
+            words = levels[0].where("next = ''").agg(F.sum("f")).first()[0] or 0
+        if size < 3:
+            frequent, hot = _frequent(levels[-1]), _hot(levels[-1], words)
+    return levels[0].union(levels[1]).union(levels[2])
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -115,7 +203,7 @@ def mine_phrases(
     min_count: int = 10,
     subsumed_percent: int = 50,
     top: int | None = 2000,
-    cells: int = CELLS,
+    at_once: int = WORDS,
 ) -> DataFrame:
     """The best phrases of two and three words of each language: lang, rank, phrase, a, l, r, n, score.
 
@@ -123,11 +211,10 @@ def mine_phrases(
     as frequent are left out. ``top=None`` returns all of them.
     """
     slim = docs.select(F.coalesce(cell(lang_col).cast("string"), F.lit("und")).alias("lang"), cell(text_col).cast("string").alias("text"))
-    counts = cut_lineage(merge(stripes(slim, cells), min_count))
-    total = counts.where("prefix = ''").select("lang", F.col("f").alias("n"))
-    phrase = F.when(F.col("next") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "next"))
-    size = F.when(F.col("next") == "", 1).otherwise(F.size(F.split("next", " ", -1)) + 1)
-    known = counts.where((F.col("prefix") != "") & (F.col("f") >= min_count)).select("lang", phrase.alias("phrase"), size.alias("words"), F.col("f").alias("a"))
+    counts = count_phrases(slim, min_count, at_once)
+    total = counts.where("next = ''").select("lang", F.col("f").alias("n"))
+    phrase = F.when(F.col("prefix") == "", F.col("next")).otherwise(F.concat_ws(" ", "prefix", "next"))
+    known = counts.where(F.col("next") != "").select("lang", phrase.alias("phrase"), F.col("f").alias("a")).withColumn("words", F.size(F.split("phrase", " ", -1)))
     parts = known.where("words < 3").select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
     word = F.split("phrase", " ", -1)
     cuts = known.where("words > 1").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
