@@ -1,9 +1,11 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn becomes an example of its own: the context is all that precedes it, and only that reply is
-trainable. The examples of a conversation are prefixes of one formatted stream, so the stream is stored once, a chunk
-per turn, and an example is three positions in it: where it ends, and where its trainable text begins and ends. That
-keeps the output as large as the input, however long a conversation is; ``render`` writes examples out in full.
+Every assistant turn becomes an example of its own: all preceding turns as context, then the reply, which alone is
+trainable. An example is a run of rows, one per turn, so that no prefix is ever gathered into one value: (conv_id,
+example, place, chunk), where the row of the reply ends with the reply and carries the place of its trainable text.
+Turns after the last reply belong to no example; they follow as rows without an example number. The rows are made by
+exploding each turn into the examples it is part of, after the one shuffle that brings a conversation together. Their
+number grows with the square of a conversation's turns, as the expansion does.
 
 Template, per turn: ``### role: `` then the text, then ``</turn>`` and a line feed. In texts and roles, backslash, ``#`` and
 ``<`` get a backslash in front, and ``:`` too in roles; so a marker never arises from content, and removing one
@@ -11,7 +13,8 @@ backslash before each escaped character gives the content back.
 
 A null text is empty, a null role an empty role; a null conversation id is a conversation of its own. Turns with equal
 numbers are ordered by role, then text; repeated rows stay. A conversation without assistant turns has no example,
-and its chunks are still there. An empty table gives an empty result. Other columns are not looked at.
+and its turns are still there. An empty table gives an empty result. Other columns are not looked at. Texts and roles of
+any length are read in linear time and bounded stack.
 """
 
 from __future__ import annotations
@@ -38,63 +41,65 @@ def unescaped(text: Column) -> Column:
 
 
 def expand_prefixes(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per turn: conv_id, place (0..), chunk, start, and for assistant turns example, loss_start, loss_end.
+    """One row per example and turn in it: conv_id, example (0..), place (0..), chunk, loss_start, loss_size.
 
-    Positions count code points of the conversation's stream. Example k is stream[0:loss_end], and is trained on
-    stream[loss_start:loss_end] alone.
+    The chunks of an example, in order of place, are its formatted text. ``loss_start`` and ``loss_size`` (code points of
+    the chunk, from 0) are set on the reply's row only.
     """
     role, text = F.coalesce(cell(role_col).cast("string"), F.lit("")), F.coalesce(cell(text_col).cast("string"), F.lit(""))
     rows = turns.select(cell(conv_col).alias("conv_id"), cell(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    body = escaped(F.col("text"))
+    order, conversation = Window.partitionBy("conv_id").orderBy("turn", "role", "text"), Window.partitionBy("conv_id")
+    trained = (F.col("role") == TRAINED).cast("int")
+    earlier = F.coalesce(F.sum(trained).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("place", F.row_number().over(order) - 1).withColumn("first", earlier).withColumn("examples", F.sum(trained).over(conversation))
     head = F.concat(F.lit(_OPEN), escaped(F.col("role"), r"[\\#<:]"), F.lit(_MIDDLE))
-    rows = rows.withColumn("head", head).withColumn("body", body).withColumn("chunk", F.concat("head", "body", F.lit(_CLOSE)))
-    trained = F.col("role") == TRAINED
-    rows = rows.withColumn("place", F.row_number().over(order) - 1)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("chunk")).over(earlier), F.lit(0)).cast("long"))
-    rows = rows.withColumn("example", F.when(trained, F.coalesce(F.sum(trained.cast("int")).over(earlier), F.lit(0))))
-    begin = F.col("start") + F.length("head")
+    rows = rows.withColumn("head", head).withColumn("body", escaped(F.col("text")))
+    # a turn is part of its own example, if it is a reply, and of all later ones
+    part_of = F.when(F.col("first") < F.col("examples"), F.sequence("first", F.col("examples") - 1)).otherwise(F.array(F.lit(None).cast("bigint")))
+    rows = rows.withColumn("example", F.explode(part_of))
+    reply = (F.col("role") == TRAINED) & (F.col("example") == F.col("first"))
     return rows.select(
-        "conv_id", "place", "chunk", "start", "example", F.when(trained, begin).alias("loss_start"), F.when(trained, begin + F.length("body")).alias("loss_end")
+        "conv_id",
+        "example",
+        "place",
+        F.concat("head", "body", F.when(reply, "").otherwise(_CLOSE)).alias("chunk"),
+        F.when(reply, F.length("head")).alias("loss_start"),
+        F.when(reply, F.length("body")).alias("loss_size"),
     )
 
 
-def render(chunks: DataFrame) -> DataFrame:
-    """(conv_id, example, context, reply) in full; its size grows with the square of a conversation's length."""
-    upto = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.array_join(F.collect_list("chunk").over(upto), "")
-    head = (F.col("loss_start") - F.col("start")).cast("int")
-    long = chunks.withColumn("before", before).where("example IS NOT NULL")
-    size = (F.col("loss_end") - F.col("loss_start")).cast("int")
-    return long.select(
-        "conv_id", "example", F.concat("before", F.substring("chunk", F.lit(1), head)).alias("context"), F.substring("chunk", head + 1, size).alias("reply")
-    )
+def render(examples: DataFrame) -> DataFrame:
+    """(conv_id, example, context, reply): each example in one row; for examples that are known to fit in memory."""
+    cut = F.col("loss_start").cast("int")
+    part = F.struct("place", F.when(cut.isNull(), F.col("chunk")).otherwise(F.substring("chunk", F.lit(1), cut)).alias("context"))
+    reply = F.substring("chunk", cut + 1, F.col("loss_size").cast("int"))
+    parts = examples.where("example IS NOT NULL").groupBy("conv_id", "example").agg(F.array_sort(F.collect_list(part)).alias("p"), F.max(reply).alias("reply"))
+    return parts.select("conv_id", "example", F.array_join(F.col("p.context"), "").alias("context"), "reply")
 
 
-def read_back(chunks: DataFrame) -> DataFrame:
-    """(conv_id, place, role, text, loss_text, size), read from the formatted chunks and positions alone."""
-    form = r"(?s)^### ((?:\\.|[^\\:])*): (.*)</turn>\n$"
-    at = (F.col("loss_start") - F.col("start") + 1).cast("int")
-    loss = F.substring("chunk", at, (F.col("loss_end") - F.col("loss_start")).cast("int"))
-    return chunks.select(
+def read_back(examples: DataFrame) -> DataFrame:
+    """(conv_id, place, example, role, text, loss_text, size), read from the examples' chunks and spans alone."""
+    loss = F.substring("chunk", (F.col("loss_start") + 1).cast("int"), F.col("loss_size").cast("int"))
+    body = F.when(F.col("loss_start").isNull(), F.regexp_replace(F.regexp_replace("chunk", r"(?s)^### (?:[^\\:]++|\\.)*+: ", ""), r"</turn>\n\z", "")).otherwise(loss)
+    return examples.select(
         "conv_id",
         "place",
-        unescaped(F.regexp_extract("chunk", form, 1)).alias("role"),
-        unescaped(F.regexp_extract("chunk", form, 2)).alias("text"),
+        "example",
+        unescaped(F.regexp_extract("chunk", r"(?s)^### ((?:[^\\:]++|\\.)*+): ", 1)).alias("role"),
+        unescaped(body).alias("text"),
         unescaped(loss).alias("loss_text"),
         F.length("chunk").cast("long").alias("size"),
-        F.when(F.col("example").isNotNull(), F.col("loss_end")).alias("example_size"),
     )
 
 
-def digests(chunks: DataFrame) -> DataFrame:
-    """One row per conversation with the digests of what its output holds.
+def digests(examples: DataFrame) -> DataFrame:
+    """One row per conversation with the digests of what its examples hold.
 
-    A digest reads a conversation from front to end, so its turns pass through one task, sorted; they are hashed as
-    they come and never gathered.
+    A digest reads a conversation from front to end, so its rows pass through one task, sorted; they are hashed as
+    they come and never gathered. A turn is hashed from the first example that holds it; its copies in the contexts of
+    later examples must be equal, else the query fails.
     """
-    kind = chunks.schema["conv_id"].dataType.simpleString()
+    kind = examples.schema["conv_id"].dataType.simpleString()
     fields = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, example_chars long"
     names = [f.split()[0] for f in fields.split(", ")]
 
@@ -104,24 +109,33 @@ def digests(chunks: DataFrame) -> DataFrame:
         def row(s: dict) -> tuple:
             return (s["id"], s["n"], s["turns"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["size"], s["examples"], s["long"])
 
+        def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                yield from zip(*[some.column(k).to_pylist() for k in range(7)])
+
         for batch in batches:
-            ids, done = batch.column(0), []
-            for i, (conv, role, text, loss, size, long) in enumerate(zip(ids.to_pylist(), *[batch.column(k).to_pylist() for k in range(1, 6)])):
+            done, last = [], batch.column(0).type
+            for conv, place, example, role, text, loss, size in rows_of(batch):
                 if now is None or now["id"] != conv:
                     if now is not None:
                         done.append(row(now))
-                    now = {"id": conv, "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "size": 0, "examples": 0, "long": 0}
-                now["n"] += 1
-                now["turns"].update(f"{role}\n{text}\n".encode())
-                now["size"] += size
+                    now = {"id": conv, "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "size": 0, "examples": 0, "long": 0, "turn": None}
+                if place == now["n"]:
+                    now["n"] += 1
+                    now["turns"].update(f"{role}\n{text}\n".encode())
+                    now["size"] += size + (0 if loss is None else len(_CLOSE))
+                    now["turn"] = (role, text)
+                elif (role, text) != now["turn"]:
+                    raise ValueError(f"conversation {conv}, example {example}: turn {place} differs from earlier examples")
                 if loss is not None:
                     now["loss"].update(loss.encode())
                     now["chars"] += len(loss)
                     now["examples"] += 1
-                    now["long"] += long
+                if example is not None:
+                    now["long"] += size
             if done:
-                yield batch_of(done, ids.type)
-            last = ids.type
+                yield batch_of(done, last)
         if now is not None:
             yield batch_of([row(now)], last)
 
@@ -130,8 +144,8 @@ def digests(chunks: DataFrame) -> DataFrame:
         types = [kind, *[pa.string() if n.endswith("sha256") else pa.int64() for n in names]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["conv_id", *names])
 
-    rows = read_back(chunks).repartition("conv_id").sortWithinPartitions("conv_id", "place")
-    return rows.select("conv_id", "role", "text", "loss_text", "size", "example_size").mapInArrow(hashed, f"conv_id {kind}, {fields}")
+    rows = examples.repartition("conv_id").sortWithinPartitions("conv_id", "place", "example")
+    return read_back(rows).mapInArrow(hashed, f"conv_id {kind}, {fields}")
 
 
 #: The digests by SQL, from the turns themselves.
