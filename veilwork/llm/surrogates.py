@@ -17,14 +17,16 @@ all addresses, then those of version 6. Forms without a letter or digit are draw
 
 All steps are DataFrame operations. Only documents with an entity meet the entity table; the others pass through.
 Null texts stay null. Repeated rows are treated alike. Surrogates depend on the key and on the entities found, never on
-the order of rows. An empty table gives an empty result. Other columns are not looked at.
+the order of rows. An empty table gives an empty result. Other columns are not looked at. Texts of any length are read in
+linear time and bounded stack: addresses have up to 64 characters before the sign and 127 labels, private keys up to 16,384
+characters or 400 lines; of longer ones the part within these bounds is found.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.llm.common import cell, hot_join
@@ -57,8 +59,8 @@ def _both(lists: dict[str, str]) -> str:
     return every + " " + every.upper()
 
 
-_WORD, _LABEL = r"[\p{L}\p{M}\p{N}._%+-]", r"[\p{L}\p{M}\p{N}-]"
-_BEGIN, _END = "-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", "-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+_WORD, _LABEL = r"[A-Za-z0-9._%+\-\p{L}\p{M}\p{N}]", r"[A-Za-z0-9\-\p{L}\p{M}\p{N}]"
+_BEGIN, _END = "-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----", "-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
 _DATE = r"(?:(?:19|20)\d{2}[-/.](?:0?[1-9]|1[0-2])[-/.](?:3[01]|[12]\d|0?[1-9])|(?:3[01]|[12]\d|0?[1-9])[-/.](?:3[01]|[12]\d|0?[1-9])[-/.](?:(?:19|20)\d{2}|\d{2}))"
 #: Kept in front of a secret: a key name, and the prefix of a token.
 _PREFIX = r"^((?:(?:AKIA|sk-|gsk_|gh[pousr]_|github_pat_|eyJ)(?=.{16})|[a-z+]+://|Bearer\s+|[A-Za-z_-]+\s*[=:]\s*[\"']?(?:(?:AKIA|sk-|gsk_|gh[pousr]_|github_pat_|eyJ)(?=.{16}))?))"
@@ -67,10 +69,10 @@ _CONTROL = "TRWAGMYFPDXBNJZSQVHLCKE"
 _TITLE = _any(" ".join(TITLES.values()))
 #: Per kind of mention, in the order in which they are tried.
 MENTIONS = {
-    "email": rf"{_WORD}++@{_LABEL}+(?:\.{_LABEL}+)*\.(?:xn--[A-Za-z0-9-]+|\p{{L}}{{2,}})",
-    "pem": rf"{_BEGIN}(?:[A-Za-z0-9+/=:,.\\\s]+(?:-[A-Za-z0-9+/=:,.\\\s]+)*{_END}|(?:\s+[A-Za-z0-9+/=]{{32,}})+(?:\s+[A-Za-z0-9+/]+={{1,2}})?)",
+    "email": rf"{_WORD}{{1,64}}+@{_LABEL}++(?:\.{_LABEL}++){{0,126}}\.(?:xn--[A-Za-z0-9-]+|\p{{L}}{{2,}})",
+    "pem": rf"{_BEGIN}(?:[A-Za-z0-9+/=:,.\\\s-]{{1,16384}}?{_END}|(?:\s{{1,8}}+[A-Za-z0-9+/=]{{32,}}+){{1,400}}+(?:\s{{1,8}}+[A-Za-z0-9+/]+={{1,2}})?)",
     "secret": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;]{8,}"
-    r"|sk-[A-Za-z0-9_-]{20,}|gsk_[A-Za-z0-9]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
+    r"|sk-[A-Za-z0-9_-]{20,}|gsk_[A-Za-z0-9]{20,}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|eyJ[A-Za-z0-9_-]{10,512}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
     r"|Bearer\s+[A-Za-z0-9_.~+/-]{20,}=*|(?:mongodb(?:\+srv)?|mysql|postgres(?:ql)?|rediss?|amqps?)://[^\s\"'<>]+",
     "dob": rf"(?=[bdgfnBDGFN])(?iu:born|dob|date\s+of\s+birth|birth\s?date|geboren|geb\.|geburtsdatum|née?|date\s+de\s+naissance|fecha\s+de\s+nacimiento|nacid[oa])(?:\s+(?:on|am|le|el))?\s{{0,3}}[:=]?\s{{0,3}}{_DATE}(?!\d)",
     "iban": r"[A-Z]{2}\d{2}(?=(?:[A-Z ]*\d){8})(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
@@ -204,31 +206,38 @@ def control_number(digits: Column) -> Column:
     return F.pmod(F.translate(digits, "XYZ", "012").cast("decimal(38,0)"), F.lit(23)).cast("int")
 
 
-def _own(kind: Column, canon: Column) -> Column:
-    """The part of a canonical form that is replaced: local parts carry their domain to tell addresses apart."""
-    return F.when(kind == "local", F.substring_index(canon, "@", 1)).otherwise(canon)
+def prepared(entities: DataFrame, key: str) -> DataFrame:
+    """``entities`` with what their surrogates are drawn from: ``seed``, ``own``, ``hexed`` and ``ten``.
 
+    ``own`` is the part of a canonical form that is replaced: local parts carry their domain to tell addresses apart.
+    The columns are stored, so that long forms are read once and not once for every character drawn.
+    """
+    kind, canon = F.col("kind"), F.col("canon")
+    own = F.when(kind == "local", F.substring_index(canon, "@", 1)).otherwise(canon)
+    rows = entities.withColumn("seed", F.sha2(F.concat_ws("|", F.lit(key), kind, canon), 256)).withColumn("own", own)
+    hexed = F.col("own").rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & (kind == "secret") | (kind == "mac")
+    return cut_lineage(rows.withColumn("hexed", hexed).withColumn("ten", (kind == "phone") & (F.length("own") == 10)))
 
-def surrogate(kind: Column, canon: Column, key: str, attempt: int) -> Column:
-    """The surrogate of a canonical form, in canonical form, at the given attempt."""
-    seed = F.concat_ws("|", F.lit(key), kind, canon, F.lit(str(attempt)))
+
+def surrogate(attempt: int) -> Column:
+    """The surrogate of a canonical form, in canonical form, at the given attempt, from the columns of ``prepared``."""
+    kind, own, hexed, ten = F.col("kind"), F.col("own"), F.col("hexed"), F.col("ten") & F.lit(attempt < 3)
+    seed = F.concat_ws("|", "seed", F.lit(str(attempt)))
     hexes = F.sha2(seed, 512)
     # two digest digits per drawn character; longer forms draw from the digest anew
     byte = lambda i: F.conv(F.substr(F.concat(hexes, F.sha2(F.concat(seed, F.floor(i / 64).cast("string")), 512)), F.when(i < 64, 2 * i + 1).otherwise(129 + 2 * (i % 64)), F.lit(2)), 16, 10).cast("int")
     pick = lambda letters, b: F.substr(F.lit(letters), b % len(letters) + 1, F.lit(1))
-    own = _own(kind, canon)
-    hexed = own.rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & (kind == "secret") | (kind == "mac")
     base = F.when(own.rlike(r"[\p{L}\p{M}\p{N}]"), own).otherwise(F.regexp_replace(own, "(?s).", "a"))
     # more characters of the last kind after a few attempts; later where there are billions of forms
     more = F.when(kind.isin("ssn", "card"), max(0, 2 * (attempt - 11))).otherwise(max(0, 2 * (attempt - 2)))
-    base = F.concat(base, F.repeat(F.regexp_extract(base, r"([\p{L}\p{M}\p{N}])[^\p{L}\p{M}\p{N}]*$", 1), more))
+    base = F.concat(base, F.repeat(F.regexp_extract(base, r"([\p{L}\p{M}\p{N}])[^\p{L}\p{M}\p{N}]*+$", 1), more))
 
     def drawn(c: Column, i: Column) -> Column:
         b = byte(i)
         return (
             F.when((kind == "iban") & (i < 4) | (kind == "nid") & (i == 0) & c.rlike("[XYZ]"), c)
             .when(hexed & c.rlike("[0-9a-f]"), pick(_HEX, b))
-            .when((kind == "phone") & (F.length(base) == 10) & i.isin(0, 3), pick("23456789", b))
+            .when(ten & i.isin(0, 3), pick("23456789", b))
             .when((kind == "card") & (i == 0), c)
             .when(c.rlike("[0-9]"), pick(_DIGITS, b))
             .when(c.rlike("[a-z]"), pick(_LOWER, b))
@@ -304,19 +313,22 @@ def rendered(kind: Column, text: Column, new: Column) -> Column:
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(entity, kind, canon) to (entity, new): distinct surrogates, none of which is an entity itself."""
-    waiting, parts, attempt = entities.select("entity", "kind", "canon"), [], 0
+    columns = ["entity", "kind", "canon", "seed", "own", "hexed", "ten"]
+    waiting, parts, attempt = prepared(entities.select("entity", "kind", "canon"), key), [], 0
     name = lambda kind, form: F.concat(kind, F.lit("|"), F.lower(form))
     kind, canon, new = F.col("kind"), F.col("canon"), F.col("new")
     # domains get distinct surrogates that are no real domains, so local parts are compared within their own domain
     real = entities.where(kind != "local").select(name(kind, canon).alias("made")).distinct()
     while True:
-        tried = waiting.withColumn("new", surrogate(F.col("kind"), F.col("canon"), key, attempt))
+        tried = waiting.withColumn("new", surrogate(attempt))
         tried = tried.withColumn("made", name(kind, F.when(kind == "local", F.concat(new, F.lit("@"), F.substring_index(canon, "@", -1))).otherwise(new)))
-        used = reduce(DataFrame.union, [p.select("made") for p in parts] + [real]).distinct().withColumn("used", F.lit(True))
-        first = F.row_number().over(Window.partitionBy("made").orderBy("canon")) == 1
-        judged = cut_lineage(tried.withColumn("first", first).join(used, "made", "left").withColumn("fine", F.col("first") & F.col("used").isNull() & (F.lower(new) != F.lower(_own(kind, canon)))))
+        used = reduce(DataFrame.union, [p.select("made") for p in parts] + [real]).distinct()
+        # the least form of each surrogate takes it, if it is free: both joins are on keys with one row
+        lowest = tried.groupBy("made").agg(F.min("canon").alias("canon")).join(used, "made", "left_anti").withColumn("first", F.lit(True))
+        fine = F.col("first").isNotNull() & (F.lower(new) != F.lower(F.col("own")))
+        judged = cut_lineage(tried.join(lowest, ["made", "canon"], "left").withColumn("fine", fine))
         parts.append(judged.where("fine").select("entity", "kind", "canon", "new", "made"))
-        waiting = judged.where(~F.col("fine")).select("entity", "kind", "canon")
+        waiting = judged.where(~F.col("fine")).select(*columns)
         if waiting.isEmpty():
             return reduce(DataFrame.union, parts).select("entity", "new")
         attempt += 1
