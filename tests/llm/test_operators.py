@@ -334,13 +334,73 @@ def test_chat(spark):
         whole = hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in said).encode()).hexdigest()
         assert (got[c]["n_turns"], got[c]["turns_sha256"]) == (len(said), whole)
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    stream = {c: "".join(r["chunk"] for r in sorted(chunks.collect(), key=lambda r: r["place"]) if r["conv_id"] == c) for c in convs}
-    for r in chat.render(chunks).collect():
-        at = next(x for x in chunks.collect() if x["conv_id"] == r["conv_id"] and x["example"] == r["example"])
-        assert stream[r["conv_id"]][: at["loss_start"]] == r["context"] and stream[r["conv_id"]][at["loss_start"] : at["loss_end"]] == r["reply"]
+    # every reply with all that precedes it, in full, by the template
+    def chunk(role, t):
+        return "### " + re.sub(r"([\\#<:])", r"\\\1", role) + ": " + re.sub(r"([\\#<])", r"\\\1", t) + "</turn>\n"
+
+    want = {}
+    for c, said in convs.items():
+        parts = [chunk(role, t) for *_, role, t in said]
+        for k, i in enumerate(i for i, (*_, role, _) in enumerate(said) if role == "assistant"):
+            want[c, k] = ("".join(parts[:i]) + "### assistant: ", parts[i][len("### assistant: ") : -len("</turn>\n")])
+    assert {(r["conv_id"], r["example"]): (r["context"], r["reply"]) for r in chat.render(chunks).collect()} == want
+    rows_of = collections.Counter((r["conv_id"], r["example"]) for r in chunks.collect() if r["example"] is not None)
+    assert all(n == want[k][0].count("</turn>\n") - want[k][0].count("\\</turn>\n") + 1 for k, n in rows_of.items() if k[0] != 1)
+    assert sum(r["loss_start"] is not None for r in chunks.collect()) == len(want)
+    assert {c: got[c]["n_examples"] for c in convs} == {c: sum(k == c for k, _ in want) for c in convs}
+    assert {c: got[c]["example_chars"] for c in convs} == {c: sum(len(a + b) for (k, _), (a, b) in want.items() if k == c) for c in convs}
     assert chat.digests(chat.expand_prefixes(turns.limit(0))).count() == 0
 
 
+def test_chat_with_long_roles_and_texts(spark):
+    said = [(1, 0, "r:\\#" * 25_000, "x" * 1_000_000), (1, 1, "assistant", "\\<#" * 100_000), (1, 2, "user", ":" * 100_000)]
+    turns = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    row = chat.digests(chat.expand_prefixes(turns)).first()
+    assert row["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for *_, r, t in said).encode()).hexdigest()
+    assert row["loss_sha256"] == hashlib.sha256(said[1][3].encode()).hexdigest()
+
+
+def test_pages_of_any_depth_and_kind():
+    import time
+
+    start = time.time()
+    deep = "<div>" * 200_000 + "<p>t</p></li>" * 100_000 + "</span></div>" * 100_000
+    assert len(htmltext.leaf_blocks(deep)) == 100_000
+    assert htmltext.leaf_blocks("<!-->a<!--->b<!-- c --!>d<!-- <p>e")[0][0] == "abd"
+    assert htmltext.leaf_blocks("<p>" + "<a '" * 100_000)[0:1] == []
+    page = "<p>The area is <math>x=42</math> metres, <noscript>as</noscript> <object>shown</object>, <svg><text>here</text></svg>.</p><form><button>Go</button><select><option>1</select></form>"
+    assert [t for t, _ in htmltext.leaf_blocks(page)] == ["The area is x=42 metres, as shown, here."]
+    assert time.time() - start < 20
+
+
+def test_surrogates_of_long_texts(spark):
+    import time
+
+    key = "-----BEGIN RSA PRIVATE KEY-----"
+    texts = [
+        "-" * 1_000_000,
+        "." * 1_000_000,
+        "a." * 500_000,
+        "x@" + "a." * 2500 + "com",
+        "x@" + "ab." * 100 + "com",
+        key + " prose and more-of it," * 50_000,
+        (key + "\n" + "A" * 64 + "\n") * 3000,
+        key + "-" * 1_000_000,
+        "password=" + "x7" * 100_000,
+        "eyJ-" * 100_000,
+        "token=" + "-" * 50_000,
+        "1 " * 500_000,
+        "AA00 " * 200_000,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    start = time.time()
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(df).collect()}
+    assert time.time() - start < 120
+    assert [got[i]["n_entities"] for i in (0, 1, 2, 7)] == [0, 0, 0, 0]
+    assert got[4]["kinds"] == "domain,local" and len(got[4]["text"]) == len(texts[4])
+    assert got[6]["n_entities"] == 3000 and got[8]["kinds"] == "secret" and got[8]["text"] != texts[8] and len(got[8]["text"]) == len(texts[8])
+
+
 def test_language_lengths_are_exact(spark):
     import math
 

@@ -10,8 +10,10 @@ articles in many kinds of containers among menus, headers, footers, sidebars, no
 Their number is bounded by ``TRAIN_PAGES``; nothing is learned from the pages to be read.
 
 A null page is empty; a page without article blocks has an empty text. Broken markup is read as far as it goes: an
-open tag at the end is markup, unknown end tags are passed over. Repeated rows are read each by itself. Other columns
-are not looked at.
+open tag at the end is markup, unknown end tags are passed over, ``<!-->`` is an empty comment. Only scripts, styles, titles,
+templates, frames and form controls are left out by rule; text in other elements (formulas, drawings, fallback content)
+is the field's to judge. Long and deeply nested pages take linear time. Repeated rows are read each by itself. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -57,8 +59,8 @@ KINDS = {
 _KIND = {w: k for k, words in KINDS.items() for w in words.split()}
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|noscript|template|textarea|select|iframe|svg|object|button|math)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(script|style|title|template|textarea|select|iframe|button)\b[^>]*(?:>.*?(?:</\1\s*>|\Z)|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+|[^>]*)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -79,6 +81,7 @@ def leaf_blocks(page: str) -> list[tuple[str, list[str]]]:
     out: list[tuple[str, list[str]]] = []
     stack: list[tuple[str, list[str]]] = []
     active: Counter[str] = Counter()
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = 0
     in_link = False
@@ -95,7 +98,9 @@ def leaf_blocks(page: str) -> list[tuple[str, list[str]]]:
         linked, in_link = 0, False
 
     def pop() -> None:
-        for name in stack.pop()[1]:
+        tag, names = stack.pop()
+        opened[tag] -= 1
+        for name in names:
             active[name] -= 1
             if not active[name]:
                 del active[name]
@@ -118,7 +123,7 @@ def leaf_blocks(page: str) -> list[tuple[str, list[str]]]:
             continue
         flush()
         if m[2]:
-            if any(t == tag for t, _ in stack):
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -129,6 +134,7 @@ def leaf_blocks(page: str) -> list[tuple[str, list[str]]]:
             headed = headed or tag == "h1"
             names = ["t:" + tag, *_names(m[4])]
             stack.append((tag, names))
+            opened[tag] += 1
             active.update(names)
     if at < len(page):
         parts.append(page[at:])
