@@ -179,8 +179,60 @@ def test_nearest_rows_match_numpy(spark):
     assert np.allclose([got[i] for i in range(60)], d.min(1))
     self_free = R.nearest_rows(A_, A_, ["x", "y", "z"], [1.0] * 3, "k", "k", exclude_self=True).collect()
     assert min(r["dist"] for r in self_free) > 0
-    with pytest.raises(ValueError):
-        R.sample_rows(B_, "k", 10**9, 1)
+    assert R.sample_rows(B_, "k", None, 1).count() == 400 and R.sample_rows(B_, "k", 7, 1).count() == 7
+
+
+@pytest.mark.parametrize("leaf_rows, probes", [(4000, 50_000), (20, 30)])
+def test_nearest_rows_of_whole_tables(spark, monkeypatch, leaf_rows, probes):
+    from veilwork.operators import nearest
+
+    monkeypatch.setattr(nearest, "LEAF_ROWS", leaf_rows)
+    monkeypatch.setattr(nearest, "PROBES", probes)
+    rng = np.random.default_rng(4)
+    # few places, dense and empty regions, a third of all rows at one place, ties in distance
+    pool = np.round(np.concatenate([rng.normal(size=(500, 2)), rng.normal(size=(150, 2)) * 0.01 + 5, np.zeros((350, 2))]), 1)
+    ask = np.round(np.concatenate([rng.normal(size=(150, 2)) * 2, np.full((100, 2), 5.0), np.full((20, 2), 50.0)]), 1)
+    P = spark.createDataFrame([(i, *map(float, r), f"l{i % 3}") for i, r in enumerate(pool)], "k long, x double, y double, t string")
+    Q = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(ask)], "k long, x double, y double")
+
+    def best(a, own):
+        d = ((a[:, None, 0] - pool[None, :, 0]) ** 2) + ((a[:, None, 1] - pool[None, :, 1]) ** 2)
+        if own:
+            d[np.arange(len(a)), np.arange(len(a))] = np.inf
+        at = d.argmin(1)
+        return {i: (round(float(np.sqrt(d[i, j])), 9), int(j), f"l{j % 3}") for i, j in enumerate(at)}
+
+    for df, a, own in ((Q, ask, False), (P, pool, True)):
+        rows = R.nearest_rows(df, P, ["x", "y"], [1.0, 1.0], "k", "k", exclude_self=own, label=F.col("t")).collect()
+        assert {r["probe"]: (round(r["dist"], 9), r["key"], r["label"]) for r in rows} == best(a, own)
+    assert R.nearest_rows(Q, P.limit(0), ["x", "y"], [1.0, 1.0], "k", "k").count() == 0
+    assert R.nearest_rows(Q.limit(0), P, ["x", "y"], [1.0, 1.0], "k", "k").count() == 0
+
+
+def test_whole_table_audits_against_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    o = np.round(np.concatenate([rng.normal(size=(300, 2)), np.ones((100, 2))]), 2)
+    s = np.round(np.concatenate([rng.normal(size=(150, 2)) + 0.3, o[:50]]), 2)
+    tag = lambda a: ["hi" if r[0] > 0.2 else "lo" if r[1] > 0 else None for r in a]
+    schema = "k long, x double, y double, t string"
+    O = spark.createDataFrame([(i, *map(float, r), t) for i, (r, t) in enumerate(zip(o, tag(o)))], schema)
+    S = spark.createDataFrame([(i, *map(float, r), t) for i, (r, t) in enumerate(zip(s, tag(s)))], schema)
+    scale = o.std(axis=0)
+    d = lambda a, b, c: np.sqrt((((a[:, None] - b[None]) / c) ** 2).sum(-1))
+    own = d(o, o, scale)
+    np.fill_diagonal(own, np.inf)
+    members, others = own.min(1), d(s, o, scale).min(1)
+    limit = np.median(members)
+    row = R.membership_accuracy(O, S, ["x", "y"], "k", "k").first()
+    assert row["threshold"] == pytest.approx(limit) and row["accuracy"] == pytest.approx(((members <= limit).mean() + (others > limit).mean()) / 2)
+    row = R.membership_proximity(O, S, ["x", "y"], "k", "k").first()
+    assert row["above"] == pytest.approx((others > limit).mean())
+    near = d(o, s, s.std(axis=0)).argmin(1)
+    right = sum((tag(s)[j] or "__NA__") == (t or "__NA__") for j, t in zip(near, tag(o)))
+    row = R.attribute_inference(O, S, "t", ["x", "y"], "k", "k").first()
+    assert (row["probes"], row["correct"]) == (400, right) and row["baseline"] == pytest.approx(1 / 3)
+    assert R.attribute_inference(O, S, "t", ["x", "y"], "k", "k", n=40).first()["probes"] == 40
+    assert R.membership_accuracy(O.limit(0), S, ["x", "y"], "k", "k").first()["vulnerable"] is not True
 
 
 def test_linear_fit_matches_numpy(spark):

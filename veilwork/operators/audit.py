@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +20,9 @@ from veilwork.operators.frames import (
     text_cell,
     value_counts,
 )
+from veilwork.operators.nearest import nearest_points, points
 from veilwork.session import cut_lineage
 
-SAMPLE = 200
-MAX_SAMPLE = 10_000
-
 
 def k_anonymity(df: DataFrame, categories: Sequence[str] | None = None, numbers: Sequence[str] | None = None, bins: int = 10) -> DataFrame:
     """(min_k, mean_k, unique_groups, total_groups, unique_share, vulnerable, severity) over quasi-identifier groups.
@@ -62,18 +58,14 @@ def k_anonymity(df: DataFrame, categories: Sequence[str] | None = None, numbers:
 # ---- nearest rows ------------------------------------------------------------------------------------------------
 
 
-def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """A reproducible sample: the n rows with the smallest md5 of (seed, key). A top-n, not a full sort."""
-    if n > MAX_SAMPLE:
-        raise ValueError(f"samples are limited to {MAX_SAMPLE} rows")
+def sample_rows(df: DataFrame, key: str, n: int | None, seed: int) -> DataFrame:
+    """A reproducible sample: the n rows with the smallest md5 of (seed, key); all rows if ``n`` is None."""
+    if n is None:
+        return df
     rank = F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string")))
     return df.orderBy(rank, key).limit(n)
 
 
-def _points(df: DataFrame, key: str, columns: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
-    return df.select(F.col(key).alias("key"), *[F.coalesce(number_cell(df, c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)], *extra)
-
-
 def population_scale(df: DataFrame, columns: Sequence[str]) -> list[float]:
     row = df.agg(*[F.stddev_pop(F.coalesce(number_cell(df, c), F.lit(0.0))).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     return [float(row[f"s{i}"] or 0.0) or 1.0 for i in range(len(columns))]
@@ -83,70 +75,19 @@ def nearest_rows(
     probes: DataFrame, pool: DataFrame, columns: Sequence[str], scale: Sequence[float], probe_key: str, pool_key: str,
     exclude_self: bool = False, label: Column | None = None,
 ) -> DataFrame:
-    """(probe, dist, key, label): the nearest pool row of every probe row, ties to the smallest key.
-
-    ``probes`` must be a bounded sample (it is checked); its few numbers travel to the tasks. Every task reduces
-    its share of the pool to one candidate per probe, so no pairs are formed and only probes x tasks rows are
-    shuffled.
-    """
-    k = len(columns)
-    rows = _points(probes, probe_key, columns).limit(MAX_SAMPLE + 1).collect()
-    if len(rows) > MAX_SAMPLE:
-        raise ValueError(f"at most {MAX_SAMPLE} probe rows")
-    keys = np.array([r["key"] for r in rows])
-    factor = 1.0 / np.asarray(scale, dtype=float)
-    matrix = np.array([[r[f"x{i}"] for i in range(k)] for r in rows], dtype=float).reshape(len(rows), k) * factor
-    label_col = (label if label is not None else F.lit(None)).cast("string").alias("label")
-    points = _points(pool, pool_key, columns, [label_col])
-
-    def reduce_batch(batches):
-        best = np.full(len(matrix), np.inf)
-        who = [None] * len(matrix)
-        tag = [None] * len(matrix)
-        for pdf in batches:
-            if not len(pdf) or not len(matrix):
-                continue
-            pdf = pdf.sort_values("key", kind="stable")
-            pk = pdf["key"].to_numpy()
-            x = pdf[[f"x{i}" for i in range(k)]].to_numpy(dtype=float) * factor
-            for lo in range(0, len(x), 4096):
-                part = x[lo : lo + 4096]
-                d = np.zeros((len(matrix), len(part)))
-                for i in range(k):
-                    d += (matrix[:, i][:, None] - part[:, i][None, :]) ** 2
-                if exclude_self:
-                    d[keys[:, None] == pk[lo : lo + 4096][None, :]] = np.inf
-                at = d.argmin(axis=1)
-                found = d[np.arange(len(matrix)), at]
-                for j in np.nonzero(found <= best)[0]:
-                    cand = pk[lo + at[j]]
-                    if found[j] < best[j] or who[j] is None or cand < who[j]:
-                        best[j], who[j], tag[j] = found[j], cand, pdf["label"].iloc[lo + at[j]]
-        keep = [j for j in range(len(matrix)) if who[j] is not None and np.isfinite(best[j])]
-        yield pd.DataFrame(
-            {"probe": [keys[j] for j in keep], "d2": [best[j] for j in keep], "key": [who[j] for j in keep], "label": [tag[j] for j in keep]}
-        )
-
-    pt, kt = probes.schema[probe_key].dataType.simpleString(), pool.schema[pool_key].dataType.simpleString()
-    candidates = points.mapInPandas(reduce_batch, f"probe {pt}, d2 double, key {kt}, label string")
-    best = F.min(F.struct("d2", "key", "label")).alias("b")
-    return candidates.groupBy("probe").agg(best).select(
-        "probe", F.sqrt("b.d2").alias("dist"), F.col("b.key").alias("key"), F.col("b.label").alias("label")
-    )
+    """(probe, dist, key, label): the nearest pool row of every probe row, ties to the smallest key; exact, on whole
+    tables, see ``nearest``. Keys are unique on each side."""
+    tag = (label if label is not None else F.lit(None)).cast("string").alias("label")
+    return nearest_points(points(probes, probe_key, columns, scale), points(pool, pool_key, columns, scale, [tag]), len(columns), exclude_self)
 
 
 def nearest_record_rate(
     original: DataFrame, synthetic: DataFrame, columns: Sequence[str], original_key: str, synthetic_key: str,
-    n: int = SAMPLE, seed: int = 42, threshold: float = 0.5,
+    n: int | None = None, seed: int = 42, threshold: float = 0.5,
 ) -> DataFrame:
-    """(probes, close, rate, vulnerable, severity): sampled synthetic rows closer than 0.5 to any original row."""
-    scale = population_scale(original, columns)
-    near = nearest_rows(sample_rows(synthetic, synthetic_key, n, seed), original, columns, scale, synthetic_key, original_key)
-    out = near.agg(F.count("*").alias("probes"), F.count(F.when(F.col("dist") < threshold, 1)).alias("close"))
-    rate = F.col("close") / F.greatest(F.col("probes"), F.lit(1))
-    return out.withColumn("rate", rate).withColumn("vulnerable", rate > 0.1).withColumn(
-        "severity", F.when(rate > 0.3, "critical").when(rate > 0.1, "high").otherwise("low")
-    )
+    """(probes, close, rate, vulnerable, severity): synthetic rows closer than 0.5 to any original row; all of them, or
+    a sample of ``n``."""
+    return close_record_rate(original, sample_rows(synthetic, synthetic_key, n, seed), columns, threshold)
 
 
 def close_record_rate(original: DataFrame, synthetic: DataFrame, columns: Sequence[str], threshold: float = 0.5) -> DataFrame:
@@ -201,40 +142,67 @@ def _points_only(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.coalesce(number_cell(df, c), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(columns)])
 
 
+def _weighted(df: DataFrame, key: str, columns: Sequence[str], scale: Sequence[float], extra: Sequence[Column] = ()) -> DataFrame:
+    """(key, x0.., extra, n): equal rows once, under their smallest key."""
+    rows = points(df, key, columns, scale, extra)
+    return cut_lineage(rows.groupBy(*[c for c in rows.columns if c != "key"]).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")))
+
+
 def _member_distances(original, synthetic, columns, original_key, synthetic_key, n, seed, include_self):
-    scale = population_scale(original, columns)
-    inside = sample_rows(original, original_key, n, seed)
-    outside = sample_rows(synthetic, synthetic_key, n, seed)
-    members = nearest_rows(inside, inside, columns, scale, original_key, original_key, exclude_self=not include_self)
-    others = nearest_rows(outside, inside, columns, scale, synthetic_key, original_key)
-    limit = members.agg(F.percentile("dist", F.lit(0.5))).scalar()
-    return members, others, limit
+    """((dist, n) of the originals, (dist, n) of the synthetic rows, the median of the first): to the nearest original."""
+    scale, k = population_scale(original, columns), len(columns)
+    inside = _weighted(sample_rows(original, original_key, n, seed), original_key, columns, scale)
+    outside = _weighted(sample_rows(synthetic, synthetic_key, n, seed), synthetic_key, columns, scale)
+    pool = inside.withColumn("label", F.lit(None).cast("string"))
+    zero = F.lit(0.0).alias("dist")
+    if include_self:
+        members = inside.select(zero, "n")
+    else:
+        # a row with equals lies at distance 0 from them; the others look for the nearest row elsewhere
+        alone = inside.where("n = 1")
+        found = nearest_points(alone, pool, k, exclude_self=True)
+        members = inside.where("n > 1").select(zero, "n").union(found.select("dist", F.lit(1).cast("long")))
+    near = nearest_points(outside, pool, k)
+    others = near.join(outside.select(F.col("key").alias("probe"), "n"), "probe").select("dist", "n")
+    members, others = (cut_lineage(side.groupBy("dist").agg(F.sum("n").alias("n"))) for side in (members, others))
+    middle = exact_quantiles(members.select(F.col("dist").alias("value"), "n"), [], [0.5]).first()
+    return members, others, F.lit(middle["q"][0] if middle else None).cast("double")
+
+
+def _total(condition: Column | None = None) -> Column:
+    n = F.col("n") if condition is None else F.when(condition, F.col("n"))
+    return F.coalesce(F.sum(n), F.lit(0))
 
 
 def membership_proximity(
     original: DataFrame, synthetic: DataFrame, columns: Sequence[str], original_key: str, synthetic_key: str,
-    n: int = SAMPLE, seed: int = 42, include_self: bool = False,
+    n: int | None = None, seed: int = 42, include_self: bool = False,
 ) -> DataFrame:
-    """(threshold, above, score): how far sampled synthetic rows lie from sampled originals.
+    """(threshold, above, score): how far synthetic rows lie from the originals, against the originals themselves.
 
-    ``include_self`` keeps the zero distance of a member to itself, which makes the threshold zero.
+    All rows of both tables, or samples of ``n`` each. ``include_self`` keeps the zero distance of a member to itself,
+    which makes the threshold zero.
     """
     _members, others, limit = _member_distances(original, synthetic, columns, original_key, synthetic_key, n, seed, include_self)
-    share = F.count(F.when(F.col("dist") > limit, 1)) / F.greatest(F.count("*"), F.lit(1))
+    share = _total(F.col("dist") > limit) / F.greatest(_total(), F.lit(1))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + 0.5 * (share - 0.5)))
     return others.agg(F.max(limit).alias("threshold"), share.alias("above"), score.alias("score"))
 
 
 def membership_accuracy(
     original: DataFrame, synthetic: DataFrame, columns: Sequence[str], original_key: str, synthetic_key: str,
-    n: int = SAMPLE, seed: int = 42, include_self: bool = False,
+    n: int | None = None, seed: int = 42, include_self: bool = False,
 ) -> DataFrame:
-    """(threshold, accuracy, vulnerable, severity): guessing membership by the median member distance."""
+    """(threshold, accuracy, vulnerable, severity): guessing membership by the median member distance.
+
+    The accuracy is the mean of the two sides' shares of right guesses, so that their sizes need not agree.
+    """
     members, others, limit = _member_distances(original, synthetic, columns, original_key, synthetic_key, n, seed, include_self)
-    sides = members.select("dist", F.lit(1).alias("m")).unionByName(others.select("dist", F.lit(0).alias("m")))
     near = F.col("dist") <= limit
-    right = F.count(F.when((F.col("m") == 1) & near, 1)) + F.count(F.when((F.col("m") == 0) & ~near, 1))
-    out = sides.agg(F.max(limit).alias("threshold"), (right / F.count("*")).alias("accuracy"))
+    sides = members.select("dist", "n", F.lit(1).alias("m")).unionByName(others.select("dist", "n", F.lit(0).alias("m")))
+    inside, outside = F.col("m") == 1, F.col("m") == 0
+    share = lambda side, right: _total(side & right) / F.greatest(_total(side), F.lit(1))
+    out = sides.agg(F.max(limit).alias("threshold"), ((share(inside, near) + share(outside, ~near)) / 2).alias("accuracy"))
     a = F.col("accuracy")
     return out.withColumn("vulnerable", a > 0.65).withColumn(
         "severity", F.when(a > 0.8, "critical").when(a > 0.65, "high").otherwise("low")
@@ -243,18 +211,17 @@ def membership_accuracy(
 
 def attribute_inference(
     original: DataFrame, synthetic: DataFrame, target: str, columns: Sequence[str], original_key: str, synthetic_key: str,
-    n: int = 100, seed: int = 42,
+    n: int | None = None, seed: int = 42,
 ) -> DataFrame:
-    """(probes, correct, accuracy, baseline, vulnerable, severity): labels of sampled originals guessed from the
-    nearest synthetic row."""
+    """(probes, correct, accuracy, baseline, vulnerable, severity): labels of originals guessed from the nearest
+    synthetic row; of all originals, or of a sample of ``n``."""
     scale = population_scale(synthetic, columns)
-    probes = sample_rows(original, original_key, n, seed)
-    tag = F.coalesce(text_cell(synthetic, target), F.lit("__NA__"))
-    near = nearest_rows(probes, synthetic, columns, scale, original_key, synthetic_key, label=tag)
-    truth = probes.select(F.col(original_key).alias("probe"), F.coalesce(text_cell(original, target), F.lit("__NA__")).alias("truth"))
-    labels = original.agg(F.count_distinct(F.coalesce(text_cell(original, target), F.lit("__NA__")))).scalar()
-    out = truth.join(F.broadcast(near), "probe").agg(
-        F.count("*").alias("probes"), F.count(F.when(F.col("label") == F.col("truth"), 1)).alias("correct"), F.max(1.0 / F.greatest(labels, F.lit(1))).alias("baseline")
+    label = lambda df, name: F.coalesce(text_cell(df, target), F.lit("__NA__")).alias(name)
+    probes = _weighted(sample_rows(original, original_key, n, seed), original_key, columns, scale, [label(original, "truth")])
+    near = nearest_points(probes, points(synthetic, synthetic_key, columns, scale, [label(synthetic, "label")]), len(columns))
+    labels = original.agg(F.count_distinct(label(original, "truth"))).scalar()
+    out = probes.join(near.select(F.col("probe").alias("key"), "label"), "key").agg(
+        _total().alias("probes"), _total(F.col("label") == F.col("truth")).alias("correct"), F.max(1.0 / F.greatest(labels, F.lit(1))).alias("baseline")
     )
     a = F.col("correct") / F.greatest(F.col("probes"), F.lit(1))
     return out.withColumn("accuracy", a).withColumn("vulnerable", a > F.col("baseline") * 2).withColumn(

@@ -19,7 +19,7 @@ from veilwork.plans.fixtures import (
     orders_release,
 )
 from veilwork.plans.profile_queries import union_sql
-from veilwork.plans.registry import query, table
+from veilwork.plans.registry import ORACLES, query, table
 
 NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
 TEXTS = ["o_orderstatus", "o_orderpriority"]
@@ -309,13 +309,12 @@ def _(spark, folder):
 
 SCALES = "sc AS (SELECT stddev_pop(o_custkey) AS sc, stddev_pop(o_totalprice) AS sp FROM orig)"
 DISTANCE = "sqrt(pow((a.o_custkey - b.o_custkey) / sc, 2) + pow((a.o_totalprice - b.o_totalprice) / sp, 2))"
-SAMPLES = "os AS (SELECT * FROM orig ORDER BY md5('42/' || o_orderkey), o_orderkey LIMIT 200), ss AS (SELECT * FROM synth ORDER BY md5('42/' || o_orderkey), o_orderkey LIMIT 200)"
 NEAR_COLUMNS = ["o_custkey", "o_totalprice"]
 
 
 @query(
     "nearest_record",
-    f"""{PAIR_SQL}, {SCALES}, {SAMPLES}, d AS (SELECT a.o_orderkey, min({DISTANCE}) AS d FROM ss a, orig b, sc GROUP BY 1),
+    f"""{PAIR_SQL}, {SCALES}, d AS (SELECT a.o_orderkey, min({DISTANCE}) AS d FROM synth a, orig b, sc GROUP BY 1),
 s AS (SELECT count(*) AS probes, count(*) FILTER (d < 0.01) AS close FROM d)
 SELECT probes, close, close / probes AS rate, close / probes > 0.1 AS vulnerable, CASE WHEN close / probes > 0.3 THEN 'critical' WHEN close / probes > 0.1 THEN 'high' ELSE 'low' END AS severity FROM s""",
 )
@@ -324,20 +323,21 @@ def _(spark, folder):
     return R.nearest_record_rate(o, s, NEAR_COLUMNS, "o_orderkey", "o_orderkey", threshold=0.01)
 
 
-@query(
-    "close_records",
-    f"""{PAIR_SQL}, {SCALES}, c AS (SELECT count(DISTINCT a.o_orderkey) AS close FROM synth a, orig b, sc
-  WHERE b.o_custkey BETWEEN a.o_custkey - 0.01 * sc AND a.o_custkey + 0.01 * sc AND {DISTANCE} < 0.01),
+def close_sql(threshold: float) -> str:
+    return f"""{PAIR_SQL}, {SCALES}, c AS (SELECT count(DISTINCT a.o_orderkey) AS close FROM synth a, orig b, sc
+  WHERE b.o_custkey BETWEEN a.o_custkey - {threshold} * sc AND a.o_custkey + {threshold} * sc AND {DISTANCE} < {threshold}),
 s AS (SELECT (SELECT count(*) FROM synth) AS probes, close FROM c)
-SELECT probes, close, close / probes AS rate, close / probes > 0.1 AS vulnerable, CASE WHEN close / probes > 0.3 THEN 'critical' WHEN close / probes > 0.1 THEN 'high' ELSE 'low' END AS severity FROM s""",
-)
+SELECT probes, close, close / probes AS rate, close / probes > 0.1 AS vulnerable, CASE WHEN close / probes > 0.3 THEN 'critical' WHEN close / probes > 0.1 THEN 'high' ELSE 'low' END AS severity FROM s"""
+
+
+@query("close_records", close_sql(0.01))
 def _(spark, folder):
     o, s = pair(spark, folder)
     return R.close_record_rate(o, s, NEAR_COLUMNS, threshold=0.01)
 
 
-MEMBERS = f"""{PAIR_SQL}, {SCALES}, {SAMPLES}, mem AS (SELECT a.o_orderkey, min({DISTANCE}) AS d FROM os a, os b, sc WHERE a.o_orderkey <> b.o_orderkey GROUP BY 1),
-oth AS (SELECT a.o_orderkey, min({DISTANCE}) AS d FROM ss a, os b, sc GROUP BY 1), lim AS (SELECT median(d) AS t FROM mem)"""
+MEMBERS = f"""{PAIR_SQL}, {SCALES}, mem AS (SELECT a.o_orderkey, min({DISTANCE}) AS d FROM orig a, orig b, sc WHERE a.o_orderkey <> b.o_orderkey GROUP BY 1),
+oth AS (SELECT a.o_orderkey, min({DISTANCE}) AS d FROM synth a, orig b, sc GROUP BY 1), lim AS (SELECT median(d) AS t FROM mem)"""
 
 
 @query(
@@ -354,7 +354,7 @@ def _(spark, folder):
 @query(
     "membership_accuracy",
     MEMBERS
-    + """, s AS (SELECT (SELECT t FROM lim) AS t, ((SELECT count(*) FROM mem WHERE d <= (SELECT t FROM lim)) + (SELECT count(*) FROM oth WHERE d > (SELECT t FROM lim))) / 400 AS a)
+    + """, s AS (SELECT (SELECT t FROM lim) AS t, ((SELECT avg(CAST(d <= (SELECT t FROM lim) AS INT)) FROM mem) + (SELECT avg(CAST(d > (SELECT t FROM lim) AS INT)) FROM oth)) / 2 AS a)
 SELECT round(t, 6) AS threshold, round(a, 6) AS accuracy, a > 0.65 AS vulnerable, CASE WHEN a > 0.8 THEN 'critical' WHEN a > 0.65 THEN 'high' ELSE 'low' END AS severity FROM s""",
 )
 def _(spark, folder):
@@ -365,8 +365,7 @@ def _(spark, folder):
 @query(
     "attribute_inference",
     f"""{PAIR_SQL}, sc AS (SELECT stddev_pop(o_custkey) AS sc, stddev_pop(o_totalprice) AS sp FROM synth),
-os AS (SELECT * FROM orig ORDER BY md5('42/' || o_orderkey), o_orderkey LIMIT 100),
-d AS (SELECT a.o_orderkey, any_value(a.o_orderstatus) AS truth, arg_min(b.o_orderstatus, (round({DISTANCE}, 12), b.o_orderkey)) AS label FROM os a, synth b, sc GROUP BY 1),
+d AS (SELECT a.o_orderkey, any_value(a.o_orderstatus) AS truth, arg_min(b.o_orderstatus, (round({DISTANCE}, 12), b.o_orderkey)) AS label FROM orig a, synth b, sc GROUP BY 1),
 s AS (SELECT count(*) AS probes, count(*) FILTER (truth = label) AS correct, 1.0 / (SELECT count(DISTINCT o_orderstatus) FROM orig) AS baseline FROM d)
 SELECT probes, correct, round(baseline, 6) AS baseline, round(correct / probes, 6) AS accuracy, correct / probes > baseline * 2 AS vulnerable,
   CASE WHEN correct / probes > 0.7 THEN 'high' WHEN correct / probes > baseline * 2 THEN 'medium' ELSE 'low' END AS severity FROM s""",
@@ -408,7 +407,26 @@ def _(spark, folder):
     return digits(digits(out, 4, "mean_k"), 6, "unique_share")
 
 
-@query("privacy_audit")
+def audit_sql(*names: tuple[str, str]) -> str:
+    """The summary of the verdicts of the named queries, from their own SQL, with the advice for each."""
+    sql = {**ORACLES, "close": close_sql(0.5)}
+    rows = " UNION ALL ".join(f"SELECT '{tip}' AS tip, vulnerable FROM ({sql[name]})" for name, tip in names)
+    return f"""WITH verdicts AS ({rows}), s AS (SELECT count(*) AS run, count(*) FILTER (vulnerable) AS succeeded,
+  coalesce(array_to_string(list_sort(list(DISTINCT tip) FILTER (vulnerable AND tip <> '')), ' '), '') AS recommendations FROM verdicts)
+SELECT run, succeeded, recommendations, CASE WHEN succeeded = 0 THEN 'safe' WHEN succeeded <= 1 THEN 'moderate' WHEN succeeded <= 3 THEN 'vulnerable' ELSE 'critical' END AS vulnerability,
+  CASE WHEN succeeded = 0 THEN 10.0 WHEN succeeded <= 1 THEN 40.0 WHEN succeeded <= 3 THEN 70.0 ELSE 90.0 END::DOUBLE AS risk_score FROM s"""
+
+
+@query(
+    "privacy_audit",
+    audit_sql(
+        ("membership_accuracy", "Add differential privacy noise to reduce membership inference risk."),
+        ("inversion_r2", "Add feature perturbation to prevent attribute reconstruction."),
+        ("close", "Increase synthetic data diversity; reduce exact-row similarity."),
+        ("attribute_inference", ""),
+        ("k_anonymity", "Ensure quasi-identifiers have k>=5 equivalence classes."),
+    ),
+)
 def _(spark, folder):
     o, s = pair(spark, folder)
     key = "o_orderkey"
