@@ -13,6 +13,7 @@ from veilwork.operators import audit as R
 from veilwork.operators import compare as C
 from veilwork.operators import conditional as K
 from veilwork.operators import edit as E
+from veilwork.operators import frames as FR
 from veilwork.operators import graph as G
 from veilwork.operators import history as H
 from veilwork.operators import metrics as M
@@ -169,6 +170,24 @@ def test_copies_with_nulls_and_repeats(spark):
     assert [tuple(r) for r in C.drop_copies(o, s).collect()] == [(2.0, None)]
 
 
+def test_draws_from_counts_far_above_the_rows(spark):
+    counts = spark.createDataFrame([("a", 5), ("b", 100_000_000), ("c", 1), ("d", 300_000_000)], "t string, n long")
+    rows = spark.range(20_000).withColumnRenamed("id", "row_id").withColumn("t2", F.lit("x"))
+    got = {r["t"]: r["n"] for r in S.draw_counted(rows, counts, "t", 400_000_006, 3).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    assert sum(got.values()) == 20_000 and abs(got["b"] / 20_000 - 0.25) < 0.02 and got.get("a", 0) < 5
+
+
+def test_range_lookup_against_brute_force(spark):
+    import bisect
+
+    starts = [0, 3, 4, 10, 11, 50, 51]
+    ranges = spark.createDataFrame([(s, f"v{s}") for s in starts], "at long, v string").repartition(3)
+    asked = [(i, (i * 37) % 60 if i % 3 else 50) for i in range(400)]
+    rows = spark.createDataFrame(asked, "k long, s long").repartition(7)
+    got = {r["k"]: r["v"] for r in FR.range_lookup(rows, "s", ranges, "at", "v").collect()}
+    assert got == {k: f"v{starts[bisect.bisect_right(starts, s) - 1]}" for k, s in asked}
+
+
 def test_nearest_rows_match_numpy(spark):
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(60, 3)), rng.normal(size=(400, 3))
@@ -299,7 +318,8 @@ def test_types(spark):
     got = {r["column"]: r for r in Y.classify_columns(Y.column_facts(df)).collect()}
     assert got["mail"]["type"] == "HIGH_CARD_CATEGORICAL" and got["mail"]["pattern"] == "email"
     assert got["d"]["type"] == "DISCRETE_NUMERIC" and got["note"]["type"] == "FREE_TEXT" and got["n"]["type"] == "CONTINUOUS_NUMERIC"
-    assert Y.pick_numeric_target(df.withColumnRenamed("n", "price")) == "price"
+    chosen = lambda t: [r["column"] for r in C.target_columns(t).orderBy("choice").collect()]
+    assert chosen(df.withColumnRenamed("n", "price")) == ["price", "d"] and chosen(df) == ["d", "n"] and chosen(df.select("mail")) == []
 
 
 def test_shrinkage_sums_to_one(spark, mixed):

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.functions.numeric import clamp, is_numeric_type
@@ -24,7 +24,6 @@ from veilwork.operators.frames import (
     text_cell,
     value_counts,
 )
-from veilwork.operators.typing import pick_numeric_target
 
 ORIGIN = "_origin"
 GENERATED = "generated"
@@ -255,12 +254,27 @@ def r_squared(df: DataFrame, features: Sequence[str], target: str, weights: Sequ
     return df.agg((1.0 - F.sum(F.pow(y - guess, 2)) / F.greatest(total, F.lit(1e-10))).alias("r2"))
 
 
+#: Parts of column names that hint at a target (fixed values).
+TARGET_HINTS = ("charge", "price", "salary", "cost", "income", "revenue", "target", "label", "score", "value", "amount")
+
+
+def target_columns(df: DataFrame) -> DataFrame:
+    """(column, hinted, choice) of the numeric columns: those with a hint come first, in table order, then the rest from
+    the last one back."""
+    places = df.sparkSession.createDataFrame(list(enumerate(numeric_columns(df))), "place int, column string")
+    hinted = F.lower("column").rlike("|".join(TARGET_HINTS))
+    order = Window.orderBy(hinted.desc(), F.when(hinted, F.col("place")).otherwise(-F.col("place")))
+    return places.select("column", hinted.alias("hinted"), F.row_number().over(order).alias("choice"))
+
+
 def tstr_r2(original: DataFrame, synthetic: DataFrame, target: str | None = None, features: Sequence[str] | None = None) -> DataFrame:
     """(target, r2): ridge (alpha 1, standardised) trained on synthetic, scored on original; null below two features.
 
     Without a target, the numeric column whose name suggests one is taken.
     """
-    target = target or pick_numeric_target(original)
+    if target is None:
+        first = target_columns(original).where("choice = 1").first()
+        target = first["column"] if first else None
     names = list(features or [c for c in numeric_columns(original) if c != target and c in synthetic.columns])
     if len(names) < 2:
         return original.sparkSession.createDataFrame([(target, None)], "target string, r2 double")

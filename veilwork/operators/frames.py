@@ -118,6 +118,31 @@ def running_totals(
     )
 
 
+def range_lookup(rows: DataFrame, slot: str, ranges: DataFrame, start: str, value: str) -> DataFrame:
+    """``rows`` with the column ``value`` of the range their ``slot`` lies in; a range goes on to the next one's start.
+
+    Range starts and slots are sorted together, once, and every slot takes the last value before it; the value
+    that is open at the start of a partition comes from the partitions before (one row per partition). So neither a
+    range that covers most slots nor a table of very many ranges is ever expanded, and equal slots are dealt over
+    partitions by the hash of their row.
+    """
+    data = F.struct(*[cell(c) for c in rows.columns])
+    nothing = F.lit(None)
+    starts = ranges.select(cell(start).cast("long").alias("_slot"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"), cell(value).alias("_value"))
+    asked = rows.select(cell(slot).cast("long").alias("_slot"), F.lit(1).alias("_kind"), F.xxhash64(*[cell(c) for c in rows.columns]).alias("_tie"), data.alias("_row"))
+    both = starts.withColumn("_row", nothing.cast(asked.schema["_row"].dataType)).unionByName(
+        asked.withColumn("_value", nothing.cast(starts.schema["_value"].dataType))
+    )
+    frozen = cut_lineage(both.orderBy("_slot", "_kind", "_tie").withColumn("_at", F.monotonically_increasing_id()))
+    frozen = frozen.withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    latest = frozen.groupBy("_part").agg(F.max_by("_value", F.when(F.col("_kind") == 0, F.col("_at"))).alias("_open"))
+    opened = latest.select("_part", F.last("_open", ignorenulls=True).over(across).alias("_open"))
+    filled = frozen.join(F.broadcast(opened), "_part").withColumn("_value", F.coalesce(F.last("_value", ignorenulls=True).over(inside), F.col("_open")))
+    return filled.where("_kind = 1").select(*[F.col("_row").getField(c).alias(c) for c in rows.columns], F.col("_value").alias(value))
+
+
 def exact_quantiles(
     counts: DataFrame,
     groups: Sequence[str],

@@ -727,9 +727,8 @@ def _(spark, folder):
 @query(
     "governance_actions",
     RANK_SQL
-    + """, best AS (SELECT * FROM rank ORDER BY score DESC, "column" LIMIT 6)
-SELECT "column", 'Mask or tokenise' AS action, 'high' AS urgency FROM best WHERE pii_score > 0.7
-UNION SELECT "column", 'Apply k-anonymity or suppress', 'critical' FROM best WHERE reid > 0.7""",
+    + """ SELECT "column", 'Mask or tokenise' AS action, 'high' AS urgency FROM rank WHERE pii_score > 0.7
+UNION SELECT "column", 'Apply k-anonymity or suppress', 'critical' FROM rank WHERE reid > 0.7""",
 )
 def _(spark, folder):
     return R.governance_actions(ranking(spark, folder))

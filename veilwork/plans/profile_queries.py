@@ -20,6 +20,7 @@ from veilwork.plans.fixtures import (
 from veilwork.plans.registry import query, table
 
 LINE_NUMBERS = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+ALL_LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", *LINE_NUMBERS]
 CUSTOMER_TEXTS = ["c_name", "c_mktsegment"]
 
 
@@ -56,9 +57,9 @@ def round_profile(df):
     )
 
 
-@query("profile_numeric", profile_sql(LINE_NUMBERS, "lineitem"))
+@query("profile_numeric", profile_sql(ALL_LINE_NUMBERS, "lineitem"))
 def _(spark, folder):
-    return round_profile(P.profile_numeric(table(spark, folder, "lineitem"), LINE_NUMBERS))
+    return round_profile(P.profile_numeric(table(spark, folder, "lineitem")))
 
 
 @query("profile_numeric_nulls", profile_sql(["o_totalprice", "o_custkey"], "holes", HOLES_SQL + ","))
