@@ -61,10 +61,20 @@ def test_pieces_and_spans_equal_the_library(options):
         assert [*zip(*[a.tolist() for a in encoder.encode(text.encode())])] == want, text
 
 
+def test_long_texts_are_cut_between_words(monkeypatch):
+    encoder, library = subwords.Encoder(variant()), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    text = " ".join(odd_texts(300))
+    for chunk in (1, 7, 100):
+        monkeypatch.setattr(subwords, "CHUNK", chunk)
+        want = [(p.id, p.begin, p.end) for p in library.encode(text, return_type="proto").pieces]
+        assert [*zip(*[a.tolist() for a in encoder.encode(text.encode())])] == want
+
+
 def test_bad_bytes_and_refused_models():
     encoder = subwords.Encoder(variant())
     ids, begins, ends = encoder.encode(b"a\xff\xfe b")
-    mark = [encoder.bytes[b] for b in "�".encode()] if "�" not in encoder.ids else [encoder.ids["�"]]
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    mark = library.encode("a�")[1:]
     assert ids.tolist()[1:-1] == mark * 2 and begins.tolist()[-1] == 3 and ends.tolist()[-1] == 5
     model = proto.ModelProto.FromString(variant())
     model.pieces[300].type = 4

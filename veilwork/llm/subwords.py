@@ -2,13 +2,13 @@
 
 A text is normalised by the longest rule of the model's compiled character map that starts at each place, white space is
 squeezed (if the model asks for it) and escaped, and each of these steps leaves a map from places in its output to places
-in its input. The normalised text is merged by the model's byte pair ranks, unknown characters fall back to byte pieces,
-and the borders of the pieces go back through the maps, so piece i covers the original bytes ``begins[i]`` to ``ends[i]``.
+in its input. The normalised text is cut into pieces by the model's byte pair ranks, unknown characters into byte pieces, and
+the borders of the pieces go back through the maps, so piece i covers the original bytes ``begins[i]`` to ``ends[i]``.
 As in the sentencepiece library, of several byte pieces of one character only the last covers it, and a text of which
 nothing is left has no pieces but the end mark.
 
-Merges do not cross the start of a word unless a piece of the vocabulary does, so words are merged one by one and
-remembered (``REMEMBERED`` words a task at most; then the memory starts anew). A word of any length takes n log n time.
+The normalised text is merged by the library, told to take it as it is. Merges do not cross the start of a word unless a
+piece of the vocabulary does, so long texts are merged ``CHUNK`` characters at a time, cut between words.
 
 A null text is an empty one, and has the end mark alone. A null id is an id like others; repeated rows stay; other
 columns are not looked at; an empty table gives an empty result. Very long texts are encoded whole: memory is a small
@@ -19,7 +19,6 @@ Models other than byte pair models, and those with user-defined or unused pieces
 from __future__ import annotations
 
 import codecs
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -30,8 +29,8 @@ from pyspark.sql import functions as F
 
 from veilwork.llm.common import bytes_of, cell
 
-#: Words whose pieces a task remembers; longer words than this many characters are not remembered.
-REMEMBERED, LONG_WORD = 200_000, 64
+#: Characters of a normalised text that are merged at once.
+CHUNK = 1 << 16
 #: Tokens that a task holds before it passes them on.
 TOKENS = 1 << 20
 
@@ -144,14 +143,18 @@ class Encoder:
         self.map = CharacterMap(norm.precompiled_charsmap)
         self.squeeze, self.prefix, self.escape = norm.remove_extra_whitespaces, norm.add_dummy_prefix, norm.escape_whitespaces
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == 1}
-        self.ranks = {p.piece: -p.score for p in proto.pieces if p.type == 1}
-        self.bytes = [next((i for i, p in enumerate(proto.pieces) if p.type == 6 and p.piece == f"<0x{b:02X}>"), None) for b in range(256)]
+        byte = {f"<0x{b:02X}>": b for b in range(256)}
+        self.byte_of = np.array([byte[p.piece] if p.type == 6 else -1 for p in proto.pieces], np.int16)
+        self.sizes = np.array([len(p.piece.encode()) for p in proto.pieces], np.int64)
         self.fallback = trainer.byte_fallback
-        self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
         self.end = next((i for i, p in enumerate(proto.pieces) if p.type == 3 and p.piece == (trainer.eos_piece or "</s>")), None)
-        crossing = any(_SPACE in p.lstrip(_SPACE) for p in self.ids)
-        self.word = re.compile("(?s).+" if crossing else f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
-        self.known: dict[str, tuple] = {}
+        # without a piece that goes on after a word's start, merges stay inside words
+        self.cuts = not any(_SPACE in p.lstrip(_SPACE) for p in self.ids)
+        self.start_of_word = re.compile(f"[^{_SPACE}](?={_SPACE})")
+        norm.precompiled_charsmap = b""
+        norm.add_dummy_prefix = norm.remove_extra_whitespaces = norm.escape_whitespaces = False
+        self.plain = proto.SerializeToString()
+        self._opened = None
 
     def normalise(self, raw: bytes) -> tuple[str, list[Places]]:
         """The normalised text and the maps from its bytes back to the raw ones, last step first."""
@@ -193,60 +196,53 @@ class Encoder:
             text = text.rstrip(mark)
         return text, steps[::-1]
 
-    def _merge(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """(ids, bytes covered) of one word: the best-ranked neighbours are joined first, leftmost among equals."""
-        parts, ranks = list(word), self.ranks
-        after = list(range(1, len(parts) + 1))
-        before = list(range(-1, len(parts) - 1))
-        queue = [(ranks[p], i, p) for i, p in enumerate(map("".join, zip(parts, parts[1:]))) if p in ranks]
-        heapq.heapify(queue)
-        while queue:
-            _, i, pair = heapq.heappop(queue)
-            j = after[i]
-            if j >= len(parts) or not parts[i] or parts[i] + parts[j] != pair:
-                continue
-            parts[i], parts[j] = pair, ""
-            k = after[i] = after[j]
-            if k < len(parts):
-                before[k] = i
-                if (wider := pair + parts[k]) in ranks:
-                    heapq.heappush(queue, (ranks[wider], i, wider))
-            if (h := before[i]) >= 0 and (wider := parts[h] + pair) in ranks:
-                heapq.heappush(queue, (ranks[wider], h, wider))
-        ids, sizes = [], []
-        for part in filter(None, parts):
-            raw, known = part.encode(), self.ids.get(part)
-            if known is None and self.fallback:
-                ids += [self.bytes[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [len(raw)]
-            else:
-                ids.append(self.unknown if known is None else known)
-                sizes.append(len(raw))
-        return tuple(ids), tuple(sizes)
+    @property
+    def segmenter(self):
+        """The library's processor over the same pieces, which takes a text as normalised already; opened once a task."""
+        if self._opened is None:
+            import sentencepiece
+
+            self._opened = sentencepiece.SentencePieceProcessor(model_proto=self.plain)
+        return self._opened
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_opened": None}
+
+    def _chunks(self, text: str) -> Iterator[str]:
+        """The text in parts that merges do not cross: cut before a word, at least ``CHUNK`` characters after the last cut."""
+        at = 0
+        while self.cuts and len(text) - at > CHUNK:
+            cut = self.start_of_word.search(text, at + CHUNK)
+            if cut is None:
+                break
+            yield text[at : cut.start() + 1]
+            at = cut.start() + 1
+        yield text[at:]
+
+    def _segment(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bytes covered) of a normalised text."""
+        if not self.fallback:  # neighbouring unknown pieces are one, of a length that its id does not tell
+            pieces = self.segmenter.encode(text, return_type="proto").pieces
+            return np.array([p.id for p in pieces], np.int32), np.array([p.end - p.begin for p in pieces], np.int64)
+        ids = np.concatenate([np.array(self.segmenter.encode(part), np.int32) for part in self._chunks(text)])
+        sizes = self.sizes[ids]
+        value = self.byte_of[ids]
+        if (value >= 0).any():
+            # the byte pieces of a character: a leading one and those that continue it; the last covers them all
+            more = (value >= 0x80) & (value < 0xC0)
+            last = (value >= 0) & ~np.append(more[1:], False)
+            lead = np.maximum.accumulate(np.where(more, 0, np.arange(len(ids))))
+            sizes = np.where(value >= 0, np.where(last, np.arange(len(ids)) - lead + 1, 0), sizes)
+        return ids, sizes
 
     def encode(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begins, ends) of one text without the end mark."""
         text, steps = self.normalise(raw)
-        ids: list[int] = []
-        sizes: list[int] = []
-        known = self.known
-        for word in self.word.findall(text):
-            pieces = known.get(word)
-            if pieces is None:
-                pieces = self._merge(word)
-                if len(word) <= LONG_WORD:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = pieces
-            ids.extend(pieces[0])
-            sizes.extend(pieces[1])
-        found, borders = np.array(ids, np.int32), np.concatenate(([0], np.cumsum(np.array(sizes, np.int64))))
-        if not self.fallback and len(found):  # neighbouring unknown pieces are one
-            first = ~((found == self.unknown) & np.concatenate(([False], found[:-1] == self.unknown)))
-            found, borders = found[first], np.concatenate((borders[:-1][first], borders[-1:]))
+        ids, sizes = self._segment(text) if text else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        borders = np.concatenate(([0], np.cumsum(sizes)))
         for step in steps:
             borders = step.back(borders)
-        return found, borders[:-1].astype(np.int32), borders[1:].astype(np.int32)
+        return ids, borders[:-1].astype(np.int32), borders[1:].astype(np.int32)
 
 
 _NOTHING = Places(np.array([0]), np.array([0]), np.array([False]))
