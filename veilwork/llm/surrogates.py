@@ -206,26 +206,26 @@ def control_number(digits: Column) -> Column:
     return F.pmod(F.translate(digits, "XYZ", "012").cast("decimal(38,0)"), F.lit(23)).cast("int")
 
 
-def prepared(entities: DataFrame, key: str) -> DataFrame:
-    """``entities`` with what their surrogates are drawn from: ``seed``, ``own``, ``hexed`` and ``ten``.
+def prepared(entities: DataFrame) -> DataFrame:
+    """``entities`` with what their surrogates are made from: ``own``, ``hexed`` and ``ten``.
 
     ``own`` is the part of a canonical form that is replaced: local parts carry their domain to tell addresses apart.
     The columns are stored, so that long forms are read once and not once for every character drawn.
     """
     kind, canon = F.col("kind"), F.col("canon")
     own = F.when(kind == "local", F.substring_index(canon, "@", 1)).otherwise(canon)
-    rows = entities.withColumn("seed", F.sha2(F.concat_ws("|", F.lit(key), kind, canon), 256)).withColumn("own", own)
+    rows = entities.withColumn("own", own)
     hexed = F.col("own").rlike("^[0-9a-f]*[a-f][0-9a-f]*$") & (kind == "secret") | (kind == "mac")
     return cut_lineage(rows.withColumn("hexed", hexed).withColumn("ten", (kind == "phone") & (F.length("own") == 10)))
 
 
 def surrogate(attempt: int) -> Column:
-    """The surrogate of a canonical form, in canonical form, at the given attempt, from the columns of ``prepared``."""
+    """The surrogate of a canonical form, in canonical form, at the given attempt, from the columns of ``prepared`` and the keyed digest
+    ``hexes``."""
     kind, own, hexed, ten = F.col("kind"), F.col("own"), F.col("hexed"), F.col("ten") & F.lit(attempt < 3)
-    seed = F.concat_ws("|", "seed", F.lit(str(attempt)))
-    hexes = F.sha2(seed, 512)
+    hexes = F.col("hexes")
     # two digest digits per drawn character; longer forms draw from the digest anew
-    byte = lambda i: F.conv(F.substr(F.concat(hexes, F.sha2(F.concat(seed, F.floor(i / 64).cast("string")), 512)), F.when(i < 64, 2 * i + 1).otherwise(129 + 2 * (i % 64)), F.lit(2)), 16, 10).cast("int")
+    byte = lambda i: F.conv(F.substr(F.concat(hexes, F.sha2(F.concat(hexes, F.floor(i / 64).cast("string")), 512)), F.when(i < 64, 2 * i + 1).otherwise(129 + 2 * (i % 64)), F.lit(2)), 16, 10).cast("int")
     pick = lambda letters, b: F.substr(F.lit(letters), b % len(letters) + 1, F.lit(1))
     base = F.when(own.rlike(r"[\p{L}\p{M}\p{N}]"), own).otherwise(F.regexp_replace(own, "(?s).", "a"))
     # more characters of the last kind after a few attempts; later where there are billions of forms
@@ -313,14 +313,16 @@ def rendered(kind: Column, text: Column, new: Column) -> Column:
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(entity, kind, canon) to (entity, new): distinct surrogates, none of which is an entity itself."""
-    columns = ["entity", "kind", "canon", "seed", "own", "hexed", "ten"]
-    waiting, parts, attempt = prepared(entities.select("entity", "kind", "canon"), key), [], 0
+    columns = ["entity", "kind", "canon", "own", "hexed", "ten"]
+    waiting, parts, attempt = prepared(entities.select("entity", "kind", "canon")), [], 0
     name = lambda kind, form: F.concat(kind, F.lit("|"), F.lower(form))
     kind, canon, new = F.col("kind"), F.col("canon"), F.col("new")
     # domains get distinct surrogates that are no real domains, so local parts are compared within their own domain
     real = entities.where(kind != "local").select(name(kind, canon).alias("made")).distinct()
     while True:
-        tried = waiting.withColumn("new", surrogate(attempt))
+        digest = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, F.lit(str(attempt))), 512)
+        # written, so that a long form is hashed once and not for every character drawn
+        tried = cut_lineage(waiting.withColumn("hexes", digest)).withColumn("new", surrogate(attempt))
         tried = tried.withColumn("made", name(kind, F.when(kind == "local", F.concat(new, F.lit("@"), F.substring_index(canon, "@", -1))).otherwise(new)))
         used = reduce(DataFrame.union, [p.select("made") for p in parts] + [real]).distinct()
         # the least form of each surrogate takes it, if it is free: both joins are on keys with one row
