@@ -206,12 +206,69 @@ def test_decontamination(odd, empty, items, block_bytes):
         assert decontam.decontaminate(odd, items.limit(0)).where("n_hit > 0 OR contaminated").count() == 0
 
 
-def test_proximity(spark, items):
-    passage = " ".join(text(1, 120).split()[20:30]).split()
-    near = " ".join([*passage[:5], "between", *passage[5:]])
-    docs = spark.createDataFrame([(1, near), (2, " ".join(passage)), (3, "nothing here")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_hit"], r["n_near"] > 0) for r in decontam.decontaminate(docs, items).collect()}
-    assert got[2][0] == 10 and got[3] == (0, False) and got[1][0] == 0
+def brute_near(rows, bench, slop=2):
+    """Proximity starts per row, by the rule of the module's docstring, window by window and place by place."""
+    split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words_of = lambda t: split.findall((t or "").translate(LOWER))
+    texts = [words_of(r[1]) for r in rows]
+    counts = collections.Counter(w for words in texts for w in words)
+    windows = {tuple(w[k : k + 10]) for _, t in bench for w in [words_of(t)] if w for k in range(max(1, len(w) - 9))}
+    out = []
+    for words in texts:
+        n = 0
+        for w in windows:
+            order = sorted((counts[x], j) for j, x in enumerate(w) if counts[x])
+            if 10 * len(order) < decontam.LEAST * len(w) or len(order) < 2:
+                continue
+            held = lambda start, j: w[j] in words[max(0, start + j - slop) : max(0, start + j + slop + 1)]  # noqa: B023, E731
+            for start in (i - order[0][1] for i, x in enumerate(words) if x == w[order[0][1]]):
+                exact = start >= 0 and tuple(words[start : start + len(w)]) == w
+                n += not exact and held(start, order[1][1]) and 10 * sum(held(start, j) for j in range(len(w))) >= decontam.LEAST * len(w)
+        out.append(n)
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 900])
+def test_proximity(spark, items, block_bytes):
+    passage = text(1, 120).split()[20:30]
+    r = random.Random(3)
+    docs = [
+        (1, " ".join([*passage[:5], "between", *passage[5:]])),
+        (2, " ".join(passage)),
+        (3, "nothing here"),
+        (4, " ".join([*passage[:3], "changed", *passage[4:]])),  # one changed word
+        (5, " ".join(passage[::-1])),
+        (6, " ".join([*passage[:2], passage[3], passage[2], *passage[4:]])),  # two words change places
+        (7, " ".join([*passage[:1], passage[-1], "x", "y", "z"])),  # two words alone are no match
+        (8, None),
+        (9, ""),
+        (10, " ".join(passage[:5] + ["far"] * 6 + passage[5:])),
+        (11, " ".join(passage + ["a"] + passage[:9] + ["b"])),
+    ]
+    for k in range(40):  # passages of the benchmark with words changed, dropped, added and swapped
+        words = text(1, 120).split()[k : k + 25]
+        for _ in range(r.randrange(6)):
+            i = r.randrange(len(words))
+            words[i : i + 1] = r.choice([[], ["new"], [words[i], words[i]], [words[i], f"w{r.randrange(4000)}"]])
+        docs.append((100 + k, " ".join(words)))
+    bench = [tuple(x) for x in items.collect()] + [("absent", " ".join([*passage[:4], "nowhere", *passage[5:]]))]
+    got = {
+        x["doc_id"]: (x["n_hit"], x["n_near"])
+        for x in decontam.decontaminate(
+            spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id string, text string"), block_bytes=block_bytes
+        ).collect()
+    }
+    assert {d: n for d, (_, n) in got.items()} == dict(zip((d for d, _ in docs), brute_near(docs, bench)))
+    assert got[1][0] == 0 and got[1][1] > 0 and got[4][0] == 0 and got[4][1] > 0 and got[6][1] > 0
+    assert got[2][0] == 10 and got[3] == got[7] == got[8] == got[9] == got[10] == (0, 0)
+
+
+def test_a_window_shared_by_all_items(spark):
+    passage = text(8, 12)
+    bench = spark.createDataFrame([(f"i{i:04d}", passage) for i in range(2000)] + [(None, passage)], "item_id string, text string")
+    docs = spark.createDataFrame([(i, f"{text(i, 5)} {passage} {text(i, 3)}") for i in range(20)], "doc_id long, text string")
+    rows = decontam.decontaminate(docs, bench, block_bytes=200).collect()
+    assert len(rows) == 20 and all((r["n_items"], r["n_hit"]) == (2000, 12) for r in rows)
 
 
 def test_shards_are_minimal(spark):

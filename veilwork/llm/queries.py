@@ -20,7 +20,7 @@ def op1_host_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return decontam.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark")).drop("n_near")
+    return decontam.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
 def op3_minimax_shards(spark: SparkSession, folder: str) -> DataFrame:
