@@ -1,5 +1,6 @@
 """Scanners, anonymisation and policy on planted positives and clean text."""
 
+import random
 import re
 
 import pytest
@@ -95,6 +96,48 @@ def test_overlapping_spans_keep_the_first(spark):
     assert all(text[s["start"] : s["end"]] == s["match"] for s in spans)
 
 
+def brute_spans(text):
+    """All matches pattern by pattern, then the overlap rule from left to right."""
+    found, running, people = [], 0, 0
+    for _, rx, fold, kind, category, severity, form in P.PROMPT_PATTERNS:
+        for m in re.finditer(rx, text, re.ASCII | (re.IGNORECASE if fold else 0)):
+            running += 1
+            found.append([kind, category, severity, m.group(), m.start(), m.end(), form.format(i=running, match=m.group().upper())])
+    for m in re.finditer(P.PERSON_NAME, text, re.ASCII):
+        if not set(m.groups()) & set(P.COMMON_WORDS):
+            people += 1
+            found.append(["pii", "person_name", "high", m.group(), m.start(), m.end(), f"PERSON_{people:03d}"])
+    last = -1
+    for f in sorted(found, key=lambda f: f[4]):
+        f.append(f[4] >= last)
+        last = f[5] if f[7] else last
+    return sorted(map(tuple, found))
+
+
+def test_spans_agree_with_brute_force(spark):
+    r = random.Random(1)
+    parts = [p for p, _, _ in PROMPTS] + [
+        "a@b.co", "x.y@z.org,", "Mary Jones", "The Data", "555-123-4567", "123-45-6789", "4111 1111 1111 1111", "Confidential", "TOP  secret", "漢字 é 😀", "\u0001", "\u0002",
+        "diagnosed with flu and cold", "prescription: aspirin daily", "patient id: A1234", "ICD-10 A01.1", "sk-or-v1-abc", "\n", "AKIA" + "A" * 16, "$1 \\0",
+    ]
+    texts = ["", None, "a@b.co", " ", "x@y.co Mary Jones " * 700] + [" ".join(r.choice(parts) for _ in range(r.randrange(1, 30))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    scanned = S.scan_prompts(df, "text", ["id"])
+    assert "Python" not in scanned._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for row in scanned.collect():
+        got.setdefault(row["id"], []).append(tuple(row)[1:])
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == brute_spans(t or ""), t[:200]
+    redacted = {x["id"]: (x["redacted"], x["items"]) for x in S.redact_prompts(df, "text", ["id"]).collect()}
+    for i, t in enumerate(texts):
+        out, at = "", 0
+        kept = sorted((s for s in brute_spans(t or "") if s[7]), key=lambda s: s[4])
+        for s in kept:
+            out, at = out + t[at : s[4]] + s[6], s[5]
+        assert redacted[i] == (out + (t or "")[at:], len(kept))
+
+
 def test_prompt_counts_agree_with_spans(spark, folder):
     from veilwork.plans.fixtures import turns_planted
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -274,59 +272,106 @@ def prompt_counts(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     return df.where(t.isNotNull()).select(*keys, F.inline(F.array(*rows))).where("n > 0")
 
 
-SPAN = T.StructType(
-    [
-        T.StructField("type", T.StringType()),
-        T.StructField("category", T.StringType()),
-        T.StructField("severity", T.StringType()),
-        T.StructField("match", T.StringType()),
-        T.StructField("start", T.IntegerType()),
-        T.StructField("end", T.IntegerType()),
-        T.StructField("suggestion", T.StringType()),
-        T.StructField("kept", T.BooleanType()),
-    ]
-)
-
-
-def spans_of(text: str, compiled, name_rx, common) -> list[tuple]:
-    """All matches with positions; ``kept`` marks the ones that survive the left-to-right overlap rule."""
-    found, running = [], 0
-    for rx, kind, category, severity, template in compiled:
-        for m in rx.finditer(text):
-            running += 1
-            found.append((kind, category, severity, m.group(), m.start(), m.end(), template.format(i=running, match=m.group().upper())))
-    people = 0
-    for m in name_rx.finditer(text):
-        if m.group(1) in common or m.group(2) in common:
-            continue
-        people += 1
-        found.append(("pii", "person_name", "high", m.group(), m.start(), m.end(), f"PERSON_{people:03d}"))
-    order = sorted(range(len(found)), key=lambda i: found[i][4])
-    kept, last = set(), -1
-    for i in order:
-        if found[i][4] >= last:
-            kept.add(i)
-            last = found[i][5]
-    return [f + (i in kept,) for i, f in enumerate(found)]
-
-
-def _span_udf():
-    @F.pandas_udf(T.ArrayType(SPAN))
-    def spans(texts: pd.Series) -> pd.Series:
-        compiled = [
-            (re.compile(rx, re.ASCII | (re.IGNORECASE if fold else 0)), kind, category, severity, template)
-            for _, rx, fold, kind, category, severity, template in P.PROMPT_PATTERNS
-        ]
-        name_rx, common = re.compile(P.PERSON_NAME, re.ASCII), set(P.COMMON_WORDS)
-        names = [f.name for f in SPAN.fields]
-        return texts.map(lambda t: [dict(zip(names, s)) for s in spans_of(t, compiled, name_rx, common)] if t is not None else [])
+#: Matches folded at a time; keeps the cost of growing arrays small.
+FOLD_BLOCK = 256
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(items: Column, zero: Column, step) -> Column:
+    """All states of a left fold over an array: ``step(state, item)`` gives the next state.
+
+    Items are folded in blocks, since an array that grows by one entry is copied each time.
+    """
+
+    def fold(values):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(FOLD_BLOCK))
+        blocks = F.transform(starts, lambda i: F.slice(values, i, F.lit(FOLD_BLOCK)))
+        one = lambda last, block: F.aggregate(block, F.array(last), lambda out, x: F.concat(out, F.array(step(F.element_at(out, -1), x))))
+        states = F.aggregate(blocks, F.array(F.array(zero)), lambda out, block: F.concat(out, F.array(one(F.element_at(F.element_at(out, -1), -1), block))))
+        return F.flatten(F.transform(states, lambda b: F.slice(b, F.lit(2), F.size(b))))  # a block starts with the last state before it
+
+    return _let(items, fold)
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column whose formula the optimiser neither copies into later formulas nor pushes filters through."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
 
-    return spans
+MARK, OTHER = "\u0001", "\u0002"
+
+
+def marked_matches(text: Column, rx: str, rule: int, wanted=None) -> Column:
+    """Array of (rule, gap, match, ok) of all matches of a pattern.
+
+    A mark is set before every match; ``gap`` is the length of the piece before the mark, from the mark before it, so
+    the running sum of the gaps is the place of the match. A mark that the text holds itself is read as another control
+    character. ``wanted`` (first group, second group) says which matches count.
+    """
+    clean = F.translate(text, MARK, OTHER)
+    gaps = F.transform(F.split(F.regexp_replace(clean, rx, MARK + "$0"), MARK, -1), F.length)
+    found = F.regexp_extract_all(clean, F.lit(rx), F.lit(0))
+    if wanted is None:
+        matches = F.transform(found, lambda m: F.struct(m.alias("match"), F.lit(True).alias("ok")))
+    else:
+        groups = F.zip_with(F.regexp_extract_all(clean, F.lit(rx), F.lit(1)), F.regexp_extract_all(clean, F.lit(rx), F.lit(2)), wanted)
+        matches = F.zip_with(found, groups, lambda m, ok: F.struct(m.alias("match"), ok.alias("ok")))
+    # the piece behind the last match has no match beside it and is left out
+    placed = F.filter(F.zip_with(gaps, matches, lambda n, m: F.struct(F.lit(rule).alias("rule"), n.alias("gap"), m["match"].alias("match"), m["ok"].alias("ok"))), lambda x: x["match"].isNotNull())
+    return F.when(text.rlike(rx), placed).otherwise(F.array().cast("array<struct<rule:int,gap:int,match:string,ok:boolean>>"))
 
 
 def with_spans(df: DataFrame, text: str) -> DataFrame:
-    """Add ``spans``: Spark has no all-positions function, so positions come from one Arrow-batched function."""
-    return df.withColumn("spans", _span_udf()(F.col(text)))
+    """Add ``spans``, all matches by their place; ``kept`` marks those that survive the left-to-right overlap rule.
+
+    Places count code points from 0. Suggestions are numbered over all patterns in their order, person names by
+    themselves. Ties in place go to the earlier pattern. Null texts have no spans.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    common = F.array(*[F.lit(w) for w in P.COMMON_WORDS])
+    rules = [("(?i)" * fold + rx, *facts) for _, rx, fold, *facts in P.PROMPT_PATTERNS]
+    people = len(rules)
+    matches = [marked_matches(t, rx, k) for k, (rx, *_) in enumerate(rules)]
+    matches.append(marked_matches(t, P.PERSON_NAME, people, lambda a, b: ~F.array_contains(common, a) & ~F.array_contains(common, b)))
+    rules.append((P.PERSON_NAME, "pii", "person_name", "high", "PERSON_{i:03d}"))
+
+    state = lambda rule, at, number: F.struct(rule.alias("rule"), at.alias("at"), number.alias("number"))
+    places = running(
+        F.col("_matches"),
+        state(F.lit(-1), F.lit(0), F.lit(0)),
+        lambda s, x: state(
+            x["rule"],
+            F.when(x["rule"] == s["rule"], s["at"]).otherwise(0) + x["gap"],
+            F.when((x["rule"] == people) & (s["rule"] != people), 0).otherwise(s["number"]) + x["ok"].cast("int"),
+        ),
+    )
+    fact = lambda i, rule: F.get(F.array(*[F.lit(r[i]) for r in rules]), rule)
+    forms = F.array(*[F.lit(r[4].replace("{i:03d}", "%1$03d").replace("{match}", "%2$s")) for r in rules])
+    found = F.transform(
+        F.filter(F.zip_with("_matches", places, lambda m, s: F.struct(m.alias("m"), s.alias("s"))), lambda x: x["m"]["ok"]),
+        lambda x: F.struct(
+            x["s"]["at"].alias("start"),
+            x["m"]["rule"].alias("rule"),
+            (x["s"]["at"] + F.length(x["m"]["match"])).alias("end"),
+            x["m"]["match"].alias("match"),
+            F.call_function("format_string", F.get(forms, x["m"]["rule"]), x["s"]["number"], F.upper(x["m"]["match"])).alias("suggestion"),
+        ),
+    )
+    seen = lambda last, kept: F.struct(last.alias("last"), kept.alias("kept"))
+    kept = running(F.col("_found"), seen(F.lit(-1), F.lit(False)), lambda s, x: seen(F.when(x["start"] >= s["last"], x["end"]).otherwise(s["last"]), x["start"] >= s["last"]))
+    spans = F.zip_with(
+        "_found",
+        kept,
+        lambda x, s: F.struct(
+            *[fact(i, x["rule"]).alias(n) for i, n in enumerate(("type", "category", "severity"), 1)], x["match"], x["start"], x["end"], x["suggestion"], s["kept"]
+        ),
+    )
+    out = _once(_once(df, "_matches", F.concat(*matches)), "_found", F.sort_array(found))
+    return _once(out, "spans", spans).drop("_matches", "_found")
 
 
 def scan_prompts(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:

@@ -199,12 +199,44 @@ def _(spark, folder):
     return S.prompt_counts(turns_planted(spark, folder), "text", ["conv_id", "turn"])
 
 
-@query("scan_prompts")
+# places by the lengths between marks, numbers by windows, the overlap rule as a recursion from match to match
+PROMPT_RULES = [(("(?i)" if fold else "") + rx, kind, category, severity, form) for _, rx, fold, kind, category, severity, form in P.PROMPT_PATTERNS]
+PROMPT_RULES.append((P.PERSON_NAME, "pii", "person_name", "high", "PERSON_{i:03d}"))
+SPAN_PARTS = [
+    f"SELECT id, {k} AS rule, string_split(regexp_replace(text, {lit(rx)}, chr(1) || '\\0', 'g'), chr(1)) AS pieces, regexp_extract_all(text, {lit(rx)}) AS found FROM texts"
+    for k, (rx, *_) in enumerate(PROMPT_RULES)
+]
+RULE_ROWS = ", ".join(f"({k}, {', '.join(lit(v) for v in facts)})" for k, (_, *facts) in enumerate(PROMPT_RULES))
+PEOPLE = len(PROMPT_RULES) - 1
+SPANS_SQL = (
+    f"WITH RECURSIVE {TURNS_SQL}, texts AS (SELECT row_number() OVER () AS id, conv_id, turn, coalesce(text, '') AS text FROM turns), "
+    f"rules(rule, type, category, severity, form) AS (VALUES {RULE_ROWS}), matches AS (" + " UNION ALL ".join(SPAN_PARTS) + ")"
+    + f""", placed AS (SELECT id, rule, i, CAST(list_sum(list_transform(pieces[1:i], lambda p: length(p))) AS BIGINT) AS spot, found[i] AS m FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM matches)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY id, rule = {PEOPLE} ORDER BY rule, i) AS number FROM placed
+  WHERE rule <> {PEOPLE} OR (NOT list_contains({WORDS}, regexp_extract(m, {lit(P.PERSON_NAME)}, 1)) AND NOT list_contains({WORDS}, regexp_extract(m, {lit(P.PERSON_NAME)}, 2)))),
+ordered AS (SELECT id, rule, m, spot, spot + length(m) AS upto, row_number() OVER (PARTITION BY id ORDER BY spot, rule) AS k,
+  replace(replace(form, '{{i:03d}}', printf('%03d', number)), '{{match}}', upper(m)) AS suggestion, type, category, severity FROM numbered JOIN rules USING (rule)),
+fold AS (SELECT id, k, upto AS last, true AS kept FROM ordered WHERE k = 1
+  UNION ALL SELECT o.id, o.k, CASE WHEN o.spot >= f.last THEN o.upto ELSE f.last END, o.spot >= f.last FROM fold f JOIN ordered o ON o.id = f.id AND o.k = f.k + 1),
+spans AS (SELECT o.*, f.kept FROM ordered o JOIN fold f USING (id, k)),
+cut AS (SELECT *, lag(upto, 1, 0) OVER (PARTITION BY id ORDER BY spot) AS before FROM spans WHERE kept),
+redacted AS (SELECT t.conv_id, t.turn, coalesce(string_agg(substr(t.text, before + 1, spot - before) || suggestion, '' ORDER BY spot), '') || substr(any_value(t.text), coalesce(max(upto), 0) + 1) AS redacted,
+  CAST(count(spot) AS INTEGER) AS items, coalesce(bool_or(severity = 'critical'), false) AS has_critical, coalesce(bool_or(severity = 'high'), false) AS has_high,
+  CASE WHEN bool_or(severity = 'critical') THEN 'dangerous' WHEN count(spot) > 0 THEN 'warning' ELSE 'safe' END AS risk
+  FROM texts t LEFT JOIN cut c USING (id) GROUP BY id, t.conv_id, t.turn)"""
+)
+
+
+@query(
+    "scan_prompts",
+    SPANS_SQL
+    + """ SELECT conv_id, turn, type, category, severity, m AS "match", CAST(spot AS INTEGER) AS "start", CAST(upto AS INTEGER) AS "end", suggestion, kept FROM spans JOIN texts USING (id)""",
+)
 def _(spark, folder):
     return S.scan_prompts(turns_planted(spark, folder), "text", ["conv_id", "turn"])
 
 
-@query("redact_prompts")
+@query("redact_prompts", SPANS_SQL + " SELECT * FROM redacted")
 def _(spark, folder):
     return S.redact_prompts(turns_planted(spark, folder), "text", ["conv_id", "turn"])
 

@@ -8,7 +8,7 @@ from veilwork.operators import graph as G
 from veilwork.plans.fixtures import DOCS_SQL, _planted
 from veilwork.plans.graph_queries import RULE_VALUES
 from veilwork.plans.registry import query
-from veilwork.plans.scan_queries import HEADER_SQL, line_sql
+from veilwork.plans.scan_queries import HEADER_SQL, SPANS_SQL, line_sql
 from veilwork.streaming import alerts as Z
 
 EPOCH = 1704067200
@@ -99,7 +99,13 @@ def _(spark, folder):
     return out.select("file", "type", "severity", "action")
 
 
-@query("prompt_alerts")
+@query(
+    "prompt_alerts",
+    SPANS_SQL
+    + """ SELECT conv_id, turn, 'Prompt leakage detected' AS type, CASE WHEN has_critical THEN 'critical' WHEN has_high THEN 'high' ELSE 'medium' END AS severity,
+  'prompt_leakage' AS category, 'Found ' || items || ' sensitive item(s). Risk: ' || upper(risk) AS pattern, CASE WHEN has_critical THEN 'blocked' ELSE 'warned' END AS action
+FROM redacted WHERE items > 0""",
+)
 def _(spark, folder):
     turns = Z.table_stream(spark, folder, "conversations").withColumn("_k", F.col("conv_id") + F.col("turn"))
     alerts = Z.prompt_alerts(_planted(turns, "_k"), "text", ["conv_id", "turn"])
