@@ -164,6 +164,23 @@ def test_links_beyond_the_bucket_cap(spark, max_bits):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_a_star_with_most_edges_is_split(spark, monkeypatch):
+    from veilwork.llm import common
+
+    monkeypatch.setattr(common, "ROWS_PER_SALT", 10)
+    star = [(i, 1) for i in range(2, 400)]  # one centre holds two thirds of all edges
+    chain = [(i + 1, i) for i in range(1000, 1150)]
+    joined = [(1000, 399), (5001, 5000), (5002, 5000)]
+    links = spark.createDataFrame([(a, b) for a, b in star + chain + joined] * 2, "fp long, root long")
+    got = {r["fp"]: r["root"] for r in simhash.components(links).collect()}
+    want = {i: 1 for i in [*range(2, 400), *range(1000, 1151)]} | {5001: 5000, 5002: 5000}
+    assert got == want
+    edges = spark.createDataFrame(star + chain, "b long, a long")
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    split = common.star_join(edges, edges.count(), low)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, edges.join(low, "a").select("a", "b", "m").collect()))
+
+
 def test_thresholds_cover_all_distances():
     import numpy as np
 
@@ -319,6 +336,19 @@ def test_shards_odd(odd, empty):
     assert whole.columns == [*odd.columns, "_shard", "slot"] and whole.count() == odd.count()
 
 
+def test_more_sources_than_cells(spark, monkeypatch):
+    sources = spark.createDataFrame([(f"0s{i:04d}", float(i % 9 * 40 + (4000 if i == 7 else 0))) for i in range(600)], "key string, target double")
+    want = sorted(map(tuple, mixing.schedule(sources, 16).collect()))
+    monkeypatch.setattr(mixing, "CELLS", 16)  # the grid grows with the sources; the schedule does not hang on it
+    assert sorted(map(tuple, mixing.schedule(sources, 16).collect())) == want
+    ranks = collections.defaultdict(list)
+    for _, key, rank in want:
+        ranks[key].append(rank)
+    assert {k: sorted(v) for k, v in ranks.items()} == {
+        r["key"]: list(range(-(-int(r["target"]) // 16))) for r in sources.where("target > 0").collect()
+    }
+
+
 def test_mixing(odd, empty):
     rows = mixing.mix_sources(odd).collect()
     assert len(rows) == odd.count()

@@ -62,6 +62,21 @@ def bytes_of(column: pa.Array, at_once: int = 256) -> Iterator[bytes | None]:
         yield from raw.slice(i, at_once).to_pylist()
 
 
+def star_join(edges: DataFrame, total: int, low: DataFrame) -> DataFrame:
+    """``edges`` (a, b) joined with ``low`` (a, m, n): one row per node a, ``n`` of the ``total`` edges being its own.
+
+    Nodes with more than a thousandth of all edges, and more than a task should hold, are at most a thousand and are
+    broadcast by that bound; their edges are split by a hash of b and their row of ``low`` is repeated once per part.
+    """
+    least = max(ROWS_PER_SALT, total // 1000)
+    parts = F.when(F.col("n") > least, F.ceil(F.col("n") / F.lit(ROWS_PER_SALT)).cast("int")).otherwise(F.lit(1))
+    hot = F.broadcast(low.where(F.col("n") > least).select("a", parts.alias("_parts")))
+    salt = F.coalesce(F.pmod(F.xxhash64("b"), F.col("_parts")), F.lit(0)).cast("int")
+    salted = edges.join(hot, "a", "left").select("a", "b", salt.alias("_salt"))
+    repeated = low.select("a", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_salt"))
+    return salted.join(repeated, ["a", "_salt"]).drop("_salt")
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, n: str, spread: Sequence[str]) -> DataFrame:
     """Left join on ``key`` of many rows with one row per key, whose column ``n`` says how many rows ``left`` has.
 

@@ -27,7 +27,7 @@ from veilwork.session import cut_lineage
 BLOCK_WORDS = 128
 MAX_EPOCHS = 3
 GOLDEN = 0.6180339887498949
-#: Cells of [0, 1) through which points meet the cumulative weights.
+#: Least number of cells of [0, 1) through which points meet the cumulative weights; more sources get more cells.
 CELLS = 4096
 #: Parts of a source's shuffled documents, and slots of a part, for running totals.
 PARTS = 4096
@@ -64,7 +64,7 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     after the last point.
     """
     spark = sources.sparkSession
-    total = sources.agg(F.sum("target").alias("t"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
+    total = sources.agg(F.sum("target").alias("t"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least"), F.count(F.lit(1)).alias("n")).first()
     if not total["t"]:
         return spark.createDataFrame([], "slot bigint, key string, rank bigint")
     every = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
@@ -72,14 +72,16 @@ def schedule(sources: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     ranges = sources.where("target > 0").withColumn("hi", upto)
     ranges = ranges.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("key")), F.lit(0.0)))
     ranges = ranges.withColumn("hi", F.when(F.lead("hi").over(Window.orderBy("key")).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
-    last = F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)).cast("int")
-    cells = ranges.withColumn("cell", F.explode(F.sequence(F.least(F.floor(F.col("lo") * CELLS), F.lit(CELLS - 1)).cast("int"), last)))
+    # as many cells as sources at least: all ranges together fill at most cells + sources rows, about two a cell
+    grid = max(CELLS, total["n"])
+    first, last = (F.least(F.floor(F.col(c) * grid), F.lit(grid - 1)).cast("long") for c in ("lo", "hi"))
+    cells = ranges.withColumn("cell", F.explode(F.sequence(first, last)))
     slots = int(total["t"] / block) + 1
     # a source of share s may lag a few slots behind, that is a few times 1 / s points
     slots += min(slots + 64, int(8 * total["t"] / total["least"]) + 1)
     point = (F.col("slot") + 0.5) * GOLDEN
     points = spark.range(slots).select(F.col("id").alias("slot")).withColumn("u", point - F.floor(point))
-    points = points.withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
+    points = points.withColumn("cell", F.floor(F.col("u") * grid).cast("long"))
     met = points.join(cells.select("key", "target", "lo", "hi", "cell"), "cell").where("u >= lo AND u < hi")
     placed = met.select("slot", "key", "target", F.floor(F.col("slot") / SLOTS).alias("part"))
     counts = cut_lineage(placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")))

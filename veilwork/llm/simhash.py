@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from veilwork.llm.common import bytes_of, field, hot_join, rows_of
+from veilwork.llm.common import bytes_of, field, hot_join, rows_of, star_join
 from veilwork.session import cut_lineage
 
 BITS = 64
@@ -340,7 +340,8 @@ def components(links: DataFrame) -> DataFrame:
     """(fp, root): every linked fingerprint that is not the smallest of its component, with the smallest one.
 
     Alternating large-star and small-star steps; each step's table is written, so lineage stays short and lost
-    executors cost one step. A step takes minima per node, which are combined before the shuffle.
+    executors cost one step. A step takes minima per node, which are combined before the shuffle; the edges of a node
+    that a large part of all edges meet in are split over tasks.
     """
     edges = cut_lineage(links.select(F.greatest("fp", "root").alias("a"), F.least("fp", "root").alias("b")).where("a > b").distinct())
     seen = None
@@ -350,11 +351,12 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
         seen = (state["n"], state["h"])
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = star_join(both, 2 * state["n"], low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        # at most as many edges as before: an edge gives one at its larger end
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         own = low.select("a", F.col("m").alias("b"))
-        rest = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        rest = star_join(large, state["n"], low).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut_lineage(own.union(rest).distinct())
 
 
@@ -367,8 +369,8 @@ def near_groups(docs: DataFrame, row: list[str], width: int = 4, max_bits: int =
     nodes = cut_lineage(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")))
     roots = components(all_links(nodes, nodes.count(), max_bits, bucket_cap))
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = cut_lineage(rooted.join(firsts, "root").select("fp", "n", "root", "component_id"))
+    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    known = cut_lineage(hot_join(rooted, firsts, "root", "members", ["fp"]).select("fp", "n", "root", "component_id"))
     return hot_join(prints, known, "fp", "n", [*row, "doc_id"])
 
 
