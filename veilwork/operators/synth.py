@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,6 +42,9 @@ from veilwork.operators.scan import hint_category
 from veilwork.operators.typing import classify_columns, column_facts, detect_target
 from veilwork.session import cut_lineage
 
+if TYPE_CHECKING:
+    from veilwork.operators.targeted import TargetModel
+
 CORRELATED = 0.20
 STRONG = 0.30
 
@@ -101,12 +105,16 @@ def pack_weights(freqs: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def sample_conditional_category(
-    rows: DataFrame, column: str, given: Sequence[str], freqs: DataFrame, seed: int, fallback: tuple[Sequence, Sequence[float]] | None = None
+    rows: DataFrame, column: str, given: Sequence[str], freqs: DataFrame, seed: int, fallback: tuple[Sequence, Sequence[float]] | None = None,
+    u: str | None = None, stream: str | None = None,
 ) -> DataFrame:
-    """Add ``column`` drawn given the columns ``given``; ``freqs`` is (given.., value, p). Unknown givens fall back."""
+    """Add ``column`` drawn given the columns ``given``; ``freqs`` is (given.., value, p). Unknown givens fall back.
+
+    ``u`` names a column of uniforms that replaces the own ones; ``stream`` names the own ones (default: the column).
+    """
     packed = pack_weights(freqs, list(given))
     joined = rows.join(maybe_broadcast(packed), list(given), "left")
-    staged = with_draws(joined, {"_u": uniform(F.col("row_id"), seed, column)})
+    staged = with_draws(joined, {"_u": cell(u) if u else uniform(F.col("row_id"), seed, stream or column)})
     value = weighted_pick(F.col("_values"), F.col("_ends"), F.col("_u"))
     if fallback is not None:
         other = weighted_pick(F.array(*[F.lit(v) for v in fallback[0]]), literal(running(fallback[1])), F.col("_u"))
@@ -428,6 +436,7 @@ class TableModel:
     pairs: DataFrame | None = None
     label: str | None = None
     class_rows: DataFrame | None = None
+    target: TargetModel | None = None
     source: DataFrame | None = None
     profile: DataFrame | None = None
 
@@ -451,8 +460,15 @@ def dependency_order(partner: dict[str, str], weight: dict[str, float]) -> tuple
     return order, sorted(set(partner) - set(links))
 
 
-def fit(df: DataFrame, key: str | None = None, method: str = "conditional", overrides: dict[str, str] | None = None, excluded: Sequence[str] = ()) -> TableModel:
-    """Reduce a table to the facts the generator needs. Rows marked as generated are refused."""
+def fit(
+    df: DataFrame, key: str | None = None, method: str = "conditional", overrides: dict[str, str] | None = None, excluded: Sequence[str] = (), driven: bool = True
+) -> TableModel:
+    """Reduce a table to the facts the generator needs. Rows marked as generated are refused.
+
+    With ``driven`` a detected target is drawn first and the other columns given it (not with method marginal).
+    """
+    from veilwork.operators.targeted import fit_target
+
     if method not in ("marginal", "conditional", "copula"):
         raise ValueError(f"unknown method {method}")
     df = assert_not_generated(df)
@@ -495,44 +511,58 @@ def fit(df: DataFrame, key: str | None = None, method: str = "conditional", over
     if len(smooth) >= 2:
         model.pairs = pinned(pearson_pairs(df, smooth))
     ties = pinned(cat_num_association(df, small, smooth)) if small and smooth else None
-    if ties is not None:
-        model.label, model.class_rows = class_target(df, small, smooth, model, ties)
+    found = find_target(df, small, smooth, model, ties) if smooth else None
+    target, regression = (None, False) if found is None else (found["column"], found["target_type"] == "regression")
+    if target is not None and not regression:
+        model.label, model.class_rows = target, class_means(df, target, smooth)
     if method == "marginal":
         return model
     if method == "copula":
-        fit_copula(df, small, smooth, model)
+        if target is not None and driven:
+            code_categories(df, [c for c in small if c != target], smooth, model)
+            model.target = fit_target(df, model, target, regression, small, smooth, {}, [], True)
+        if model.target is None:
+            fit_copula(df, small, smooth, model)
         return model
-    if len(small) >= 2:
-        pairs = cramers_v(df, small)
-        best = C.best_partners(pairs)
-        order, _loose = dependency_order({c: p for c, (p, _) in best.items()}, {c: v for c, (_, v) in best.items()})
-        table = cut_lineage(C.cond_freq_cat(df, small, partners=best)) if order else None
+    best = C.best_partners(cramers_v(df, small)) if len(small) >= 2 else {}
+    links = C.best_categories(ties, STRONG) if ties is not None else {}
+    if target is not None and driven:
+        # what hangs on another column than the target more than on any stays with that column
+        best = {c: b for c, b in best.items() if target not in (c, b[0])}
+        links = {c: b for c, b in links.items() if target not in (c, b[0])}
+    order, _loose = dependency_order({c: p for c, (p, _) in best.items()}, {c: v for c, (_, v) in best.items()})
+    if target is not None and driven:
+        model.target = fit_target(df, model, target, regression, small, smooth, {c: best[c][0] for c in order}, list(links), False)
+        if model.target is not None and model.target.driver in order:
+            order.remove(model.target.driver)
+    if order:
+        table = cut_lineage(C.cond_freq_cat(df, small, partners=best))
         model.order = order
         model.cat_given = {c: (best[c][0], table.where(F.col("column") == c)) for c in order}
-    if ties is not None:
-        links = C.best_categories(ties, STRONG)
-        if links:
-            # small tables of curves; written once, because every generated batch joins them
-            table = cut_lineage(C.cond_profile(df, small, smooth, best=links))
-            model.num_given = {c: (p, table.where(F.col("column") == c)) for c, (p, _) in links.items()}
-    if model.pairs is not None:
+    if links:
+        # small tables of curves; written once, because every generated batch joins them
+        table = cut_lineage(C.cond_profile(df, small, smooth, best=links))
+        model.num_given = {c: (p, table.where(F.col("column") == c)) for c, (p, _) in links.items()}
+    if model.pairs is not None and model.target is None:
         model.tied, model.correlation = inject_correlation(model.pairs, smooth)
     return model
 
 
-def class_target(df: DataFrame, small: Sequence[str], smooth: Sequence[str], model: TableModel, ties: DataFrame) -> tuple[str | None, DataFrame | None]:
-    """The label column that ``detect_target`` finds, and (label, column, mean, std) of the numbers in its classes."""
+def find_target(df: DataFrame, small: Sequence[str], smooth: Sequence[str], model: TableModel, ties: DataFrame | None):
+    """The row of ``detect_target`` for the fitted columns, or None."""
     spark = df.sparkSession
+    none = spark.createDataFrame([], "col_a string, col_b string, value double")
     shown = [(c, str(v)) for c in small for v in model.ratios[c][0]]
     categorical = spark.createDataFrame([(c, len(model.ratios[c][0])) for c in small], "column string, unique_count long")
-    pairs = model.pairs if model.pairs is not None else spark.createDataFrame([], "col_a string, col_b string, value double")
-    found = detect_target(categorical, spark.createDataFrame(shown, "column string, value string"), pairs, ties, df.count(), smooth).first()
-    if found is None or found["target_type"] != "classification":
-        return None, None
-    label = found["column"]
+    pairs = model.pairs if model.pairs is not None else none
+    return detect_target(categorical, spark.createDataFrame(shown, "column string, value string"), pairs, ties if ties is not None else none, df.count(), smooth).first()
+
+
+def class_means(df: DataFrame, label: str, smooth: Sequence[str]) -> DataFrame:
+    """(label, column, mean, std) of the numbers in each class."""
     facts = F.array(*[F.struct(F.lit(c).alias("column"), F.avg(number_cell(df, c)).alias("mean"), F.stddev_samp(number_cell(df, c)).alias("std")) for c in smooth])
     grouped = df.where(cell(label).isNotNull()).groupBy(text_cell(df, label).alias("label")).agg(facts.alias("f"))
-    return label, pinned(grouped.select("label", F.inline("f")))
+    return pinned(grouped.select("label", F.inline("f")))
 
 
 def latent_correlation(cov: np.ndarray, coded: Sequence[bool]) -> np.ndarray:
@@ -551,21 +581,26 @@ def latent_correlation(cov: np.ndarray, coded: Sequence[bool]) -> np.ndarray:
     return fixed / np.outer(size, size)
 
 
+def code_categories(df: DataFrame, small: Sequence[str], smooth: Sequence[str], model: TableModel) -> None:
+    """Sets ``model.coded``: each category's values in the order of their codes, with their shares."""
+    coded: dict[str, dict[str, float]] = {}
+    for r in encode_categories(df, small, smooth).collect() if small else []:
+        coded.setdefault(r["column"], {})[r["category"]] = r["code"]
+    # at most 50 values per column; values with one code are told apart by their names
+    for c in small:
+        share = dict(zip(map(str, model.ratios[c][0]), model.ratios[c][1]))
+        ordered = sorted((v for v in coded[c] if v in share), key=lambda v: (coded[c][v], v))
+        model.coded[c] = (ordered, [share[v] for v in ordered])
+
+
 def fit_copula(df: DataFrame, small: Sequence[str], smooth: Sequence[str], model: TableModel) -> None:
     """Numbers and encoded categories under one copula; a category's values lie in the order of their codes."""
     names = [*smooth, *small]
     if len(names) < 2:
         return
-    coded = {}
     joint = df.select(*[cell(c) for c in names])
+    code_categories(df, small, smooth, model)
     if small:
-        for r in encode_categories(df, small, smooth).collect():
-            coded.setdefault(r["column"], {})[r["category"]] = r["code"]
-        # at most 50 values per column; values with one code are told apart by their names
-        for c in small:
-            share = dict(zip(map(str, model.ratios[c][0]), model.ratios[c][1]))
-            ordered = sorted((v for v in coded[c] if v in share), key=lambda v: (coded[c][v], v))
-            model.coded[c] = (ordered, [share[v] for v in ordered])
         places = {c: F.create_map(*[F.lit(x) for i, v in enumerate(model.coded[c][0]) for x in (v, float(i))]) for c in small}
         joint = df.select(*[cell(c) for c in smooth], *[places[c][text_cell(df, c)].alias(c) for c in small])
     mats = copula_matrices(copula_fit(joint, names), names)
@@ -579,15 +614,23 @@ def fit_copula(df: DataFrame, small: Sequence[str], smooth: Sequence[str], model
 
 def draw_rows(spark: SparkSession, model: TableModel, n: int, seed: int, start: int = 0, allow_source_text: bool = False) -> DataFrame:
     """``n`` raw rows (with ``row_id``) from a fitted model, before validation."""
-    rows = new_rows(spark, n, start)
-    cats = [c for c in model.columns if model.roles[c] == "LOW_CARD_CATEGORICAL" and c in model.ratios and c not in model.coded]
+    from veilwork.operators.targeted import draw_given, draw_group
+
+    rows, t = new_rows(spark, n, start), model.target
+    if t is not None:
+        rows = draw_group(rows, model, t, seed)
+    done = set() if t is None else {t.column, *t.categories}
+    cats = [c for c in model.columns if model.roles[c] == "LOW_CARD_CATEGORICAL" and c in model.ratios and c not in model.coded and c not in done]
     rows = sample_weighted(rows, {c: model.ratios[c] for c in cats if c not in model.order}, seed)
     for c in model.order:
         given, table = model.cat_given[c]
         freqs = table.select(F.col("given").alias(given), "value", "p")
         rows = sample_conditional_category(rows, c, [given], freqs, seed, model.ratios[c])
     us: dict[str, str] = {}
-    if model.copula is not None:
+    if t is not None:
+        rows, us = draw_given(rows, model, t, seed)
+        done |= {*t.counted, *t.numbers}
+    elif model.copula is not None:
         names, mean, cov = model.copula
         us = {c: f"_t_{c}" for c in names}
         rows = copula_uniforms(rows, list(us.values()), mean, cov, seed)
@@ -596,14 +639,14 @@ def draw_rows(spark: SparkSession, model: TableModel, n: int, seed: int, start:
     elif len(model.tied) >= 2:
         us = {c: f"_t_{c}" for c in model.tied}
         rows = copula_uniforms(rows, list(us.values()), np.zeros(len(us)), model.correlation, seed)
-    discrete = [c for c in model.curves if c in model.ratios]
+    discrete = [c for c in model.curves if c in model.ratios and c not in done]
     rows = sample_weighted(rows, {c: model.ratios[c] for c in discrete}, seed)
-    alone = {c: k for c, k in model.curves.items() if c not in model.ratios and c not in model.num_given}
+    alone = {c: k for c, k in model.curves.items() if c not in model.ratios and c not in model.num_given and c not in done}
     rows = sample_numeric(rows, alone, seed, us)
     for c, (given, table) in model.num_given.items():
         profiles = table.withColumnRenamed("given", given).drop("column", "partner", "n", "mean", "std")
         rows = sample_conditional_number(rows, c, [given], profiles, seed, model.curves[c], us.get(c))
-    rows = rows.drop(*us.values())
+    rows = rows.drop(*us.values(), *([t.group] if t is not None and t.edges else []))
     plain = [generate_ids(strategy, seed, c, first).alias(c) for c, (strategy, first) in model.ids.items()]
     plain += [generate_datetimes(a, b, seed, c).alias(c) for c, (a, b) in model.spans.items()]
     rows = rows.select("*", *plain)
@@ -719,7 +762,7 @@ def first_rows(rows: DataFrame, n: int, id_column: str = "row_id", width: int =
 
 def generate(
     df: DataFrame, n: int, seed: int = 42, key: str | None = None, method: str = "conditional", rules: Sequence[dict] = (),
-    overrides: dict[str, str] | None = None, excluded: Sequence[str] = (), allow_source_text: bool = False, max_rounds: int = 8,
+    overrides: dict[str, str] | None = None, excluded: Sequence[str] = (), allow_source_text: bool = False, max_rounds: int = 8, driven: bool = True,
 ) -> DataFrame:
     """``n`` validated synthetic rows, marked as generated; an error when the rounds do not yield enough.
 
@@ -729,7 +772,7 @@ def generate(
     from veilwork.operators import validate as V
 
     spark = df.sparkSession
-    model = fit(df, key, method, overrides, excluded)
+    model = fit(df, key, method, overrides, excluded, driven)
     limits = pinned(constraints(df))
     profile = model.profile if model.curves else None
     compared = [c for c in df.columns if c not in model.ids]

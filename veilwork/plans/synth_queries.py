@@ -364,6 +364,33 @@ def _(spark, folder):
     )
 
 
+@query(
+    "generate_class_means",
+    f"""WITH {LINKED_SQL} SELECT m.method, b.price_band AS label, c."column", true AS mean_kept, true AS share_kept
+FROM (VALUES ('conditional'), ('copula')) m(method), (SELECT DISTINCT price_band FROM linked) b, (VALUES ('l_extendedprice'), ('l_net')) c("column")""",
+)
+def _(spark, folder):
+    parts = []
+    for method in ("conditional", "copula"):
+        df, made = made_table(spark, folder, method)
+        was, got = (class_summary(t) for t in (df, made))
+        both = was.join(got.select("label", "column", F.col("mean").alias("m"), F.col("share").alias("s")), ["label", "column"], "left")
+        kept = F.coalesce(F.abs(F.col("m") - F.col("mean")) < 0.1 * F.col("std"), F.lit(False))
+        share = F.coalesce(F.abs(F.col("s") - F.col("share")) < 0.03, F.lit(False))
+        parts.append(both.select(F.lit(method).alias("method"), "label", "column", kept.alias("mean_kept"), share.alias("share_kept")))
+    return parts[0].unionByName(parts[1])
+
+
+def class_summary(df):
+    """(label, column, mean, std, share) of the price bands."""
+    counted = df.groupBy(F.col("price_band").alias("label")).agg(
+        *[F.avg(c).alias(f"m_{c}") for c in ("l_extendedprice", "l_net")], *[F.stddev_samp(c).alias(f"s_{c}") for c in ("l_extendedprice", "l_net")], F.count("*").alias("n")
+    ).where("label IS NOT NULL")
+    total = df.agg(F.count("*")).scalar()
+    rows = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m_{c}").alias("mean"), F.col(f"s_{c}").alias("std")) for c in ("l_extendedprice", "l_net")]))
+    return counted.select("label", (F.col("n") / total).alias("share"), rows)
+
+
 @query("generate_copula_table")
 def _(spark, folder):
     return made_table(spark, folder, "copula")[1]
