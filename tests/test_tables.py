@@ -438,3 +438,17 @@ def test_every_sensitive_column_gets_its_actions(spark):
     pairs = spark.createDataFrame([(f"a{i:02d}", "b", 0.6 + i / 100) for i in range(15)], "col_a string, col_b string, value double")
     card = lambda **more: G.dataset_card(spark.range(3), profile, pairs, **more).where("section = 'correlations'").collect()
     assert len(card()) == 15 and [r["item"] for r in card(correlations=1)] == ["a14 ~ b"]
+
+
+def test_streams_read_a_folder_of_part_files(spark, tmp_path):
+    from veilwork.plans import QUERIES
+    from veilwork.streaming import alerts as Z
+
+    rows = [(i, f"mail john.doe{i}@example.org\nname,email,ssn", "en", "web", 40) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    opened = QUERIES["stream_dataset_monitor"](spark, str(tmp_path)).where("type = 'Dataset file opened'")
+    assert sorted(r["file"] for r in opened.collect()) == ["0", "1", "2", "3"]
+    (tmp_path / "none").mkdir()
+    empty = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "none"))
+    assert Z.stream_dataset_monitor(empty, "doc_id", "text").count() == 0

@@ -15,9 +15,10 @@ from veilwork.session import scratch_path
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A file stream over the parquet files of one table; files that arrive later are picked up."""
+    """A file stream over one table, a parquet file or a folder of them; files that arrive later are picked up."""
     today = spark.read.parquet(f"{folder}/{name}.parquet")
-    stream = spark.readStream.schema(today.schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    # a glob of the path, since a filter of file names passes none of a folder's part files
+    stream = spark.readStream.schema(today.schema).parquet(f"{folder}/{name}*.parquet")
     # one small file would be scanned by one task
     return stream.repartition(spark.sparkContext.defaultParallelism) if fits(today, SPREAD_LIMIT) else stream
 
@@ -38,6 +39,8 @@ def run_batches(stream: DataFrame, label: str, handle: Callable[[DataFrame], Dat
     """Batch-only logic per micro-batch. Every batch overwrites its own folder, so a repeated batch leaves no copy."""
     spark = stream.sparkSession
     base = scratch_path(spark, label)
+    # a stream without any rows runs no batch and leaves an empty table
+    spark.createDataFrame([], schema).write.parquet(f"{base}/table/batch=-1")
 
     def write(batch: DataFrame, number: int) -> None:
         handle(batch).write.mode("overwrite").parquet(f"{base}/table/batch={number}")
