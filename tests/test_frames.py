@@ -99,3 +99,21 @@ def test_number_counts_ignore_nulls_and_nan(spark):
 
 def test_estimates_need_no_job(spark, folder):
     assert estimated_bytes(spark.read.parquet(f"{folder}/lineitem.parquet")) > 10_000
+
+
+def test_running_totals_of_uneven_groups(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(9)
+    rows = [("big" if i % 10 else f"g{i % 70}", float(v), int(n), float(n) / 3) for i, (v, n) in enumerate(zip(rng.normal(size=6000), rng.integers(1, 9, 6000)))]
+    df = spark.createDataFrame([*rows, (None, 1.0, 5, 1.0)], "g string, value double, n long, p double").repartition(5)
+    out = R.running_totals(df, ["g"], ["value"], ["n", "p"], totals=True)
+    got = out.toPandas().sort_values(["g", "value"]).reset_index(drop=True)
+    want = pd.DataFrame(rows, columns=["g", "value", "n", "p"]).sort_values(["g", "value"]).reset_index(drop=True)
+    by = want.groupby("g")
+    assert len(got) == len(want)  # a null group is left out
+    assert (got["before_n"] == by["n"].cumsum() - want["n"]).all() and (got["total_n"] == by["n"].transform("sum")).all()
+    assert np.allclose(got["before_p"], by["p"].cumsum() - want["p"])
+    # the rows are neither sorted a second time nor gathered by their group
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
