@@ -203,3 +203,12 @@ def test_header_words(spark):
 def test_pattern_tables_are_complete():
     assert len(P.CELL_PATTERNS) == 22 and len(P.COLUMN_PATTERNS) == 13 and len(P.PROMPT_PATTERNS) == 17 and len(P.LINE_PATTERNS) == 16
     assert {n for n, _ in P.PATTERN_RULE} == set(POSITIVE)
+
+
+def test_every_line_pattern_is_searched_once(spark):
+    texts = spark.createDataFrame([(1, "plain words\nmail a.b@x.org\n\nssn 123-45-6789, ssn 123-45-6780"), (2, "nothing"), (3, None)], "id long, text string")
+    found = S.scan_lines(texts, "text", "id").collect()
+    assert sorted((r["key"], r["line"], r["snippet"]) for r in found if r["pattern"] in ("Email Address", "SSN Pattern")) == [
+        (1, 2, "a.b@x.org"), (1, 4, "123-45-6780"), (1, 4, "123-45-6789")
+    ]
+    assert str(S.line_hits(F.col("text"))).lower().count("rlike") == len(P.LINE_PATTERNS)
