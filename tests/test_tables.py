@@ -322,6 +322,19 @@ def test_types(spark):
     assert chosen(df.withColumnRenamed("n", "price")) == ["price", "d"] and chosen(df) == ["d", "n"] and chosen(df.select("mail")) == []
 
 
+def test_text_shapes_are_searched_once_a_value(spark):
+    """Facts come from distinct short texts; odd doubles count as their texts do."""
+    rows = [("1.5", 0.0), ("1.5", -0.0), ("a b c", 0.001), ("", 0.0009999999999), ("x y " * 40, 1e-12), ("x y " * 40, 2e-12), (None, 1e7), ("12", 5.5), ("12", float("nan")), ("12", None)]
+    facts = Y.column_facts(spark.createDataFrame(rows, "t string, d double"))
+    got = {r["column"]: r for r in facts.collect()}
+    assert (got["t"]["n_valid"], got["t"]["distinct"], got["d"]["distinct"]) == (9, 5, 6)
+    assert got["t"]["number_share"] == pytest.approx(5 / 9) and got["t"]["mean_tokens"] == pytest.approx((2 + 3 + 0 + 160 + 3) / 9)
+    # every search stands above the first grouping (its second half, and cells that are too long to group, keep theirs)
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    shapes = [line for line in plan.split("\n") if "RLIKE" in line]
+    assert shapes and not any("Aggregate" in line and "RLIKE" in line for line in shapes)
+
+
 def test_shrinkage_sums_to_one(spark, mixed):
     f = K.class_freq(mixed, "status", ["region", "gender"]).groupBy("label", "column").agg(F.sum("p").alias("p")).collect()
     assert len(f) == 6 and all(r["p"] == pytest.approx(1.0) for r in f)

@@ -4,9 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilwork.functions.draws import normal, uniform
+from veilwork.functions.draws import normal, normal_values, uniform
+from veilwork.functions.numeric import normal_cdf, normal_cdf_values
 from veilwork.operators import association as A
+from veilwork.operators import frames as R
 from veilwork.operators import synth as S
+from veilwork.operators import targeted as G
 
 METHODS = ["conditional", "copula"]
 
@@ -87,3 +90,33 @@ def test_odd_targets(spark):
     got = {r["g"]: r["c"] for r in made.groupBy("g").agg(F.corr("ux", "uy").alias("c")).collect()}
     assert got["a"] > 0.8 and abs(got["b"]) < 0.1 and abs(got[None]) < 0.1
     assert made.where("ux <= 0 OR ux >= 1 OR ux IS NULL").count() == 0
+
+
+def test_batch_draws_equal_the_expressions(spark):
+    ids = [0, 1, 7, 2147483646, 2147483647, 2147483648, 9 * 10**12]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").select("id", normal(F.col("id"), 7, "target/1").alias("z"))
+    rows = df.select("id", "z", normal_cdf(F.col("z")).alias("u")).collect()
+    at = np.array([r["id"] for r in rows])
+    z = normal_values(7, "target/1")(at)
+    assert np.allclose(z, [r["z"] for r in rows], atol=1e-12) and np.allclose(normal_cdf_values()(z), [r["u"] for r in rows], atol=1e-12)
+
+
+def test_class_uniforms_are_no_spark_expressions(spark):
+    """Tied as the class's matrix says, independent in other classes; the normals' formulas are not in the plan."""
+    rows = spark.range(20000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("c"), F.col("id") % 3)).alias("side"))
+    factors = G.class_factors(rows, {"c1": np.array([[1.0, 0.9], [0.9, 1.0]])}, 2)
+    made = G.class_uniforms(rows, "side", ["a", "b"], ["u", "v"], factors, 3)
+    assert "cos" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+    ties = {r["side"]: r["tie"] for r in made.groupBy("side").agg(F.corr("u", "v").alias("tie")).collect()}
+    assert ties["c1"] > 0.85 and abs(ties["c2"]) < 0.05 and abs(ties[None]) < 0.05
+    assert made.count() == 20000 and made.where("u <= 0 or u >= 1 or u is null").isEmpty()
+
+
+def test_scores_of_few_values_move_no_rows(spark, monkeypatch):
+    """Also where the stored running totals of all columns look too large, columns of few values need no split join."""
+    monkeypatch.setattr(R, "fits", lambda *_: False)
+    monkeypatch.setattr(R, "maybe_broadcast", lambda df, *_: df)
+    df = spark.range(3000).select((F.col("id") % 7).alias("few"), (F.col("id") % 2).alias("two"), F.when(F.col("id") % 5 > 3, "x").otherwise("y").alias("label"))
+    scores = S.normal_scores(df, ["few", "two"], "label")
+    assert "_salt" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    assert scores.dropna().count() == 3000
