@@ -117,3 +117,34 @@ def test_running_totals_of_uneven_groups(spark):
     # the rows are neither sorted a second time nor gathered by their group
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SortMergeJoin" not in plan
+
+
+def test_quantiles_hold_at_most_a_task_s_rows(spark, monkeypatch):
+    # values that lie in several chunks and partitions, both zeros, null and NaN; the sort is dealt by the number of rows
+    monkeypatch.setattr(R, "CHUNK_BYTES", 2_000)
+    monkeypatch.setattr(R, "TASK_ROWS", 400)
+    cells = [float(i * 7919 % 1000) / 8 for i in range(3_000)] + [0.0, -0.0] * 600 + [None, float("nan")]
+    df = spark.createDataFrame([(x, "a" if i % 3 else None, 1.0) for i, x in enumerate(cells)], "v double, g string, flat double").repartition(5)
+    pieces = R.piece_counts(df, ["v", "flat"])
+    assert pieces.groupBy("column").agg(F.sum("n").alias("n")).where("column = 'v'").first()["n"] == 4_200
+    got = {r["column"]: r for r in R.exact_quantiles(pieces, ["column"], [0.0, 0.1, 0.5, 0.99, 1.0]).collect()}
+    known = np.array([x for x in cells if x is not None and not np.isnan(x)])
+    assert got["v"]["total"] == 4_200 and got["v"]["distinct"] == 1_000
+    assert np.allclose(got["v"]["q"], np.quantile(known, [0.0, 0.1, 0.5, 0.99, 1.0]))
+    assert (got["flat"]["total"], got["flat"]["distinct"], list(got["flat"]["q"])) == (4_202, 1, [1.0] * 5)
+    placed = R.running_totals(pieces, ["column"], ["value"], ["n"], totals=True, merge=True)
+    rows = placed.where("column = 'v'").orderBy("value").collect()
+    assert [r["before_n"] for r in rows] == [int((known < r["value"]).sum()) for r in rows] and {r["total_rows"] for r in rows} == {1_000}
+    stored = R.cut_lineage(pieces)
+    most = stored.repartitionByRange(R.task_count(stored), "column", "value").groupBy(F.spark_partition_id()).count().agg(F.max("count")).scalar()
+    assert spark.range(1).select(most).first()[0] < 1_200 and R.task_count(stored) >= 7
+    by_group = {r["g"]: r for r in R.exact_quantiles(R.piece_counts(df, ["v"], ["g"], tag=None), ["g"], [0.5]).collect()}
+    assert list(by_group) == ["a"] and by_group["a"]["total"] == sum(1 for i, x in enumerate(cells) if i % 3 and x is not None and not np.isnan(x))
+
+
+def test_text_counts_come_once_per_value(spark, monkeypatch):
+    monkeypatch.setattr(R, "CHUNK_BYTES", 500)
+    df = spark.createDataFrame([("x" * 200 if i % 2 else f"t{i % 5}", i % 4) for i in range(900)], "t string, k int").repartition(6)
+    counts = {(r["column"], r["value"]): r["n"] for r in R.whole_counts(R.cut_lineage(R.piece_counts(df, ["t", "k"], text=True))).collect()}
+    assert sum(n for (c, _), n in counts.items() if c == "t") == 900 and len(counts) == 6 + 4
+    assert max(len(v) for _, v in counts) == 64 and counts[("k", "3")] == 225

@@ -12,13 +12,12 @@ from veilwork.operators.compare import linear_fit, r_squared
 from veilwork.operators.frames import (
     column_rows,
     exact_quantiles,
-    melt_numbers,
-    melt_text,
     number_cell,
     numeric_columns,
     other_columns,
+    piece_counts,
     text_cell,
-    value_counts,
+    whole_counts,
 )
 from veilwork.operators.nearest import nearest_points, points
 from veilwork.session import cut_lineage
@@ -268,11 +267,11 @@ def audit_summary(results: DataFrame) -> DataFrame:
 def reidentification_risk(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, risk): 0.6 x distinct / rows + 0.4 x normalised entropy, at most 1; all-null columns 0."""
     names = list(columns or df.columns)
-    counts = value_counts(melt_text(df, names))
-    totals = counts.groupBy("column").agg(F.sum("n").alias("t"), F.count("*").alias("d"))
+    pieces = cut_lineage(piece_counts(df, names, text=True))
+    totals = pieces.groupBy("column").agg(F.sum("n").alias("t"))
     p = F.col("n") / F.col("t")
-    h = counts.join(F.broadcast(totals), "column").groupBy("column").agg(
-        (-F.sum(p * F.log2(p + F.lit(1e-10)))).alias("h"), F.first("d").alias("d")
+    h = whole_counts(pieces).join(F.broadcast(totals), "column").groupBy("column").agg(
+        (-F.sum(p * F.log2(p + F.lit(1e-10)))).alias("h"), F.count(F.lit(1)).alias("d")
     )
     rows = column_rows(df, names, lambda c: [F.count(F.lit(1)).alias("rows")])
     risk = F.least(F.lit(1.0), 0.6 * F.col("d") / F.greatest(F.col("rows"), F.lit(1)) + 0.4 * F.col("h") / F.log2(F.col("d") + 1))
@@ -311,7 +310,7 @@ def rank_sensitive(df: DataFrame, pii: DataFrame | None = None, drift: DataFrame
 def outlier_exposure(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, direction, value, extreme_ratio, fence, severity): the farthest value beyond q1-3 iqr or q3+3 iqr."""
     names = list(columns or numeric_columns(df))
-    counts = value_counts(melt_numbers(df, names))
+    counts = cut_lineage(piece_counts(df, names))
     q = exact_quantiles(counts, ["column"], [0.25, 0.75]).where("total >= 4")
     q = q.select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"), (F.col("q")[1] - F.col("q")[0]).alias("iqr")).where("iqr > 0")
     j = counts.join(F.broadcast(q), "column")

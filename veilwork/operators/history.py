@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilwork.functions.numeric import clamp, normal_cdf
-from veilwork.operators.frames import exact_quantiles, melt_numbers, melt_text, numeric_columns, other_columns, value_counts
+from veilwork.operators.frames import exact_quantiles, melt_numbers, melt_text, numeric_columns, other_columns, piece_counts, value_counts
 
 TINY = 1e-10
 WARN, CRITICAL = 0.25, 0.55
@@ -31,7 +31,7 @@ def snapshot(
     empty = F.lit(None).cast("array<struct<value:string,ratio:double>>")
     if nums:
         long = melt_numbers(base, nums, ["run_id"])
-        counts = value_counts(long, ["run_id"])
+        counts = piece_counts(base, nums, ["run_id"])
         q = exact_quantiles(counts, ["run_id", "column"], [0.25, 0.5, 0.75]).select("run_id", "column", "q")
         m = long.groupBy("run_id", "column").agg(
             F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max")
