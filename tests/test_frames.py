@@ -148,3 +148,11 @@ def test_text_counts_come_once_per_value(spark, monkeypatch):
     counts = {(r["column"], r["value"]): r["n"] for r in R.whole_counts(R.cut_lineage(R.piece_counts(df, ["t", "k"], text=True))).collect()}
     assert sum(n for (c, _), n in counts.items() if c == "t") == 900 and len(counts) == 6 + 4
     assert max(len(v) for _, v in counts) == 64 and counts[("k", "3")] == 225
+
+
+def test_copies_are_compared_in_full(spark):
+    from veilwork.operators.compare import drop_copies
+
+    known = spark.createDataFrame([(1, None, 2.00001), (2, "b", None), (2, "b", None)], "a int, b string, c double")
+    made = spark.createDataFrame([(1, None, 2.0), (1, "x", 2.0), (2, "b", None), (None, None, None), (None, None, None)], "a int, b string, c double")
+    assert sorted(map(tuple, drop_copies(known, made).collect()), key=str) == [(1, "x", 2.0), (None, None, None), (None, None, None)]
