@@ -156,3 +156,21 @@ def test_copies_are_compared_in_full(spark):
     known = spark.createDataFrame([(1, None, 2.00001), (2, "b", None), (2, "b", None)], "a int, b string, c double")
     made = spark.createDataFrame([(1, None, 2.0), (1, "x", 2.0), (2, "b", None), (None, None, None), (None, None, None)], "a int, b string, c double")
     assert sorted(map(tuple, drop_copies(known, made).collect()), key=str) == [(1, "x", 2.0), (None, None, None), (None, None, None)]
+
+
+def test_far_leaves_are_not_looked_at():
+    # the same leaves as all boxes would give, at a cost that grows with the depth of the tree
+    from veilwork.operators.nearest import Tree
+
+    draw = np.random.default_rng(3)
+    tree = Tree(draw.normal(size=(8_000, 3)), 3, 500)
+    x, d2 = draw.normal(size=(3_000, 3)), draw.uniform(0, 0.3, 3_000)
+    d2[:20] = np.inf
+    row, leaf = tree.within(x, d2)
+    ends = np.flatnonzero(tree.column < 0)
+    low, high = tree.low[ends], tree.high[ends]
+    gap = sum(np.maximum(0, np.maximum(low[:, c] - x[:, c, None], x[:, c, None] - high[:, c])) ** 2 for c in range(3))
+    at, box = np.nonzero(gap <= d2[:, None] * (1 + 1e-12))
+    assert set(zip(row.tolist(), leaf.tolist())) == set(zip(at.tolist(), tree.left[ends][box].astype(int).tolist())) and len(row) == len(at)
+    assert (tree.leaf(x)[:, None] == np.arange(500)).any() and len(ends) == 500
+    assert len(tree.within(np.zeros((0, 3)), np.zeros(0))[0]) == 0

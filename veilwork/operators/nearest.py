@@ -29,10 +29,10 @@ _BLOCK = 96
 
 
 class Tree:
-    """Split planes over ``k`` columns, and the box of each leaf."""
+    """Split planes over ``k`` columns, and the box of each node."""
 
     def __init__(self, sample: np.ndarray, k: int, leaves: int):
-        self.k, self.nodes, self.low, self.high = k, [], [], []
+        self.k, self.nodes, self.low, self.high, self.leaves = k, [], [], [], 0
         self._grow(sample.reshape(-1, k), np.full(k, -np.inf), np.full(k, np.inf), leaves)
         self.low, self.high = np.array(self.low).reshape(-1, k), np.array(self.high).reshape(-1, k)
         table = np.array(self.nodes, dtype=float)  # column, value, left, right; column -1 marks a leaf with its number
@@ -42,6 +42,8 @@ class Tree:
     def _grow(self, points: np.ndarray, low: np.ndarray, high: np.ndarray, leaves: int) -> int:
         at = len(self.nodes)
         self.nodes.append(None)
+        self.low.append(low)
+        self.high.append(high)
         if leaves > 1 and len(points) > 1:
             for column in np.argsort(-np.ptp(points, axis=0), kind="stable"):
                 values = np.sort(points[:, column])
@@ -54,9 +56,8 @@ class Tree:
                     right = self._grow(points[~below], outer, high, leaves - leaves // 2)
                     self.nodes[at] = (column, value, left, right)
                     return at
-        self.nodes[at] = (-1, 0.0, len(self.low), 0)
-        self.low.append(low)
-        self.high.append(high)
+        self.nodes[at] = (-1, 0.0, self.leaves, 0)
+        self.leaves += 1
         return at
 
     def leaf(self, x: np.ndarray) -> np.ndarray:
@@ -67,15 +68,25 @@ class Tree:
         return self.left[at]
 
     def within(self, x: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of all leaves whose box is no farther than each row's squared distance."""
+        """(row, leaf) of all leaves whose box is no farther than each row's squared distance.
+
+        Rows go down from the root and leave the nodes that are too far, so that far leaves cost nothing.
+        """
         rows, leaves = [], []
-        for lo in range(0, len(x), 256):
-            part, gap = x[lo : lo + 256], 0.0
-            for c in range(self.k):
-                gap = gap + np.maximum(0, np.maximum(self.low[:, c] - part[:, c, None], part[:, c, None] - self.high[:, c])) ** 2
-            row, leaf = np.nonzero(gap <= d2[lo : lo + 256, None] * (1 + 1e-12))
-            rows.append(row + lo)
-            leaves.append(leaf)
+        for lo in range(0, len(x), 1024):
+            part, limit = x[lo : lo + 1024], d2[lo : lo + 1024] * (1 + 1e-12)
+            row, at = np.arange(len(part)), np.zeros(len(part), int)
+            while len(row):
+                gap = 0.0
+                for c in range(self.k):
+                    gap = gap + np.maximum(0, np.maximum(self.low[at, c] - part[row, c], part[row, c] - self.high[at, c])) ** 2
+                near = gap <= limit[row]
+                row, at = row[near], at[near]
+                done = self.column[at] < 0
+                rows.append(row[done] + lo)
+                leaves.append(self.left[at[done]])
+                row, at = row[~done], at[~done]
+                row, at = np.concatenate([row, row]), np.concatenate([self.left[at], self.right[at]])
         return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, int), np.zeros(0, int))
 
 
