@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilwork.functions.draws import normal, uniform
 from veilwork.functions.numeric import entropy_bits, normal_cdf, probit
-from veilwork.functions.sizing import estimated_bytes
+from veilwork.functions.sizing import estimated_bytes, spread_small
 from veilwork.operators import frames as R
 from veilwork.operators.profile import number_counts, profile_numeric
 
@@ -101,6 +101,21 @@ def test_estimates_need_no_job(spark, folder):
     assert estimated_bytes(spark.read.parquet(f"{folder}/lineitem.parquet")) > 10_000
 
 
+def test_small_tables_are_dealt_without_a_sort(spark, tmp_path):
+    # one file that one task reads; equal rows are spread too, and no column is lost
+    made = spark.range(4_000).select((F.col("id") % 3).alias("id"), F.lit("x").alias("_Place"), F.when(F.col("id") % 2 == 0, 1.5).alias("v"))
+    made.coalesce(1).write.parquet(f"{tmp_path}/t")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    dealt = spread_small(read)
+    # dealing in turn sorts all rows of a task before its shuffle
+    assert "RoundRobin" not in dealt._jdf.queryExecution().executedPlan().toString()
+    assert dealt.schema == read.schema and dealt.exceptAll(read).isEmpty() and dealt.count() == 4_000
+    cores = spark.sparkContext.defaultParallelism
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == cores and max(sizes) < 2 * 4_000 / cores
+    assert spread_small(read, 0) is read
+
+
 def test_running_totals_of_uneven_groups(spark):
     import pandas as pd
 
