@@ -219,8 +219,10 @@ def attribute_inference(
     probes = _weighted(sample_rows(original, original_key, n, seed), original_key, columns, scale, [label(original, "truth")])
     near = nearest_points(probes, points(synthetic, synthetic_key, columns, scale, [label(synthetic, "label")]), len(columns))
     labels = original.agg(F.count_distinct(label(original, "truth"))).scalar()
-    out = probes.join(near.select(F.col("probe").alias("key"), "label"), "key").agg(
-        _total().alias("probes"), _total(F.col("label") == F.col("truth")).alias("correct"), F.max(1.0 / F.greatest(labels, F.lit(1))).alias("baseline")
+    guessed = probes.join(near.select(F.col("probe").alias("key"), "label"), "key")
+    # a projection of its own: a subquery over rows that were dealt or drawn may not stand inside an aggregate
+    out = guessed.select("n", "label", "truth", (1.0 / F.greatest(labels, F.lit(1))).alias("baseline")).agg(
+        _total().alias("probes"), _total(F.col("label") == F.col("truth")).alias("correct"), F.max("baseline").alias("baseline")
     )
     a = F.col("correct") / F.greatest(F.col("probes"), F.lit(1))
     return out.withColumn("accuracy", a).withColumn("vulnerable", a > F.col("baseline") * 2).withColumn(
