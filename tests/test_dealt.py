@@ -34,3 +34,11 @@ def test_attribute_inference(sides):
     assert (row["probes"], row["correct"], row["baseline"]) == (40, right, 0.5)
     empty = sides[0].where("k < 0")
     assert R.attribute_inference(empty, sides[1], "t", ["x"], "k", "k").first()["baseline"] is None
+
+
+def test_category_max_gap(sides):
+    found = {r["column"]: r["gap"] for r in C.category_max_gap(*sides).collect()}
+    # "a" is 30 of 40 on one side, and on the other
+    assert found == {"t": pytest.approx(0.0)}
+    other = sides[1].withColumn("t", F.lit("a"))
+    assert C.category_max_gap(sides[0], other).first()["gap"] == pytest.approx(0.25)
