@@ -42,3 +42,9 @@ def test_category_max_gap(sides):
     assert found == {"t": pytest.approx(0.0)}
     other = sides[1].withColumn("t", F.lit("a"))
     assert C.category_max_gap(sides[0], other).first()["gap"] == pytest.approx(0.25)
+
+
+def test_fidelity(sides):
+    other = sides[1].withColumn("t", F.lit("a"))
+    found = {r["column"]: (r["kind"], round(r["gap"], 6), r["label"]) for r in C.fidelity(sides[0], other).collect()}
+    assert found == {"k": ("numeric", 0.0, "PASS"), "x": ("numeric", 0.025, "PASS"), "t": ("categorical", 0.25, "FAIL")}
