@@ -48,3 +48,8 @@ def test_fidelity(sides):
     other = sides[1].withColumn("t", F.lit("a"))
     found = {r["column"]: (r["kind"], round(r["gap"], 6), r["label"]) for r in C.fidelity(sides[0], other).collect()}
     assert found == {"k": ("numeric", 0.0, "PASS"), "x": ("numeric", 0.025, "PASS"), "t": ("categorical", 0.25, "FAIL")}
+
+
+def test_fidelity_pct(sides):
+    row = C.fidelity_pct(C.fidelity(sides[0], sides[1].withColumn("t", F.lit("a")))).first()
+    assert (row["columns"], round(row["avg_gap"], 6), row["fidelity_pct"]) == (3, 0.091667, 82.0)
