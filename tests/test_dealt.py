@@ -53,3 +53,11 @@ def test_fidelity(sides):
 def test_fidelity_pct(sides):
     row = C.fidelity_pct(C.fidelity(sides[0], sides[1].withColumn("t", F.lit("a")))).first()
     assert (row["columns"], round(row["avg_gap"], 6), row["fidelity_pct"]) == (3, 0.091667, 82.0)
+
+
+def test_sample_by_target(spark):
+    rows = [(float(i), ["lo", "mid", "hi"][i // 100], float(i % 7)) for i in range(300)]
+    df = dealt(spark.createDataFrame(rows, "y double, band string, z double"))
+    made = S.sample_by_target(df, "y", ["band"], ["z"], 200, 7).collect()
+    assert len(made) == 200 and {r["band"] for r in made} == {"lo", "mid", "hi"}
+    assert all(0 <= r["y"] <= 299 and 0 <= r["z"] <= 6 for r in made)
