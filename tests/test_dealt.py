@@ -61,3 +61,10 @@ def test_sample_by_target(spark):
     made = S.sample_by_target(df, "y", ["band"], ["z"], 200, 7).collect()
     assert len(made) == 200 and {r["band"] for r in made} == {"lo", "mid", "hi"}
     assert all(0 <= r["y"] <= 299 and 0 <= r["z"] <= 6 for r in made)
+
+
+def test_variance_driver(sides):
+    df = sides[0].withColumn("half", F.when(F.col("x") < 20, "lo").otherwise("hi"))
+    row = D.variance_driver(df, "x", ["t", "half"]).first()
+    # both halves lie 10 from the middle
+    assert row["column"] == "half" and row["share"] == pytest.approx(100 / np.var(np.arange(40), ddof=1))
