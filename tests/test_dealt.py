@@ -68,3 +68,15 @@ def test_variance_driver(sides):
     row = D.variance_driver(df, "x", ["t", "half"]).first()
     # both halves lie 10 from the middle
     assert row["column"] == "half" and row["share"] == pytest.approx(100 / np.var(np.arange(40), ddof=1))
+
+
+def test_privacy_audit(spark, tmp_path):
+    rows = [(i, i % 17, "FOP"[i % 3], 1000.0 + 37.5 * (i * i % 101) + i / 64, f"{1 + i % 5}-P") for i in range(400)]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    found = entry.queries()["privacy_audit"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    cur = con.execute(entry.oracle_sql()["privacy_audit"])
+    assert found.columns == [d[0] for d in cur.description]
+    assert sorted(map(tuple, found.collect())) == sorted(cur.fetchall())
