@@ -72,3 +72,27 @@ def test_a_step_may_not_be_enough(spark, monkeypatch):
     ids = [r["row_id"] for r in S.generate(df, 400, 7, key="k").orderBy("row_id").collect()]
     assert ids == list(range(1, 800, 2))
     assert [a + n for a, n in seen[:-1]] == [a for a, _ in seen[1:]] and sum(n for _, n in seen) <= 608 + 2 * 104 + 8
+
+
+def test_ranges_are_redrawn_by_small_methods(spark):
+    """The formulas of many columns stay below the 8,000 bytes of a method that the JVM compiles."""
+    names = [f"c{i}" for i in range(8)]
+    df = cut_lineage(spark.range(1000).select(F.col("id").alias("k"), *[(F.col("id") * 1.5).alias(c) for c in names]))
+    marks = [float(i) for i in range(1, 16)]
+    limits = spark.createDataFrame([(c, "range", 0.0, 300.0) for c in names], "column string, kind string, lo double, hi double")
+    profile = spark.createDataFrame([(c, 0.0, 300.0, *marks) for c in names], ["column", "min", "max", *PROB_NAMES])
+    out = V.repair_ranges(df, limits, profile, "k", 3)
+    plain = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = out.select("*")._jdf.queryExecution().executedPlan()
+        debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+        sizes, found = [], debug.codegenStringSeq(plan).iterator()
+        while found.hasNext():
+            sizes.append(found.next()._3().maxMethodCodeSize())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", plain)
+    assert all(n < 8000 for n in sizes)
+    got = {r["k"]: r for r in out.collect()}
+    assert got[100]["c0"] == 150.0 and all(0 <= got[k][c] <= 300 for k in (201, 999) for c in names)
+    assert len({got[k]["c0"] for k in range(201, 1000)}) > 700
