@@ -96,3 +96,20 @@ def test_ranges_are_redrawn_by_small_methods(spark):
     got = {r["k"]: r for r in out.collect()}
     assert got[100]["c0"] == 150.0 and all(0 <= got[k][c] <= 300 for k in (201, 999) for c in names)
     assert len({got[k]["c0"] for k in range(201, 1000)}) > 700
+
+
+def test_ks_streams_the_sorted_values(spark, written, monkeypatch):
+    """The gap of scipy's formula, over values that come in many chunks; no sorted values are written."""
+    monkeypatch.setattr(frames, "TASK_ROWS", 150)
+    monkeypatch.setattr(frames, "CHUNK_BYTES", 400)
+    rng = np.random.default_rng(3)
+    sides = [np.round(rng.normal(0, 1, 900), 1), np.round(rng.normal(0.2, 1.2, 1100), 1)]
+    tables = [
+        spark.createDataFrame([(float(v), None if i % 3 else 5.0, None) for i, v in enumerate(a)], "v double, c double, e double").repartition(3)
+        for a in sides
+    ]
+    got = {r["column"]: r["ks"] for r in C.ks_statistic(*tables).collect()}
+    at = np.unique(np.concatenate(sides))
+    share = [np.searchsorted(np.sort(a), at, "right") / len(a) for a in sides]
+    assert got == {"v": pytest.approx(np.abs(share[0] - share[1]).max(), abs=1e-15), "c": 0.0}
+    assert len(written()) == 1
