@@ -113,3 +113,15 @@ def test_ks_streams_the_sorted_values(spark, written, monkeypatch):
     share = [np.searchsorted(np.sort(a), at, "right") / len(a) for a in sides]
     assert got == {"v": pytest.approx(np.abs(share[0] - share[1]).max(), abs=1e-15), "c": 0.0}
     assert len(written()) == 1
+
+
+def test_copula_draws_as_many_rows_as_it_needs(spark, written):
+    """Both tables of ``generate_class_means`` are drawn in steps, and the classes keep their shares."""
+    df = table(spark).withColumn("band", F.when(F.col("x") < 45, "low").when(F.col("x") < 55, "mid").otherwise("high"))
+    df = df.withColumn("u", F.when(F.col("k") % 3 == 0, "p").otherwise("q"))
+    made = S.generate(df, 1000, 7, key="k", method="copula")
+    share = lambda t: {r["band"]: r["count"] / t.count() for r in t.groupBy("band").count().collect()}
+    was, got = share(df), share(made)
+    assert was.keys() == got.keys() and all(abs(was[b] - got[b]) < 0.05 for b in was)
+    drawn = [n for n in written().values() if 1000 <= n < 1600]
+    assert drawn and max(drawn) <= 1100
